@@ -1,0 +1 @@
+"""Empty on purpose: every operator takes a whole table, none consumes a stream."""
