@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from colscope.functions import columns as C
 from colscope.functions.running import average_ranks, running_totals
+from colscope.functions.staging import staged
 
 MIN_COLUMNS = 3
 PAIRS_PER_AGGREGATE = 500
@@ -41,11 +42,11 @@ def pearson(df: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 def with_ranks(df: DataFrame, names: list[str]) -> DataFrame:
     """Replace each column by its average ranks. Ranks come from the value counts and are joined back."""
+    ranks = staged(average_ranks(C.number_counts(df, names), by=["column"]))
     out = df
     for i, n in enumerate(names):
-        counts = df.groupBy(C.col(n).alias("value")).agg(F.count("*").alias("n"))
-        ranks = average_ranks(counts).select(F.col("value").alias(f"_v{i}"), F.col("rank").alias(f"_r{i}"))
-        out = out.join(ranks, C.col(n) == F.col(f"_v{i}"))
+        mine = ranks.filter(F.col("column") == n).select(F.col("value").alias(f"_v{i}"), F.col("rank").alias(f"_r{i}"))
+        out = out.join(mine, C.col(n) == F.col(f"_v{i}"))
     return out.select(*[F.col(f"_r{i}").alias(n) for i, n in enumerate(names)])
 
 
@@ -71,58 +72,57 @@ def kendall(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     x = _numbers(df, names)
     sizes = x.agg(*[F.approx_count_distinct(C.col(n)).alias(f"c{i}") for i, n in enumerate(names)]).first()
     size = {n: sizes[f"c{i}"] for i, n in enumerate(names)}
-    parts = []
-    for a, b in combinations(names, 2):
+    pairs = list(combinations(names, 2))
+    joints = []
+    for i, (a, b) in enumerate(pairs):
         coarse, fine = sorted([a, b], key=lambda n: size[n])
-        joint = (
+        joints.append(
             x.select(C.col(fine).alias("x"), C.col(coarse).alias("y")).dropna()
-            .groupBy("x", "y").agg(F.count("*").alias("n"))
+            .groupBy("x", "y").agg(F.count("*").alias("n")).select(F.lit(i).alias("pair"), "x", "y", "n")
         )
-        parts.append(_tau_b(joint).select(F.lit("kendall").alias("method"), F.lit(a).alias("col_a"),
-                                          F.lit(b).alias("col_b"), "r"))
-    return reduce(DataFrame.unionAll, parts)
+    tau = _tau_b(staged(reduce(DataFrame.unionAll, joints)))
+    left = F.array(*[F.lit(a) for a, _ in pairs])[F.col("pair")]
+    right = F.array(*[F.lit(b) for _, b in pairs])[F.col("pair")]
+    return tau.select(F.lit("kendall").alias("method"), left.alias("col_a"), right.alias("col_b"), "r")
 
 
 def _tau_b(joint: DataFrame) -> DataFrame:
-    """Tau-b of a joint count table (x, y, n), without comparing cells pairwise.
+    """Tau-b per pair of a joint count table (pair, x, y, n), without comparing cells pairwise.
 
     y is numbered densely. Two cells with different numbers first differ, from the top, in one binary
     digit, and share the digits above it. So for every digit, among cells with equal higher digits, the
     cells with 0 and 1 in it are counted along x: a 1 after a 0 is concordant, a 0 after a 1 discordant.
     A cell takes part once per digit, log2(distinct y) times in all.
     """
-    codes = running_totals(joint.groupBy("y").agg(F.lit(1).alias("one")), "y", {"code": "one"})
+    by_y = joint.groupBy("pair", "y").agg(F.sum("n").alias("n"))
+    codes = running_totals(by_y.withColumn("one", F.lit(1)), "y", {"code": "one"}, ["pair"])
     digits = codes.select(
-        "y", "code", F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col("code_all") - 1)) - 1)).alias("digit"))
-    split = joint.join(digits, "y").select(
-        "x", "n", "digit",
+        "pair", "y", "code",
+        F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col("code_all") - 1)) - 1)).alias("digit"))
+    split = joint.join(digits, ["pair", "y"]).select(
+        "pair", "x", "n", "digit",
         F.expr("shiftright(code, digit + 1)").alias("above"),
         F.expr("shiftright(code, digit) & 1").alias("bit"),
     )
-    per_x = split.groupBy("digit", "above", "x").agg(
+    per_x = split.groupBy("pair", "digit", "above", "x").agg(
         F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).cast("double").alias("zeros"),
         F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).cast("double").alias("ones"),
     )
-    along = running_totals(per_x, "x", {"zeros_before": "zeros", "ones_before": "ones"}, ["digit", "above"],
-                           same_scale=True)
-    ordered = along.agg(
-        F.sum(F.col("ones") * F.col("zeros_before")).alias("concordant"),
-        F.sum(F.col("zeros") * F.col("ones_before")).alias("discordant"),
-    )
+    along = running_totals(per_x, "x", {"zeros_before": "zeros", "ones_before": "ones"},
+                           ["pair", "digit", "above"], bounds_by=["pair"])
+    ordered = along.groupBy("pair").agg(
+        F.sum(F.col("ones") * F.col("zeros_before") - F.col("zeros") * F.col("ones_before")).alias("net"))
 
-    def tied(c: str) -> Column:
-        n = F.col(c).cast("double")
-        return F.sum(n * (n - 1) / 2)
-
-    x_ties = joint.groupBy("x").agg(F.sum("n").alias("n")).agg(tied("n").alias("v")).scalar()
-    y_ties = joint.groupBy("y").agg(F.sum("n").alias("n")).agg(tied("n").alias("v")).scalar()
-    rows = joint.agg(F.sum("n").cast("double")).scalar()
-    return ordered.select("concordant", "discordant", x_ties.alias("tx"), y_ties.alias("ty"), rows.alias("rows")).select(
-        F.try_divide(
-            F.col("concordant") - F.col("discordant"),
-            F.sqrt(F.col("rows") * (F.col("rows") - 1) / 2 - F.col("tx"))
-            * F.sqrt(F.col("rows") * (F.col("rows") - 1) / 2 - F.col("ty")),
-        ).alias("r"))
+    def tied(rows: DataFrame, name: str) -> DataFrame:
+        n = F.col("n").cast("double")
+        return rows.groupBy("pair").agg(F.sum(n * (n - 1) / 2).alias(name), F.sum(n).alias(f"{name}_rows"))
+
+    both = F.col("ty_rows") * (F.col("ty_rows") - 1) / 2
+    return (
+        ordered.join(tied(joint.groupBy("pair", "x").agg(F.sum("n").alias("n")), "tx"), "pair")
+        .join(tied(by_y, "ty"), "pair")
+        .select("pair", F.try_divide(F.col("net"), F.sqrt(both - F.col("tx")) * F.sqrt(both - F.col("ty"))).alias("r"))
+    )
 
 
 def correlations(df: DataFrame, methods: tuple[str, ...] = ("pearson", "spearman", "kendall")) -> DataFrame:
