@@ -150,6 +150,13 @@ def text_key(c: Column) -> Column:
     return F.when(F.length(c) > LONG_TEXT, F.concat(F.lit("#"), F.sha2(c, 256))).otherwise(F.concat(F.lit("="), c))
 
 
+def round_to(c: Column | str, digits: int) -> Column:
+    """Round with halves to even, as Python and numpy do; negative zero becomes zero."""
+    c = F.col(c) if isinstance(c, str) else c
+    scale = float(10**digits)
+    return F.rint(c * scale) / scale + F.lit(0.0)
+
+
 def row_key(df: DataFrame, names: list[str] | None = None) -> list[Column]:
     """Columns to group whole rows by; long text enters as its digest."""
     keys = []

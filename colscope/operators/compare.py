@@ -66,8 +66,8 @@ def distribution_shifts(a: DataFrame, b: DataFrame, names: list[str] | None = No
     p = ks_p_value(F.col("d"), F.col("n_a").cast("double"), F.col("n_b").cast("double"))
     return (
         d.join(moments(a, "a"), "column").join(moments(b, "b"), "column").withColumn("p", p)
-        .select("column", *[F.round(m, 4).alias(m) for m in ("mean_a", "mean_b", "std_a", "std_b")],
-                F.round("d", 4).alias("ks_statistic"), F.round("p", 4).alias("ks_pvalue"),
+        .select("column", *[C.round_to(m, 4).alias(m) for m in ("mean_a", "mean_b", "std_a", "std_b")],
+                C.round_to("d", 4).alias("ks_statistic"), C.round_to("p", 4).alias("ks_pvalue"),
                 (F.col("p") < 0.05).alias("shift_detected"))
     )
 
@@ -84,8 +84,8 @@ def null_drift(a: DataFrame, b: DataFrame, threshold: float = 0.01) -> DataFrame
     change = F.col("b") - F.col("a")
     return (
         rates(a, "a").join(rates(b, "b"), "column").filter(F.abs(change) > threshold)
-        .select("column", F.round("a", 4).alias("null_pct_a"), F.round("b", 4).alias("null_pct_b"),
-                F.round(change, 4).alias("change"))
+        .select("column", C.round_to("a", 4).alias("null_pct_a"), C.round_to("b", 4).alias("null_pct_b"),
+                C.round_to(change, 4).alias("change"))
     )
 
 
@@ -104,7 +104,7 @@ def row_overlap(a: DataFrame, b: DataFrame, max_columns: int = OVERLAP_COLUMNS)
     same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"r{k}")) for k in keys])
     joined = left.join(right, same, "left")
     pairs, rows = F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)), F.coalesce(F.sum("na"), F.lit(0))
-    return joined.agg(pairs.alias("common_rows"), F.round(pairs / F.greatest(rows, F.lit(1)) * 100, 2).alias("overlap_pct"))
+    return joined.agg(pairs.alias("common_rows"), C.round_to(pairs / F.greatest(rows, F.lit(1)) * 100, 2).alias("overlap_pct"))
 
 
 def size_diff(a: DataFrame, b: DataFrame) -> DataFrame:

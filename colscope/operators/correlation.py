@@ -144,7 +144,7 @@ def high_pairs(matrix: DataFrame, threshold: float = 0.8, drop_above: float = 0.
     size = F.abs("r")
     return (
         matrix.filter((F.col("method") == "pearson") & (size > threshold))
-        .select("col_a", "col_b", F.round("r", 4).alias("pearson_r"),
+        .select("col_a", "col_b", C.round_to("r", 4).alias("pearson_r"),
                 F.when(size > drop_above, "drop one").otherwise("investigate").alias("advice"))
         .orderBy(F.desc(F.abs("pearson_r")), "col_a", "col_b")
     )
@@ -154,6 +154,6 @@ def by_target_correlation(matrix: DataFrame, target: str) -> DataFrame:
     """(column, abs_r) of the other columns by strength of their correlation with the target."""
     other = F.when(F.col("col_a") == target, F.col("col_b")).when(F.col("col_b") == target, F.col("col_a"))
     return (
-        matrix.select(other.alias("column"), F.abs(F.round("r", 4)).alias("abs_r"))
+        matrix.select(other.alias("column"), F.abs(C.round_to("r", 4)).alias("abs_r"))
         .dropna().orderBy(F.desc("abs_r"), "column")
     )

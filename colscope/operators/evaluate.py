@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from colscope.functions import columns as C
+
 from colscope.functions.running import running_totals
 from colscope.functions.tails import t_p_value
 
@@ -171,4 +173,4 @@ def pairwise_comparison(scores: DataFrame) -> DataFrame:
     tested = stats.withColumn("t", t).withColumn("p", t_p_value(F.col("t"), (F.col("n") - 1).cast("double")))
     better = F.when(F.col("t") > 0, 1 - F.col("p") / 2).otherwise(F.col("p") / 2)
     return tested.select("model_a", "model_b", F.when(F.col("most") > 1e-8, F.col("t")).alias("t"),
-                         F.when(F.col("most") <= 1e-8, 0.5).otherwise(F.round(better, 3)).alias("p_better"))
+                         F.when(F.col("most") <= 1e-8, 0.5).otherwise(C.round_to(better, 3)).alias("p_better"))

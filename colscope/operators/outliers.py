@@ -49,9 +49,9 @@ def outlier_table(df: DataFrame, names: list[str] | None = None, z: float = 3.0,
         "column",
         F.when(enough, F.col("iqr")).otherwise(0).alias("iqr_outliers"),
         F.when(enough, F.col("far")).otherwise(0).alias("zscore_outliers"),
-        F.when(enough, F.round(F.col("iqr") / F.col("n"), 4)).otherwise(0.0).alias("outlier_pct"),
-        F.when(enough, F.round("lower", 4)).alias("lower"),
-        F.when(enough, F.round("upper", 4)).alias("upper"),
+        F.when(enough, C.round_to(F.col("iqr") / F.col("n"), 4)).otherwise(0.0).alias("outlier_pct"),
+        F.when(enough, C.round_to("lower", 4)).alias("lower"),
+        F.when(enough, C.round_to("upper", 4)).alias("upper"),
     )
 
 

@@ -50,10 +50,10 @@ def profile_columns(df: DataFrame) -> DataFrame:
         "n_rows",
         "non_null_count",
         nulls.alias("null_count"),
-        F.round(share(nulls, F.col("n_rows")), 4).alias("null_pct"),
+        C.round_to(share(nulls, F.col("n_rows")), 4).alias("null_pct"),
         "unique_count",
-        F.round(share(F.col("unique_count"), F.col("non_null_count")), 4).alias("unique_pct"),
-        F.round(score, 3).alias("target_candidate_score"),
+        C.round_to(share(F.col("unique_count"), F.col("non_null_count")), 4).alias("unique_pct"),
+        C.round_to(score, 3).alias("target_candidate_score"),
         (score >= TARGET_THRESHOLD).alias("is_target_candidate"),
     )
 

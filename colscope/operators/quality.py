@@ -28,14 +28,14 @@ def missing_values(df: DataFrame) -> DataFrame:
     ]
     pct = F.col("count") / F.col("n_rows")
     return C.tidy(df, rows).filter("count > 0").select(
-        "column", "position", "count", F.round(pct, 4).alias("pct"), severity(pct).alias("severity"))
+        "column", "position", "count", C.round_to(pct, 4).alias("pct"), severity(pct).alias("severity"))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """(count, pct) of the rows beyond the first of each group of equal rows."""
     groups = C.nan_to_null(df).groupBy(*C.row_key(df)).agg(F.count("*").alias("n"))
     extra, rows = F.coalesce(F.sum(F.col("n") - 1), F.lit(0)), F.sum("n")
-    return groups.agg(extra.alias("count"), F.when(rows > 0, F.round(extra / rows, 4)).otherwise(0.0).alias("pct"))
+    return groups.agg(extra.alias("count"), F.when(rows > 0, C.round_to(extra / rows, 4)).otherwise(0.0).alias("pct"))
 
 
 def duplicate_columns(df: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ SIGNIFICANCE = 0.05
 
 def _judged(df: DataFrame) -> DataFrame:
     """Round p after judging it."""
-    return df.withColumn("significant", F.col("p_value") < SIGNIFICANCE).withColumn("p_value", F.round("p_value", 4))
+    return df.withColumn("significant", F.col("p_value") < SIGNIFICANCE).withColumn("p_value", C.round_to("p_value", 4))
 
 
 def number_vs_number(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -22,7 +22,7 @@ def number_vs_number(df: DataFrame, a: str, b: str) -> DataFrame:
     r = F.col("r")
     t = F.when(F.abs(r) < 1, r * F.sqrt((F.col("n") - 2) / (1 - r * r))).otherwise(F.lit(float("inf")))
     tested = x.agg(F.corr("a", "b").alias("r"), F.count("*").alias("n")).filter("n >= 5")
-    return _judged(tested.select(F.round("r", 4).alias("pearson_r"), "n",
+    return _judged(tested.select(C.round_to("r", 4).alias("pearson_r"), "n",
                                  t_p_value(t, (F.col("n") - 2).cast("double")).alias("p_value")))
 
 
@@ -49,7 +49,7 @@ def number_vs_category(df: DataFrame, number: str, category: str) -> DataFrame:
     """(f_statistic, n_groups, p_value, significant) over the groups with at least three numbers."""
     tested = f_statistic(group_moments(df, number, category, 3))
     p = f_p_value(F.col("f"), (F.col("k") - 1).cast("double"), (F.col("n") - F.col("k")).cast("double"))
-    return _judged(tested.select(F.round("f", 4).alias("f_statistic"), F.col("k").alias("n_groups"), p.alias("p_value")))
+    return _judged(tested.select(C.round_to("f", 4).alias("f_statistic"), F.col("k").alias("n_groups"), p.alias("p_value")))
 
 
 def category_vs_category(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -76,6 +76,6 @@ def category_vs_category(df: DataFrame, a: str, b: str) -> DataFrame:
     smaller = F.least("r.levels", "c.levels")
     tested = flat.filter(smaller >= 2).select(chi2.alias("x"), dof.alias("dof"), smaller.alias("k"), "n")
     return _judged(
-        tested.select(F.round("x", 4).alias("chi2"), "dof",
-                      F.round(F.sqrt(F.col("x") / (F.col("n") * (F.col("k") - 1))), 4).alias("cramers_v"),
+        tested.select(C.round_to("x", 4).alias("chi2"), "dof",
+                      C.round_to(F.sqrt(F.col("x") / (F.col("n") * (F.col("k") - 1))), 4).alias("cramers_v"),
                       chi2_p_value(F.col("x"), F.col("dof").cast("double")).alias("p_value")))

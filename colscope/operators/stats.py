@@ -43,16 +43,16 @@ def numeric_summary(df: DataFrame, names: list[str] | None = None, in_memory_row
                 q1.alias("q1"), q3.alias("q3"),
             )
         )
-    r = lambda name: F.round(name, 4).alias(name)
+    r = lambda name: C.round_to(name, 4).alias(name)
     return (
         C.tidy(df, rows)
         .filter("count >= 2")
         .join(modes(C.number_counts(df, names)), "column")
         .select(
             "column", "count", r("mean"), r("median"), r("mode"), r("min"), r("max"),
-            F.round(F.col("max") - F.col("min"), 4).alias("range"), r("variance"), r("std"), r("skewness"),
-            r("kurtosis"), r("q1"), r("q3"), F.round(F.col("q3") - F.col("q1"), 4).alias("iqr"),
-            F.when(F.col("mean") != 0, F.round(F.col("std") / F.col("mean"), 4)).alias("cv"),
+            C.round_to(F.col("max") - F.col("min"), 4).alias("range"), r("variance"), r("std"), r("skewness"),
+            r("kurtosis"), r("q1"), r("q3"), C.round_to(F.col("q3") - F.col("q1"), 4).alias("iqr"),
+            F.when(F.col("mean") != 0, C.round_to(F.col("std") / F.col("mean"), 4)).alias("cv"),
             distribution_shape(F.col("skewness"), F.col("kurtosis")).alias("distribution_shape"),
         )
     )
@@ -89,7 +89,7 @@ def categorical_summary(counts: DataFrame) -> DataFrame:
     return per.join(rare, "column", "left").select(
         "column", "unique_count", F.coalesce("rare_count", F.lit(0)).alias("rare_count"),
         F.when(dominant > 0.8, F.col("top.value")).alias("dominant_category"),
-        F.round(dominant, 4).alias("dominant_pct"),
-        F.round(ratio, 2).alias("class_imbalance_ratio"),
+        C.round_to(dominant, 4).alias("dominant_pct"),
+        C.round_to(ratio, 2).alias("class_imbalance_ratio"),
         imbalance_label(ratio).alias("imbalance_label"),
     )

@@ -39,7 +39,7 @@ def text_lengths(df: DataFrame, names: list[str]) -> DataFrame:
     rows = []
     for n in names:
         size = F.length(C.col(n))
-        rows.append(F.struct(F.lit(n).alias("column"), F.round(F.avg(size), 1).alias("avg_length"),
+        rows.append(F.struct(F.lit(n).alias("column"), C.round_to(F.avg(size), 1).alias("avg_length"),
                              F.max(size).cast("long").alias("max_length"), F.min(size).cast("long").alias("min_length")))
     return C.tidy(df, rows).filter("max_length IS NOT NULL")
 
