@@ -23,6 +23,7 @@ from colscope.operators.neighbours import k_nearest
 SEED = 42
 DEEPEST = 30  # the deepest tree Spark grows
 STAGE_EVERY = 10  # reweighting rounds between written tables
+SVM_ITERATIONS = 50
 
 # Learners, their defaults and their search grids.
 DEFAULTS: dict[str, dict[str, dict]] = {
@@ -226,7 +227,7 @@ class Calibrated:
     def predict(self, df: DataFrame) -> DataFrame:
         out = self.margins.transform(df)
         scored = self.chances.transform(out)
-        return scored.withColumn("prob", vector_to_array("chance")).drop("chance", "margin", "rawPrediction", "guess", "raw")
+        return scored.withColumn("prob", vector_to_array("chance")).drop("chance", "rawPrediction", "guess", "raw")
 
     def importances(self) -> list[float]:
         models = getattr(self.margins, "models", [self.margins])
@@ -352,15 +353,14 @@ def _constant(problem: str, train: DataFrame, classes: int) -> Constant:
 def _svm(train: DataFrame, params: dict, classes: int, weight: str | None) -> Calibrated:
     rows = train.count()
     w = {"weightCol": weight} if weight else {}
-    one = mc.LinearSVC(regParam=1.0 / (float(params["C"]) * rows), maxIter=100, **w)
+    one = mc.LinearSVC(regParam=1.0 / (float(params["C"]) * rows), maxIter=SVM_ITERATIONS, tol=1e-4, **w)
     if classes <= 2:
-        one = one.setFeaturesCol("features").setLabelCol("y").setPredictionCol("guess").setRawPredictionCol("margin")
+        one = one.setFeaturesCol("features").setLabelCol("y").setPredictionCol("guess")
         margins = one.fit(train)
     else:
-        margins = mc.OneVsRest(classifier=one, featuresCol="features", labelCol="y", predictionCol="guess",
-                               rawPredictionCol="margin").fit(train)
-    chances = mc.LogisticRegression(featuresCol="margin", labelCol="y", predictionCol="pred", probabilityCol="chance",
-                                    rawPredictionCol="raw", maxIter=100).fit(margins.transform(train).select("y", "margin"))
+        margins = mc.OneVsRest(classifier=one, featuresCol="features", labelCol="y", predictionCol="guess").fit(train)
+    chances = mc.LogisticRegression(featuresCol="rawPrediction", labelCol="y", predictionCol="pred", probabilityCol="chance",
+                                    rawPredictionCol="raw", maxIter=100).fit(margins.transform(train).select("y", "rawPrediction"))
     return Calibrated(margins, chances)
 
 

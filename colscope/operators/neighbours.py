@@ -44,7 +44,7 @@ class Cells:
     def __init__(self, train: DataFrame, pivots: int | None = None, seed: int = 42):
         pivots = pivots or min(MAX_PIVOTS, 1 + train.count() // ROWS_PER_PIVOT)
         chosen = train.select("v").orderBy(F.xxhash64(F.lit(seed), F.col("v").cast("string"))).limit(pivots).collect()
-        points = np.unique(np.array([r["v"] for r in chosen], dtype="float64"), axis=0)
+        points = np.unique(np.array([r["v"] for r in chosen], dtype="float64"), axis=0) if chosen else np.zeros((0, 1))
         self.points = train.sparkSession.sparkContext.broadcast(points)  # at most `pivots` vectors
         shared = self.points
 
@@ -62,11 +62,13 @@ class Cells:
             self.size[r["cell"]], self.radius[r["cell"]] = r["n"], r["radius"]
 
     def visits(self, queries: DataFrame, k: int | None = None, eps: float | None = None) -> DataFrame:
-        """Add `cell`: one row per query and cell to visit, for the k nearest, all within eps, or all cells."""
+        """(qid, qv, cell): one row per query and cell to visit, for the k nearest, all within eps, or all cells."""
         shared, size, radius = self.points, self.size, self.radius
 
         @F.pandas_udf("array<int>")
         def candidates(v: pd.Series) -> pd.Series:
+            if not len(size):
+                return pd.Series([np.zeros(0, dtype="int32")] * len(v))
             d = _distances(_matrix(v), shared.value)
             used = size > 0
             if eps is not None:
@@ -83,21 +85,23 @@ class Cells:
                 near = np.ones_like(d, dtype=bool)
             return pd.Series([np.flatnonzero(row & used).astype("int32") for row in near])
 
-        return queries.withColumn("cell", F.explode(candidates("v")))
+        # New names for the query side, as a cogroup of two frames read from one table needs them.
+        named = queries.select(F.col("id").alias("qid"), F.col("v").alias("qv"))
+        return named.withColumn("cell", F.explode(candidates("qv")))
 
     def blocks(self, queries: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
         """Both sides keyed by (cell, part, share), each group of bounded size on either side."""
         asked = {r["cell"]: r["n"] for r in queries.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-        parts = F.array(*[F.lit(max(1, math.ceil(n / block_rows))) for n in self.size.tolist()])
-        shares = F.array(*[F.lit(max(1, math.ceil(asked.get(c, 0) / block_rows))) for c in range(len(self.size))])
+        parts = F.lit([max(1, math.ceil(n / block_rows)) for n in self.size.tolist()] or [1])
+        shares = F.lit([max(1, math.ceil(asked.get(c, 0) / block_rows)) for c in range(len(self.size))] or [1])
 
-        def spread(df: DataFrame, own: str, own_count, other: str, other_count) -> DataFrame:
-            mine = F.pmod(F.xxhash64("id", F.lit(own)), F.get(own_count, F.col("cell"))).cast("int")
+        def spread(df: DataFrame, key: str, own: str, own_count, other: str, other_count) -> DataFrame:
+            mine = F.pmod(F.xxhash64(key, F.lit(own)), F.get(own_count, F.col("cell"))).cast("int")
             every = F.explode(F.sequence(F.lit(0), F.get(other_count, F.col("cell")) - 1))
             return df.withColumn(own, mine).withColumn(other, every)
 
-        return (spread(self.rows.drop("gap"), "part", parts, "share", shares),
-                spread(queries, "share", shares, "part", parts))
+        return (spread(self.rows.drop("gap"), "id", "part", parts, "share", shares),
+                spread(queries, "qid", "share", shares, "part", parts))
 
 
 KEYS = ["cell", "part", "share"]
@@ -108,7 +112,7 @@ def k_nearest(train: DataFrame, queries: DataFrame, k: int, exclude_self: bool =
     """(id, neighbour, distance, place): the k nearest train rows of each query, ties by neighbour id."""
     cells = Cells(train.select("id", "v"))
     wanted = k + 1 if exclude_self else k
-    held, asked = cells.blocks(cells.visits(queries.select("id", "v"), k=wanted), block_rows)
+    held, asked = cells.blocks(cells.visits(queries, k=wanted), block_rows)
     t = train.schema["id"].dataType.simpleString()
     q = queries.schema["id"].dataType.simpleString()
 
@@ -117,12 +121,12 @@ def k_nearest(train: DataFrame, queries: DataFrame, k: int, exclude_self: bool =
             return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
         left = left.sort_values("id")
         ids = left["id"].to_numpy()
-        d = _distances(_matrix(right["v"]), _matrix(left["v"]))
+        d = _distances(_matrix(right["qv"]), _matrix(left["v"]))
         if exclude_self:
-            d[ids[None, :] == right["id"].to_numpy()[:, None]] = np.inf
+            d[ids[None, :] == right["qid"].to_numpy()[:, None]] = np.inf
         take = np.argsort(d, axis=1, kind="stable")[:, :k]
         out = pd.DataFrame({
-            "id": np.repeat(right["id"].to_numpy(), take.shape[1]), "neighbour": ids[take.ravel()],
+            "id": np.repeat(right["qid"].to_numpy(), take.shape[1]), "neighbour": ids[take.ravel()],
             "distance": np.take_along_axis(d, take, axis=1).ravel()})
         return out[np.isfinite(out["distance"])]
 
@@ -137,16 +141,16 @@ def within(train: DataFrame, queries: DataFrame, eps: float, block_rows: int = B
     `train` also has `weight` (double) and `label` (long). Queries without any such row are absent.
     """
     cells = Cells(train.select("id", "v", "weight", "label"))
-    held, asked = cells.blocks(cells.visits(queries.select("id", "v"), eps=eps), block_rows)
+    held, asked = cells.blocks(cells.visits(queries, eps=eps), block_rows)
     q = queries.schema["id"].dataType.simpleString()
 
     def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"id": [], "weight": [], "label": []})
-        near = _distances(_matrix(right["v"]), _matrix(left["v"])) <= eps
+        near = _distances(_matrix(right["qv"]), _matrix(left["v"])) <= eps
         none = np.iinfo("int64").max
         out = pd.DataFrame({
-            "id": right["id"].to_numpy(), "weight": near @ left["weight"].to_numpy(),
+            "id": right["qid"].to_numpy(), "weight": near @ left["weight"].to_numpy(),
             "label": np.where(near, left["label"].to_numpy()[None, :], none).min(axis=1)})
         return out[near.any(axis=1)]
 
@@ -157,17 +161,17 @@ def within(train: DataFrame, queries: DataFrame, eps: float, block_rows: int = B
 def distance_sums(train: DataFrame, queries: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, label, total): summed distance of each query to the train rows of each label."""
     cells = Cells(train.select("id", "v", "label"))
-    held, asked = cells.blocks(cells.visits(queries.select("id", "v")), block_rows)
+    held, asked = cells.blocks(cells.visits(queries), block_rows)
     q = queries.schema["id"].dataType.simpleString()
 
     def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"id": [], "label": [], "total": []})
-        d = _distances(_matrix(right["v"]), _matrix(left["v"]))
+        d = _distances(_matrix(right["qv"]), _matrix(left["v"]))
         labels = np.unique(left["label"].to_numpy())
         member = left["label"].to_numpy()[:, None] == labels[None, :]
         total = d @ member.astype("float64")
-        return pd.DataFrame({"id": np.repeat(right["id"].to_numpy(), len(labels)),
+        return pd.DataFrame({"id": np.repeat(right["qid"].to_numpy(), len(labels)),
                              "label": np.tile(labels, len(right)), "total": total.ravel()})
 
     found = held.groupBy(*KEYS).cogroup(asked.groupBy(*KEYS)).applyInPandas(sums, f"id {q}, label long, total double")
