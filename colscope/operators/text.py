@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colscope.functions import columns as C
+from colscope.functions.running import running_totals
 
 # A word, and the words left out.
 WORD = r"(?U)\b[a-z]{3,}\b"
@@ -59,18 +60,52 @@ def word_totals(counts: DataFrame) -> DataFrame:
     return counts.groupBy("column").agg(F.sum("n").alias("total_words"), F.count("*").alias("vocabulary_size"))
 
 
-def ngram_counts(df: DataFrame, names: list[str], n: int) -> DataFrame:
-    """(column, value, n): runs of n neighbouring words within a row, with their count."""
+def _grams(w: Column, n: int) -> Column:
+    """Array of the runs of n neighbouring entries; empty when there are fewer."""
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))),
+                        lambda i: F.concat_ws(" ", *[F.get(w, i + (k - 1)) for k in range(n)]))
+    return F.when(F.size(w) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+
+def ngram_counts(df: DataFrame, names: list[str], n: int, across_rows: str | None = None) -> DataFrame:
+    """(column, value, n): runs of n neighbouring words with their count.
+
+    Runs stay within a row, as rows have no order of their own. With `across_rows`, a number column
+    that orders the rows, runs over the borders of rows are added.
+    """
     parts = []
     for name in names:
-        w = df.select(words(C.col(name)).alias("w")).filter(F.size("w") >= n)
-        grams = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)),
-                            lambda i: F.concat_ws(" ", *[F.get("w", i + (k - 1)) for k in range(n)]))
-        parts.append(w.select(F.lit(name).alias("column"), F.explode(grams).alias("value"))
-                     .groupBy("column", "value").agg(F.count("*").alias("n")))
+        w = df.select(words(C.col(name)).alias("w"), *([C.col(across_rows).alias("k")] if across_rows else []))
+        grams = w.select(F.explode(_grams(F.col("w"), n)).alias("value"))
+        if across_rows:
+            grams = grams.unionAll(_border_grams(w, n))
+        parts.append(grams.groupBy("value").agg(F.count("*").alias("n")).select(F.lit(name).alias("column"), "value", "n"))
     return reduce(DataFrame.unionAll, parts)
 
 
+def _border_grams(w: DataFrame, n: int) -> DataFrame:
+    """Runs of n words that begin in one row and end in a later one.
+
+    A run that begins at a word reaches at most n - 1 words on, so only the last n - 1 words of a row
+    begin such runs, and only words numbered up to n - 1 later complete them: words are numbered over
+    all rows by running totals of the row lengths, and joined by number.
+    """
+    sized = w.withColumn("size", F.size("w")).filter("size > 0")
+    per_key = sized.groupBy("k").agg(F.sum("size").alias("total"))
+    starts = running_totals(per_key, "k", {"start": "total"}).select("k", "start")
+    placed = sized.join(starts, "k")
+    ends = placed.select("start", "size", F.posexplode("w").alias("i", "word")).filter(
+        (F.col("i") < n - 1) | (F.col("i") >= F.col("size") - (n - 1)))
+    numbered = ends.select((F.col("start") + F.col("i")).alias("at"), (F.col("size") - F.col("i")).alias("left"), "word")
+    firsts = numbered.filter(F.col("left") < n)
+    reach = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("step")
+    wanted = firsts.select("at", reach).withColumn("word_at", F.col("at") + F.col("step"))
+    found = wanted.join(numbered.select(F.col("at").alias("word_at"), "word"), "word_at")
+    runs = found.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("step", "word"))).alias("run"))  # at most n words
+    return runs.filter(F.size("run") == n).select(
+        F.concat_ws(" ", F.transform("run", lambda x: x["word"])).alias("value"))
+
+
 def top_terms(counts: DataFrame, k: int) -> DataFrame:
     """The k most frequent terms per column, by count and then alphabetically."""
     order = W.partitionBy("column").orderBy(F.desc("n"), "value")

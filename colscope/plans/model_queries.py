@@ -211,7 +211,7 @@ query("oversampled_classes")(lambda t: smote.oversample(
     vector_frame(t).withColumn("y", (F.col("y") < 2).cast("double"))).groupBy("y").agg(F.count("*").alias("n")))
 query("k_means_clusters")(lambda t: cluster.k_means(vector_frame(t).drop("y"), 4, 2).select("id", "cluster"))
 query("hierarchical_clusters")(lambda t: cluster.hierarchical(vector_frame(t).drop("y"), 4).select("id", "cluster"))
-query("density_clusters", f"""with recursive near as (select id, neighbour from {PAIRS_SQL} where distance <= 1.25),
+query("density_clusters", f"""with recursive near as (select id, neighbour from {PAIRS_SQL} where distance <= 1.16),
       cores as (select id from near group by id having count(*) + 1 >= 4),
       links as (select id, neighbour from near where id in (from cores) and neighbour in (from cores)),
       reach(id, root) as (select id, id from cores union select l.neighbour, r.root from reach r join links l on l.id = r.id),
@@ -220,7 +220,7 @@ query("density_clusters", f"""with recursive near as (select id, neighbour from
         select n.id, min(root) from near n join roots on roots.id = n.neighbour where n.id not in (from cores) group by n.id)
       select vec_id as id, coalesce(k, -1)::int as cluster from embeddings
       left join (select id, dense_rank() over (order by root) - 1 as k from found) f on f.id = vec_id""")(
-    lambda t: cluster.dbscan(vector_frame(t).drop("y"), 1.25, 4).select("id", "cluster"))
+    lambda t: cluster.dbscan(vector_frame(t).drop("y"), 1.16, 4).select("id", "cluster"))
 query("elbow_curve")(lambda t: cluster.elbow(vector_frame(t).drop("y"), 1, 6))
 query("projection")(lambda t: cluster.projection(vector_frame(t).drop("y")).select("id", F.col("pca").cast("string").alias("pca")))
 
