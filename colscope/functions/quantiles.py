@@ -2,17 +2,20 @@
 
 Spark's `percentile` keeps every distinct value of a column in one buffer. It is used as it is when
 the checked row count is small. Beyond that, approximate percentiles bracket each wanted order
-statistic, rows are counted below and inside the bracket, and the bracket is narrowed until few
-enough rows are inside for the built-in to finish exactly.
+statistic, rows are counted below and inside the bracket, and the bracket is narrowed as long as that
+helps. The values left inside are counted and found by running totals.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colscope.functions.running import running_totals
+
 IN_MEMORY_ROWS = 2_000_000
 ACCURACY = 10_000
 
@@ -57,42 +60,39 @@ def exact_percentiles(
 
 
 def _order_statistics(df, values, sizes, wanted, in_memory_rows) -> dict:
-    """The k-th smallest (from 0) of each (name, k), found by narrowing brackets."""
+    """The k-th smallest (from 0) of each (name, k): brackets are narrowed, then their values counted."""
     brackets = {w: (float("-inf"), float("inf"), 0, sizes[w[0]]) for w in wanted}  # low, high, rows below, inside
-    found: dict = {}
-    while len(found) < len(wanted):
-        open_ = [w for w in wanted if w not in found]
-        inside = {}
-        exprs = []
-        for i, w in enumerate(open_):
-            low, high, below, size = brackets[w]
-            k = w[1] - below
-            inside[f"v{i}"] = F.when((values[w[0]] >= low) & (values[w[0]] <= high), values[w[0]])
-            if low == high:
-                exprs.append(F.lit([low]).alias(f"x{i}"))
-            elif size <= in_memory_rows:
-                exprs.append(
-                    F.expr(f"array(percentile_disc({(k + 0.5) / size}D) WITHIN GROUP (ORDER BY v{i}))").alias(f"x{i}")
-                )
-            else:
-                margin = 2 / ACCURACY
-                span = [max(0.0, k / size - margin), min(1.0, (k + 1) / size + margin)]
-                exprs.append(F.percentile_approx(f"v{i}", span, ACCURACY).alias(f"x{i}"))
-        row = df.select(*[c.alias(n) for n, c in inside.items()]).agg(*exprs).first()
-        narrowed = []
-        for i, w in enumerate(open_):
-            if len(row[f"x{i}"]) == 1:
-                found[w] = row[f"x{i}"][0]
-            else:
-                narrowed.append((w, *row[f"x{i}"]))
-        if narrowed:
-            counts = df.agg(
-                *[F.count_if(values[w[0]] < lo).alias(f"b{i}") for i, (w, lo, _) in enumerate(narrowed)],
-                *[
-                    F.count_if((values[w[0]] >= lo) & (values[w[0]] <= hi)).alias(f"c{i}")
-                    for i, (w, lo, hi) in enumerate(narrowed)
-                ],
-            ).first()
-            for i, (w, lo, hi) in enumerate(narrowed):
-                brackets[w] = (lo, hi, counts[f"b{i}"], counts[f"c{i}"])
-    return found
+    wide = list(wanted)
+    while wide:
+        inside = {f"v{i}": _within(values[w[0]], brackets[w]) for i, w in enumerate(wide)}
+        cuts = []
+        for i, w in enumerate(wide):
+            _, _, below, size = brackets[w]
+            at, margin = w[1] - below, 2 / ACCURACY
+            span = [max(0.0, at / size - margin), min(1.0, (at + 1) / size + margin)]
+            cuts.append(F.percentile_approx(f"v{i}", span, ACCURACY).alias(f"x{i}"))
+        found = df.select(*[c.alias(n) for n, c in inside.items()]).agg(*cuts).first()
+        ends = [(w, *found[f"x{i}"]) for i, w in enumerate(wide)]
+        counts = df.agg(
+            *[F.count_if(values[w[0]] < lo).alias(f"b{i}") for i, (w, lo, _) in enumerate(ends)],
+            *[F.count_if((values[w[0]] >= lo) & (values[w[0]] <= hi)).alias(f"c{i}") for i, (w, lo, hi) in enumerate(ends)],
+        ).first()
+        wide = []
+        for i, (w, lo, hi) in enumerate(ends):
+            before, size = brackets[w][3], counts[f"c{i}"]
+            brackets[w] = (lo, hi, counts[f"b{i}"], size)
+            # A bracket that no longer halves holds few distinct values, each perhaps many times.
+            if size > in_memory_rows and lo < hi and size <= before / 2:
+                wide.append(w)
+    parts = []
+    for i, w in enumerate(wanted):
+        value = _within(values[w[0]], brackets[w])
+        counts = df.select(value.alias("value")).filter("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("n"))
+        parts.append(counts.select(F.lit(i).alias("w"), F.lit(w[1] - brackets[w][2]).alias("k"), "value", "n"))
+    placed = running_totals(reduce(DataFrame.unionAll, parts), "value", {"before": "n"}, ["w"])
+    hits = placed.filter("before <= k AND k < before + n").select("w", "value").collect()  # one row per order statistic
+    return {wanted[r["w"]]: r["value"] for r in hits}
+
+
+def _within(value: Column, bracket: tuple) -> Column:
+    return F.when((value >= bracket[0]) & (value <= bracket[1]), value)

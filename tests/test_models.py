@@ -138,12 +138,13 @@ def test_pipeline_saved_and_loaded(clf, tmp_path):
 
 
 def test_unknown_levels(clf):
-    groups = features.choose_columns(clf.columns, CLF, choices={"cat": {"encoding": "ordinal"}}, target="target")
-    hot = {**groups, "one_hot": ["cat"], "ordinal": ["cat"]}
-    pre = features.fit_preprocessor(clf, hot)
+    plain = features.choose_columns(clf.columns, CLF, target="target")
+    coded = features.choose_columns(clf.columns, CLF, choices={"cat": {"encoding": "ordinal"}}, target="target")
+    assert plain["one_hot"] == ["cat"] and coded["ordinal"] == ["cat"]
     odd = clf.limit(1).withColumn("cat", F.lit("zz"))
-    v = features.apply_preprocessor(pre, odd).first().features.toArray().tolist()
-    assert v[2:] == [0.0, 0.0, 0.0, -1.0]
+    for groups, expected in ((plain, [0.0, 0.0, 0.0]), (coded, [-1.0])):
+        pre = features.fit_preprocessor(clf, groups)
+        assert features.apply_preprocessor(pre, odd).first().features.toArray().tolist()[2:] == expected
 
 
 def test_standard_scaling_by_population(clf):
