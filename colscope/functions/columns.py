@@ -111,6 +111,8 @@ DATE_FORMATS = [
     (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", ["MMM d, yyyy"]),
     (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", ["MMMM d, yyyy"]),
 ]
+# Cheap first look: digits, a separator, something short, a separator, a digit; or a month name and a day.
+DATE_LIKE = r"^(\d{1,4}[-/. ][0-9A-Za-z]{1,3}[-/. ]\d|[A-Za-z]{3,9} \d)"
 ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}.*)?$"
 
 
@@ -120,7 +122,7 @@ def as_timestamp(c: Column) -> Column:
     out = F.when(s.rlike(ISO_DATE), s.try_cast("timestamp"))
     for shape, formats in DATE_FORMATS:
         out = out.when(s.rlike(shape), F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats]))
-    return out
+    return F.when(s.rlike(DATE_LIKE), out)
 
 
 def moment_in_time(df: DataFrame, name: str) -> Column:
@@ -171,9 +173,15 @@ def row_key(df: DataFrame, names: list[str] | None = None) -> list[Column]:
     return keys
 
 
-def tidy(df: DataFrame, rows: list[Column]) -> DataFrame:
-    """One aggregate over the table, laid out as one row per element of `rows` (structs)."""
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+def tidy(df: DataFrame, rows: list[Column], per_aggregate: int = 4) -> DataFrame:
+    """One result row per element of `rows` (structs of aggregates).
+
+    A few elements share an aggregate. Each aggregate scans only the columns it needs, and its generated
+    code stays small enough to be compiled well, which one aggregate over all columns is not.
+    """
+    chunks = [rows[i : i + per_aggregate] for i in range(0, len(rows), per_aggregate)]
+    parts = [df.agg(F.array(*chunk).alias("rows")).select(F.inline("rows")) for chunk in chunks]
+    return reduce(DataFrame.unionAll, parts)
 
 
 def any_of(conditions: list[Column]) -> Column:
