@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 # What counts as a number in text, and the white space stripped from text.
 NUMBER_PATTERN = r"(?i)^\s*[+-]?(((\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?)|inf|infinity)\s*$"
-WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
+WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 # Text longer than this is keyed by its digest, so long documents are not shuffled to be counted.
 LONG_TEXT = 64
