@@ -6,30 +6,64 @@ A written table survives the loss of executors, cuts the lineage, and gives the
 from __future__ import annotations
 
 import atexit
-import shutil
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folder: list[str] = []
+_own: list[str] = []
+_written: dict[int, tuple[DataFrame, str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir`; a temporary one only on a single machine without it."""
+    """The folder named by `spark.checkpoint.dir`. A single machine without that setting gets a folder of its own;
+    a cluster without it is an error, as executors would not see each other's files."""
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    if not _local_folder:
-        _local_folder.append(tempfile.mkdtemp(prefix="colscope-"))
-        atexit.register(shutil.rmtree, _local_folder[0], ignore_errors=True)
-    return _local_folder[0]
+    if not _own:
+        _own.append(f"file://{tempfile.mkdtemp(prefix='colscope-')}")
+    return _own[0]
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, **options: str) -> DataFrame:
     """Write `df` to the shared folder and read it back."""
     path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[id(back)] = (back, path)
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the tables behind frames that `staged` returned; other frames are left alone."""
+    for frame in frames:
+        back, path = _written.pop(id(frame), (None, None))
+        if back is not None:
+            spark = back.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def tables() -> int:
+    """How many staged tables are still there."""
+    return len(_written)
+
+
+@contextlib.contextmanager
+def scope():
+    """Remove on leaving all tables staged inside. Results built on them must have been written by then."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        discard(*[frame for key, (frame, _) in list(_written.items()) if key not in before])
+
+
+@atexit.register
+def _clear() -> None:
+    with contextlib.suppress(Exception):  # the session may be gone by then
+        discard(*[frame for frame, _ in list(_written.values())])
