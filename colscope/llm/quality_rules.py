@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from colscope.llm.common import BLANKS, WORD, quoted
 
 LEAST_WORDS = 50
 ROUNDS = 100
-ACCURACY, GOOD, STRENGTH = 0.8, 0.8, 0.05
+GOOD, ON_GOOD, ON_BAD, STRENGTH = 0.8, 0.95, 0.5, 0.01
 
 
 def _vote(good: Column, bad: Column) -> Column:
@@ -40,7 +41,8 @@ def rules() -> dict[str, Column]:
         "symbols": _vote(20 * F.col("n_symbols") <= words, 4 * F.col("n_symbols") > words),
         "lines": _vote((lines >= 4) & (10 * F.col("n_dup_lines") <= lines), 10 * F.col("n_dup_lines") > 3 * lines),
         "repeats": _vote(10 * F.col("n_repeat_words") <= words, 10 * F.col("n_repeat_words") > 3 * words),
-        "letters": _vote(10 * letters >= 8 * chars, 2 * letters < chars),
+        "marks": _vote(20 * F.col("n_marks") <= words, 5 * F.col("n_marks") > words),
+        "letters": _vote(100 * letters >= 90 * chars, 100 * letters < 85 * chars),
         "capitals": _vote(8 * F.col("n_capitals") <= letters, 2 * F.col("n_capitals") > letters),
         "stops": _vote((100 * F.col("n_stops") >= words) & (4 * F.col("n_stops") <= words), 2 * F.col("n_stops") > words),
     }
@@ -79,6 +81,7 @@ def measured(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     counted = split.select("doc_id", F.inline(F.array(F.struct(
         n_words.cast("long").alias("n_words"), _kept_chars(BLANKS).alias("word_chars"),
         (F.length("text") - _kept_chars(r"[#*$%&|<>]+")).cast("long").alias("n_symbols"),
+        F.regexp_count("text", F.lit(r"[#*$%&|<>]+")).cast("long").alias("n_marks"),
         (F.length("text") - _kept_chars(r"[.!?]+")).cast("long").alias("n_stops"),
         _kept_chars(r"[^\p{L}]+").alias("n_letters"), _kept_chars(r"[^\p{Lu}]+").alias("n_capitals"),
         F.size("lines").cast("long").alias("n_lines"),
@@ -87,33 +90,53 @@ def measured(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     return counted.withColumn("n_repeat_words", _repeats()).drop("windows")
 
 
-def estimate(patterns: Mapping[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[float, list[float]]:
-    """The share of good texts and each rule's accuracy, from the number of texts by pattern of votes. The estimates are
-    held near their starting values by STRENGTH of the texts and above one half, so that good stays good."""
-    total = sum(patterns.values())
-    size = len(next(iter(patterns), ()))
-    good, accuracy = GOOD, [ACCURACY] * size
+@dataclass(frozen=True)
+class Beliefs:
+    """The share of good texts, and how often each rule that votes is right: on good texts and on bad ones. A rule is one
+    sort of fault as a rule, so it misses many bad texts while its bad votes are nearly always right."""
+
+    good: float
+    on_good: tuple[float, ...]
+    on_bad: tuple[float, ...]
+
+    def weights(self) -> list[tuple[float, float]]:
+        """Log odds that a good vote and a bad vote of each rule add."""
+        return [(math.log(g / (1 - b)), math.log((1 - g) / b)) for g, b in zip(self.on_good, self.on_bad, strict=True)]
+
+    def log_odds(self, votes: tuple[int, ...]) -> float:
+        given = sum((w[0] if v > 0 else w[1]) for v, w in zip(votes, self.weights(), strict=True) if v)
+        return math.log(self.good / (1 - self.good)) + given
+
+
+def _held(value: float, least: float, most: float) -> float:
+    return min(most, max(least, value))
+
+
+def estimate(patterns: Mapping[tuple[int, ...], int], rounds: int = ROUNDS) -> Beliefs:
+    """Expectation-maximisation over the number of texts by pattern of votes. The estimates are held near their starting
+    values by STRENGTH of the texts, and every rule better than chance, so that good stays good."""
+    total, size = sum(patterns.values()), len(next(iter(patterns), ()))
+    now = Beliefs(GOOD, (ON_GOOD,) * size, (ON_BAD,) * size)
     pseudo = STRENGTH * total
     for _ in range(rounds if total else 0):
-        right, voted, share = [0.0] * size, [0.0] * size, 0.0
+        share, weight = 0.0, [[0.0] * 4 for _ in range(size)]  # good voted, good right, bad voted, bad right
         for votes, n in patterns.items():
-            p = 1 / (1 + math.exp(-max(-500.0, min(500.0, log_odds(votes, good, accuracy)))))
+            p = 1 / (1 + math.exp(-_held(now.log_odds(votes), -500.0, 500.0)))
             share += n * p
-            for j, v in enumerate(votes):
+            for w, v in zip(weight, votes, strict=True):
                 if v:
-                    voted[j] += n
-                    right[j] += n * (p if v > 0 else 1 - p)
-        new = [min(0.99, max(0.55, (right[j] + pseudo * ACCURACY) / (voted[j] + pseudo))) for j in range(size)]
-        share = min(0.99, max(0.01, (share + pseudo * GOOD) / (total + pseudo)))
-        moved = max([abs(share - good), *(abs(a - b) for a, b in zip(new, accuracy, strict=True))])
-        good, accuracy = share, new
+                    w[0] += n * p
+                    w[1] += n * p * (v > 0)
+                    w[2] += n * (1 - p)
+                    w[3] += n * (1 - p) * (v < 0)
+        on_good = tuple(_held((w[1] + pseudo * ON_GOOD) / (w[0] + pseudo), 0.6, 0.999) for w in weight)
+        on_bad = tuple(_held((w[3] + pseudo * ON_BAD) / (w[2] + pseudo), 1.05 - g, 0.99) for w, g in zip(weight, on_good, strict=True))
+        new = Beliefs(_held((share + pseudo * GOOD) / (total + pseudo), 0.01, 0.99), on_good, on_bad)
+        moved = max(abs(a - b) for a, b in zip((new.good, *new.on_good, *new.on_bad), (now.good, *now.on_good, *now.on_bad), strict=True))
+        now = new
         if moved < 1e-9:
             break
-    return good, accuracy
-
-
-def log_odds(votes: tuple[int, ...], good: float, accuracy: list[float]) -> float:
-    return math.log(good / (1 - good)) + sum(v * math.log(a / (1 - a)) for v, a in zip(votes, accuracy, strict=True))
+    return now
 
 
 def judged(docs: DataFrame, threshold: float = 0.5, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -121,11 +144,12 @@ def judged(docs: DataFrame, threshold: float = 0.5, id: str = "doc_id", text: st
     votes = rules()
     names = list(votes)
     rows = staged(measured(docs, id, text).select("*", *[v.cast("int").alias(f"vote_{k}") for k, v in votes.items()]))
-    table = rows.groupBy(*[f"vote_{k}" for k in names]).count().collect()  # at most 3 ** 8 rows
-    good, accuracy = estimate({tuple(r[: len(names)]): r["count"] for r in sorted(table)})
-    odds = F.lit(math.log(good / (1 - good)))
-    for name, a in zip(names, accuracy, strict=False):
-        odds = odds + F.col(f"vote_{name}") * F.lit(math.log(a / (1 - a)))
+    table = rows.groupBy(*[f"vote_{k}" for k in names]).count().collect()  # at most 3 ** 9 rows
+    beliefs = estimate({tuple(r[: len(names)]): r["count"] for r in sorted(table)})
+    odds = F.lit(math.log(beliefs.good / (1 - beliefs.good)))
+    for name, (up, down) in zip(names, beliefs.weights(), strict=False):
+        vote = F.col(f"vote_{name}")
+        odds = odds + F.when(vote > 0, up).when(vote < 0, down).otherwise(0.0)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed).withColumn("posterior", 1 / (1 + F.exp(-odds)))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
