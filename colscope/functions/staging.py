@@ -38,6 +38,19 @@ def staged(df: DataFrame, **options: str) -> DataFrame:
     return back
 
 
+def bucketed(df: DataFrame, column: str, folders: str, **options: str) -> DataFrame:
+    """The same as `staged`, in one folder per value of `folders` and hashed into buckets by `column`, as many as there are
+    shuffle partitions, so that later groupings by that column need no shuffle."""
+    spark, name = df.sparkSession, f"staged_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.format("parquet").options(path=path, **options).partitionBy(folders)
+    writer.bucketBy(buckets, column).saveAsTable(name)
+    back = spark.table(name)
+    _written[id(back)] = (back, path)
+    return back
+
+
 def discard(*frames: DataFrame) -> None:
     """Remove the tables behind frames that `staged` returned; other frames are left alone."""
     for frame in frames:
