@@ -2,10 +2,11 @@
 
 Texts are split into pre-tokens by a pattern; each is merged by ranks on its own, without special tokens. Tasks take
 documents in chunks of bounded size, number the distinct pre-tokens of a chunk, and write the numbers by position (one
-row a chunk, compressed) and the words in slices by their hash (one row a chunk and slice). Only the words are then
-shuffled by slice: all copies of a word meet in one task, which encodes it once and sends its ids back to the chunks that
-have it. There they are joined with the numbers and every document is put together by position. A word comes at most once
-from a chunk, so " the" is no hot key; a task's memory is bounded by a chunk and by `MOST_CACHED` words.
+row a chunk, compressed, bucketed by chunk) and the words in slices by their hash (one row a chunk and slice). Only the
+words are then shuffled by slice: all copies of a word meet in one task, which encodes it once and sends its ids back to
+the chunks that have it. There they are joined with the numbers, which stay in their buckets, and every document is put
+together by position. A word comes at most once from a chunk, so " the" is no hot key; a task's memory is bounded by a
+chunk and by `MOST_CACHED` words.
 
 Null texts count as empty; an empty text has no ids and decodes to no bytes. A document longer than a chunk is a chunk of
 its own. Repeated rows come out repeated; an empty table gives an empty table. Other columns are not read.
@@ -20,6 +21,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 from hashlib import sha256
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -30,13 +32,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colscope.functions.staging import staged
+from colscope.functions.staging import bucketed
 from colscope.llm.common import quoted
 
-CHUNK_CHARS = 1 << 24
-SLICES = 512
-MOST_CACHED = 1 << 19
+CHUNK_CHARS = 1 << 23
+SLICES = 256
+MOST_CACHED = 1 << 17
 CODEC = "zstd"
+NUMBERS, PLACES = -1, -2  # in the place of a slice: rows of a chunk that are no words
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -103,21 +106,55 @@ def _compiled(pattern: str) -> regex.Pattern:
     return regex.compile(pattern)
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Compressed 32-bit numbers, the bytes of equal weight together."""
-    return pa.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), CODEC, asbytes=True)
+# Numbers are written with one byte for the smallest and up to four for the largest, first bytes first; by class of length
+# the smallest number and the first byte it starts at.
+SMALLEST = np.array([0, 1 << 7, (1 << 7) + (1 << 14), (1 << 7) + (1 << 14) + (1 << 21)], np.int32)
+FIRST_BYTE = np.array([0, 128, 192, 224], np.int32)
 
 
-def _unpacked(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, 4 * n, CODEC, asbytes=True), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(n)
+def _packed(values: np.ndarray) -> bytes:
+    """Compressed numbers below 2**29, bytes of the same place together."""
+    kind = np.searchsorted(SMALLEST[1:], values.astype(np.int32), "right").astype(np.uint8)
+    rest = values.astype(np.int32) - SMALLEST[kind]
+    places = [(FIRST_BYTE[kind] + (rest >> (8 * kind.astype(np.int32)))).astype(np.uint8)]
+    for k in (1, 2, 3):
+        longer = kind >= k
+        places.append((rest[longer] >> 8 * (kind[longer].astype(np.int32) - k) & 255).astype(np.uint8))
+    data = np.concatenate(places).tobytes()
+    return np.array([len(values), len(data)], "<u4").tobytes() + pa.compress(data, CODEC, asbytes=True)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    n, size = np.frombuffer(packed, "<u4", 2).tolist()
+    data = np.frombuffer(pa.decompress(packed[8:], size, CODEC, asbytes=True), np.uint8)
+    kind = np.searchsorted(FIRST_BYTE[1:].astype(np.uint8), data[:n], "right").astype(np.uint8)
+    values, at = data[:n].astype(np.int32) - FIRST_BYTE[kind], n
+    for k in (1, 2, 3):
+        longer = np.flatnonzero(kind >= k)
+        values[longer] = values[longer] << 8 | data[at : at + len(longer)]
+        at += len(longer)
+    return values + SMALLEST[kind]
+
+
+def _packed_words(words: list[bytes]) -> bytes:
+    data = b"".join(words)
+    lengths = _packed(np.fromiter(map(len, words), np.int64, len(words)))
+    return np.array([len(lengths), len(data)], "<u4").tobytes() + lengths + pa.compress(data, CODEC, asbytes=True)
+
+
+def _unpacked_words(packed: bytes) -> list[bytes]:
+    skip, size = np.frombuffer(packed, "<u4", 2).tolist()
+    data = pa.decompress(packed[8 + skip :], size, CODEC, asbytes=True)
+    ends = np.cumsum(_unpacked(packed[8 : 8 + skip])).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], id_type: pa.DataType, pattern: str, slices: int, chars: int) -> Iterator[pa.RecordBatch]:
-    """Chunks of documents: a row of slice -1 with doc_ids, words per document and the numbers; rows of words by slice."""
+    """Chunks of documents: a row with doc_ids, words per document and the numbers by position, a row with the slice of each
+    number, and a row for each slice with its words in order of their numbers."""
     find = _compiled(pattern).findall
     schema = pa.schema([("chunk", pa.string()), ("slice", pa.int32()), ("ids", pa.list_(id_type)),
-                        ("n_words", pa.list_(pa.int32())), ("n", pa.int32()), ("data", pa.binary())])
+                        ("n_words", pa.list_(pa.int32())), ("data", pa.binary()), ("words", pa.bool_())])
     numbers: defaultdict[str, int] = defaultdict()
     numbers.default_factory = numbers.__len__
     ids: list = []
@@ -125,24 +162,21 @@ def _chunks(batches: Iterator[pa.RecordBatch], id_type: pa.DataType, pattern: st
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        name = uuid.uuid4().hex
-        words = [w.encode("utf-8", "surrogatepass") for w in numbers]
-        place = np.fromiter((crc32(w) for w in words), np.uint32, len(words)) % np.uint32(slices)
-        # words get new numbers: by slice, then by first appearance
+        name, words = uuid.uuid4().hex, [w.encode("utf-8", "surrogatepass") for w in numbers]
+        flat = np.concatenate(codes)
+        # frequent words get small numbers, which are shorter
+        often = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), np.int32)
+        rank[often] = np.arange(len(words), dtype=np.int32)
+        place = np.fromiter((crc32(words[i]) for i in often.tolist()), np.int64, len(words)) % slices
+        rows = [(name, NUMBERS, ids, [len(c) for c in codes], _packed(rank[flat])), (name, PLACES, None, None, _packed(place))]
         order = np.argsort(place, kind="stable")
-        renumbered = np.empty(len(words), np.uint32)
-        renumbered[order] = np.arange(len(words), dtype=np.uint32)
-        flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
-        # frequent words have small numbers of first appearance, which compress better than the new ones
-        rows = [(name, -1, ids, [len(c) for c in codes], len(flat), _packed(flat))]
-        rows.append((name, -2, None, None, len(words), _packed(renumbered)))
-        edges = np.searchsorted(place[order], np.arange(slices + 1))
-        for k in range(slices):
-            if edges[k] < edges[k + 1]:
-                mine = [words[i] for i in order[edges[k] : edges[k + 1]]]
-                lengths = np.fromiter(map(len, mine), np.uint32, len(mine))
-                rows.append((name, k, None, None, len(mine), lengths.tobytes() + b"".join(mine)))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        edges = np.searchsorted(place[order], np.arange(slices + 1)).tolist()
+        mine = often[order].tolist()
+        rows += [(name, k, None, None, _packed_words([words[i] for i in mine[a:b]]))
+                 for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=False)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([r[1] >= 0 for r in rows])], schema=schema)
         numbers.clear()
         ids.clear()
         codes.clear()
@@ -164,58 +198,50 @@ def _chunks(batches: Iterator[pa.RecordBatch], id_type: pa.DataType, pattern: st
 def _encoded(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """The ids of the words of each (chunk, slice); a word that several chunks have is encoded once."""
     ranks = shared.value
-    cached: dict[bytes, np.ndarray] = {}
+    cached: dict[bytes, list[int]] = {}
     for batch in batches:
         out = []
-        for n, data in zip(batch.column("n").to_pylist(), batch.column("data"), strict=True):
-            data = data.as_py()
-            ends = 4 * n + np.cumsum(np.frombuffer(data, "<u4", n))
-            ids, at = [], 4 * n
-            for end in ends.tolist():
-                word = data[at:end]
+        for packed in batch.column("data"):
+            ids = []
+            for word in _unpacked_words(packed.as_py()):
                 found = cached.get(word)
                 if found is None:
                     if len(cached) >= MOST_CACHED:
                         cached.clear()
                     found = cached[word] = encode_word(word, ranks)
                 ids.append(found)
-                at = end
-            lengths = np.fromiter(map(len, ids), np.uint32, n)
-            flat = np.fromiter((i for part in ids for i in part), np.uint32, int(lengths.sum()))
-            out.append(np.array([n, len(flat)], "<u4").tobytes() + _packed(np.concatenate([lengths, flat])))
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(lengths.sum()))
+            first = _packed(lengths)
+            out.append(np.array([len(first)], "<u4").tobytes() + first + _packed(flat))
         yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("slice"), pa.array(out, pa.binary())], ["chunk", "slice", "data"])
 
 
 def _assembled(key, chunk: pa.Table, words: pa.Table) -> pa.Table:
     """The documents of a chunk with their ids."""
-    parts = {s: d for s, d in zip(words["slice"].to_pylist(), words["data"].to_pylist(), strict=True)}
-    lengths, flat = [], []
+    parts = dict(zip(words["slice"].to_pylist(), words["data"].to_pylist(), strict=True))
+    lengths, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     for k in sorted(parts):
-        n, m = np.frombuffer(parts[k], "<u4", 2)
-        both = _unpacked(parts[k][8:], int(n) + int(m))
-        lengths.append(both[:n])
-        flat.append(both[n:])
+        cut = 4 + int.from_bytes(parts[k][:4], "little")
+        lengths.append(_unpacked(parts[k][4:cut]))
+        flat.append(_unpacked(parts[k][cut:]).astype(np.int32))
     rows = {s: i for i, s in enumerate(chunk["slice"].to_pylist())}
-    head, names = rows[-1], rows[-2]
-    number = _unpacked(chunk["data"][names].as_py(), chunk["n"][names].as_py())
-    codes = number[_unpacked(chunk["data"][head].as_py(), chunk["n"][head].as_py())]
-    size = np.concatenate(lengths).astype(np.int64) if lengths else np.zeros(0, np.int64)
-    ids = np.concatenate(flat).astype(np.int32) if flat else np.zeros(0, np.int32)
-    start = np.cumsum(size) - size
-    counts = np.array(chunk["n_words"][head].as_py(), np.int64)
-    edges = np.concatenate([[0], np.cumsum(counts)])
-    doc_ids = chunk["ids"][head].values
-    sequences = []
+    head = rows[NUMBERS]
+    order = np.argsort(_unpacked(chunk["data"][rows[PLACES]].as_py()), kind="stable")
+    size, ids = np.concatenate(lengths), np.concatenate(flat)
+    first = np.cumsum(size) - size
+    of = np.empty((2, len(order)), np.int32)  # by number: the place of its ids and how many
+    of[:, order] = first, size
+    numbers = _unpacked(chunk["data"][head].as_py())
+    edges = np.cumsum([0, *chunk["n_words"][head].as_py()]).tolist()
+    sequences = [np.zeros(0, np.int32)]
     for a, b in zip(edges, edges[1:], strict=False):
-        own = codes[a:b]
-        n = size[own]
+        start, n = of[:, numbers[a:b]]
         ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        sequences.append(ids[np.repeat(start[own] - ends + n, n) + np.arange(total)])
-    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sequences])])
-    values = np.concatenate(sequences) if sequences else np.zeros(0, np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
-    return pa.table([doc_ids, lists], names=["doc_id", "ids"])
+        sequences.append(ids[np.repeat(start - ends + n, n) + np.arange(n.sum())])
+    offsets = np.cumsum([len(s) for s in sequences])
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sequences), pa.int32()))
+    return pa.table([chunk["ids"][head].values, lists], names=["doc_id", "ids"])
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id: str = "doc_id", text: str = "text",
@@ -228,13 +254,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id: str = "do
     arrow = to_arrow_type(kind)
     schema = T.StructType([
         T.StructField("chunk", T.StringType()), T.StructField("slice", T.IntegerType()), T.StructField("ids", T.ArrayType(kind)),
-        T.StructField("n_words", T.ArrayType(T.IntegerType())), T.StructField("n", T.IntegerType()), T.StructField("data", T.BinaryType())])
-    pieces = staged(narrow.mapInArrow(lambda batches: _chunks(batches, arrow, pattern, slices, chunk_chars), schema), compression="zstd")
+        T.StructField("n_words", T.ArrayType(T.IntegerType())), T.StructField("data", T.BinaryType()), T.StructField("words", T.BooleanType())])
+    pieces = bucketed(narrow.mapInArrow(lambda batches: _chunks(batches, arrow, pattern, slices, chunk_chars), schema),
+                      "chunk", "words", compression="zstd")
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    words = (pieces.filter("slice >= 0").select("chunk", "slice", "n", "data").repartition("slice")
+    words = (pieces.filter("words").select("chunk", "slice", "data").repartition("slice")
              .mapInArrow(lambda batches: _encoded(batches, shared), "chunk string, slice int, data binary"))
     result = T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return pieces.filter("slice < 0").groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_assembled, result)
+    numbers = pieces.filter("not words").select("chunk", "slice", "ids", "n_words", "data")
+    return numbers.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_assembled, result)
 
 
 def decoded(spark: SparkSession, ids: Column, ranks: dict[bytes, int]) -> Column:
