@@ -39,3 +39,17 @@ def without(docs: DataFrame, dropped: DataFrame, keys: list[tuple[str, Column]])
     gone = dropped.select(F.struct(*names).alias("gone"))
     left = rows.filter("maybe").join(gone, F.col("key").eqNullSafe(F.col("gone")), "left_anti")
     return unpacked(rows.filter(~F.col("maybe"))).unionByName(unpacked(left))
+
+
+HOT_GROUPS = 1_000
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """`rows` joined to their group (one row a key, not null) by `key`. `size` is the groups' number of rows of `total`:
+    those with more than one part in HOT_GROUPS, of which there are less than HOT_GROUPS, are broadcast, so that a group of
+    any size stays spread out; the rest are joined by shuffle."""
+    hot = F.col(size) > max(1, total // HOT_GROUPS)
+    flagged = groups.filter(hot).select(F.col(key).alias("hot_key"))
+    rows_of = lambda how: rows.join(F.broadcast(flagged), F.col(key) == F.col("hot_key"), how)
+    large = rows_of("left_semi").join(F.broadcast(groups.filter(hot)), key)
+    return large.unionByName(rows_of("left_anti").join(groups.filter(~hot), key))

@@ -1,8 +1,7 @@
 """Connected components of links between 64-bit nodes by alternating large-star and small-star rounds.
 
 Each round replaces links by links to the least neighbour, so long chains shorten quickly; every round is written to the
-shared folder and the one before removed. Only counts reach the driver. A node with very many links is one hot key of a
-join whose other side has one row for it, which adaptive execution splits.
+shared folder. Only counts reach the driver. Nodes with very many links are joined by broadcast, as there can be only few.
 """
 
 from __future__ import annotations
@@ -10,18 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colscope.functions.staging import discard, staged
+from colscope.functions.staging import staged
+from colscope.llm.common import with_groups
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = staged(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
+    joined = with_groups(both, least, "a", "n", 2 * total)
+    return joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
-    moved = links.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+def _small_star(links: DataFrame, total: int) -> DataFrame:
+    least = staged(links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+    moved = with_groups(links, least, "a", "n", total).filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -38,8 +39,6 @@ def roots(links: DataFrame) -> DataFrame:
     ordered = links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = staged(ordered)
     while not _are_stars(now):
-        wide = staged(_large_star(now))
-        discard(now)
-        now = staged(_small_star(wide))
-        discard(wide)
+        wide = staged(_large_star(now, now.count()))
+        now = staged(_small_star(wide, wide.count()))
     return now

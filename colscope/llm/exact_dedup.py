@@ -3,7 +3,7 @@
 Texts are equal when identical after deleting ASCII white space; null counts as empty. Of equal texts the row with the
 most code points stays, then the smallest doc_id (null last). The first pass counts, for each place of the filter, the
 rows that hit it; the second lets every row pass whose places are not all shared. The rest are grouped by SHA-256, with
-partial aggregation before the shuffle, and joined back; adaptive execution splits a hash that very many rows share.
+partial aggregation before the shuffle, and joined back, the largest groups by broadcast.
 
 Rows that repeat both doc_id and text are marked alike by `mark`; `deduplicate` keeps one of them. An empty table gives
 an empty table. Other columns are not read by `mark` and pass through `deduplicate`, whatever their names.
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from colscope.functions.staging import discard, staged
 from colscope.llm import bloom
-from colscope.llm.common import BLANKS, quoted, unpacked, whole_rows
+from colscope.llm.common import BLANKS, quoted, unpacked, whole_rows, with_groups
 
 
 def _text(text: str) -> Column:
@@ -49,9 +49,9 @@ def mark(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),
         "text_sha256")
     rest = rows.filter("maybe")
-    groups = rest.groupBy("text_sha256").agg(_best().alias("best"), F.count("*").alias("group_size"))
+    groups = staged(rest.groupBy("text_sha256").agg(_best().alias("best"), F.count("*").alias("group_size")))
     stays = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("n_chars") == -F.col("best.n"))
-    return alone.unionByName(rest.join(groups, "text_sha256").select(
+    return alone.unionByName(with_groups(rest, groups, "text_sha256", "group_size", digests.count()).select(
         "doc_id", F.col("best.id").alias("keep_id"), "group_size", stays.alias("kept"), "text_sha256"))
 
 

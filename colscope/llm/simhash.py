@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from colscope.functions.staging import discard, staged
 from colscope.llm import components
-from colscope.llm.common import quoted, without
+from colscope.llm.common import quoted, with_groups, without
 
 SHINGLE = 4
 DISTANCE = 4
@@ -193,18 +193,21 @@ def links(table: DataFrame, count: int, distance: int = DISTANCE, crowd: int = C
 
 
 def _classes(prints: DataFrame, distance: int) -> DataFrame:
-    """(fp, component_id) of the distinct fingerprints."""
-    table = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    reached = components.roots(links(table.select("fp"), table.count(), distance))
+    """fp, component_id and n (rows) of the distinct fingerprints."""
+    table = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    count = table.count()
+    reached = components.roots(links(table.select("fp"), count, distance))
     rooted = table.join(reached.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left")
-    rooted = rooted.select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    rooted = staged(rooted.select("fp", "n", "least", F.coalesce("root", "fp").alias("root")))
+    groups = staged(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size")))
+    return staged(with_groups(rooted, groups, "root", "size", count).select("fp", "component_id", "n"))
 
 
 def mark(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """A row for each row of `docs`: doc_id, text_key, fp and component_id, the smallest doc_id reachable."""
     prints = staged(fingerprints(docs, id, text, shingle))
-    return prints.join(_classes(prints, distance), "fp").select("doc_id", "text_key", "fp", "component_id")
+    joined = with_groups(prints, _classes(prints, distance), "fp", "n", prints.count())
+    return joined.select("doc_id", "text_key", "fp", "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:
