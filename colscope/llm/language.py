@@ -116,10 +116,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(np.append(counts[used], docs[name]), pa.int64())], ["lang", "place", "n"])
 
 
-def fit(rows: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, text: str = "text", lang: str = "lang") -> Model:
+def fit(rows: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, id: str = "doc_id", text: str = "text",
+        lang: str = "lang") -> Model:
     """Learn from the labelled rows: those with both values. Of a language with more than `rows_per_language` rows about
-    that many are taken, by the hash of the text, so that the choice is the same on any cluster."""
-    known = rows.select(quoted(lang).alias("lang"), quoted(text).alias("text")).filter("lang is not null and text is not null")
+    that many are taken, by the hash of id and text, so that the choice is the same on any cluster."""
+    known = rows.select(quoted(lang).alias("lang"), quoted(text).alias("text"), F.xxhash64(quoted(id), quoted(text)).alias("key"))
+    known = known.filter("lang is not null and text is not null")
     sizes = known.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages: the broadcast matrix would not be bounded")
@@ -127,9 +129,9 @@ def fit(rows: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, text: str =
         return Model([], np.zeros(0), np.zeros((0, BUCKETS + 1), np.int32))
     scale = 1 << 20
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(scale, scale * rows_per_language // r["count"] + 1))])
-    drawn = known.filter(F.pmod(F.xxhash64("text", F.lit("draw")), F.lit(scale)) < share[F.col("lang")])
+    drawn = known.filter(F.pmod("key", F.lit(scale)) < share[F.col("lang")])
     parts = min(64, sum(min(r["count"], rows_per_language) for r in sizes) // 1000 + 1)
-    table = (drawn.repartition(parts, F.xxhash64("text")).mapInArrow(_counts, "lang string, place int, n long")
+    table = (drawn.repartition(parts).select("lang", "text").mapInArrow(_counts, "lang string, place int, n long")
              .groupBy("lang", "place").agg(F.sum("n").alias("n")).toArrow())
     names = sorted(set(table["lang"].to_pylist()))
     row = table["lang"].combine_chunks().dictionary_encode() if names else None
