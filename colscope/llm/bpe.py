@@ -20,7 +20,6 @@ import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
-from hashlib import sha256
 from itertools import chain
 from zlib import crc32
 
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colscope.functions.staging import bucketed
-from colscope.llm.common import quoted
+from colscope.llm.common import quoted, small_batches
 
 CHUNK_CHARS = 1 << 23
 SLICES = 256
@@ -217,8 +216,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("slice"), pa.array(out, pa.binary())], ["chunk", "slice", "data"])
 
 
-def _assembled(key, chunk: pa.Table, words: pa.Table) -> pa.Table:
-    """The documents of a chunk with their ids."""
+def _assembled(key, chunk: pa.Table, words: pa.Table, table) -> pa.Table:
+    """The documents of a chunk with their ids, and what these decode to by the broadcast table of token bytes."""
     parts = dict(zip(words["slice"].to_pylist(), words["data"].to_pylist(), strict=True))
     lengths, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     for k in sorted(parts):
@@ -234,22 +233,32 @@ def _assembled(key, chunk: pa.Table, words: pa.Table) -> pa.Table:
     of[:, order] = first, size
     numbers = _unpacked(chunk["data"][head].as_py())
     edges = np.cumsum([0, *chunk["n_words"][head].as_py()]).tolist()
-    sequences = [np.zeros(0, np.int32)]
+    sequences, data, token = [], [], table.value.__getitem__
     for a, b in zip(edges, edges[1:], strict=False):
         start, n = of[:, numbers[a:b]]
         ends = np.cumsum(n)
-        sequences.append(ids[np.repeat(start - ends + n, n) + np.arange(n.sum())])
-    offsets = np.cumsum([len(s) for s in sequences])
-    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sequences), pa.int32()))
-    return pa.table([chunk["ids"][head].values, lists], names=["doc_id", "ids"])
+        own = ids[np.repeat(start - ends + n, n) + np.arange(n.sum())]
+        sequences.append(own.astype("<u4").tobytes())
+        data.append(b"".join(map(token, own.tolist())))
+    return pa.table([chunk["ids"][head].values, pa.array(sequences, pa.binary()), pa.array(data, pa.binary())],
+                    names=["doc_id", "ids", "decoded"])
+
+
+def token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
+    """The bytes of each id; no bytes for a number between that is no id."""
+    table = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        table[rank] = token
+    return table
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id: str = "doc_id", text: str = "text",
            slices: int = SLICES, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """doc_id and ids (array<int>) of each row of `docs`."""
+    """Of each row of `docs`: doc_id, ids (binary, little-endian unsigned 32-bit integers), and decoded, the bytes that the
+    ids decode to."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    narrow = docs.select(quoted(id).alias("doc_id"), quoted(text).alias("text"))
+    narrow = small_batches(docs).select(quoted(id).alias("doc_id"), quoted(text).alias("text"))
     kind = narrow.schema["doc_id"].dataType
     arrow = to_arrow_type(kind)
     schema = T.StructType([
@@ -260,31 +269,25 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id: str = "do
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     words = (pieces.filter("words").select("chunk", "slice", "data").repartition("slice")
              .mapInArrow(lambda batches: _encoded(batches, shared), "chunk string, slice int, data binary"))
-    result = T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    table = docs.sparkSession.sparkContext.broadcast(token_bytes(ranks))
+    result = T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
     numbers = pieces.filter("not words").select("chunk", "slice", "ids", "n_words", "data")
-    return numbers.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_assembled, result)
+    return numbers.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(
+        lambda key, chunk, words: _assembled(key, chunk, words, table), result)
 
 
-def decoded(spark: SparkSession, ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The bytes of a column of id arrays: a map-side join with the table of token bytes. An id without a token is an
-    error, as no bytes stand for it."""
-    table = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        table[rank] = token
-    shared = spark.sparkContext.broadcast(table)
+def decode(spark: SparkSession, ids: Column, ranks: dict[bytes, int]) -> Column:
+    """The bytes that a column of ids (binary as `encode` gives it) decodes to: a map-side join with the table of token
+    bytes. Null ids have none; an id beyond the table is an error, as no bytes stand for it."""
+    shared = spark.sparkContext.broadcast(token_bytes(ranks))
 
     @F.pandas_udf("binary")
     def joined(rows: pd.Series) -> pd.Series:
-        find = shared.value.__getitem__
-        return rows.map(lambda x: b"".join(map(find, x.tolist())) if x is not None else b"")
+        token = shared.value.__getitem__
+        return rows.map(lambda x: b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())))
 
     return joined(ids)
 
 
-def digested(ids: Column) -> Column:
-    """SHA-256 of ids as little-endian unsigned 32-bit integers, in lowercase hex."""
-    @F.pandas_udf("string")
-    def digest(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda x: sha256(np.asarray([] if x is None else x, "<u4").tobytes()).hexdigest())
-
-    return digest(ids)
+def n_tokens(ids: Column) -> Column:
+    return (F.octet_length(ids) / 4).cast("long")

@@ -9,6 +9,7 @@ from colscope.llm import bloom
 
 BLANKS = r"[ \t-\r]+"
 WORD = r"[^ \t-\r]+"
+TEXTS_A_BATCH = 500
 
 
 def quoted(name: str) -> Column:
@@ -16,6 +17,16 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Have Arrow batches of this session hold fewer rows: the default of 10,000 is for numbers, and would keep tens or
+    hundreds of MB of texts several times over in each task. A smaller setting is left as it is."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= TEXTS_A_BATCH:
+        conf.set(name, str(TEXTS_A_BATCH))
+    return df
+
+
 def whole_rows(df: DataFrame) -> Column:
     """All columns as one struct, so that helper columns beside it can't clash with them."""
     return F.struct(*[quoted(c) for c in df.columns]).alias("row")
@@ -34,7 +45,7 @@ def without(docs: DataFrame, dropped: DataFrame, keys: list[tuple[str, Column]])
     names = [name for name, _ in keys]
     hashed = F.xxhash64(*[F.col(f"key.{n}") for n in names])
     seen = bloom.present(dropped.select(F.xxhash64(*names).alias("hash")), dropped.count())
-    rows = docs.select(whole_rows(docs), F.struct(*[c.alias(n) for n, c in keys]).alias("key"))
+    rows = small_batches(docs).select(whole_rows(docs), F.struct(*[c.alias(n) for n, c in keys]).alias("key"))
     rows = rows.withColumn("maybe", bloom.contains(docs.sparkSession, hashed, seen))
     gone = dropped.select(F.struct(*names).alias("gone"))
     left = rows.filter("maybe").join(gone, F.col("key").eqNullSafe(F.col("gone")), "left_anti")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from colscope.functions.staging import discard, staged
 from colscope.llm import bloom
-from colscope.llm.common import BLANKS, quoted, unpacked, whole_rows, with_groups
+from colscope.llm.common import BLANKS, quoted, small_batches, unpacked, whole_rows, with_groups
 
 
 def _text(text: str) -> Column:
@@ -63,7 +63,7 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     groups = digests.withColumn("maybe", flagged).filter("maybe").groupBy("text_sha256").agg(_best().alias("best"))
     best = staged(groups.select(F.col("text_sha256").alias("sha"), F.col("best.id").alias("id"), (-F.col("best.n")).alias("n")))
     discard(digests)
-    rows = docs.select(whole_rows(docs), quoted(id).alias("doc_id"), F.length(_text(text)).cast("long").alias("n_chars"),
+    rows = small_batches(docs).select(whole_rows(docs), quoted(id).alias("doc_id"), F.length(_text(text)).cast("long").alias("n_chars"),
                        _digest(text).alias("text_sha256")).withColumn("maybe", flagged)
     same = ((F.col("text_sha256") == F.col("sha")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("n_chars") == F.col("n")))
     stay = rows.filter("maybe").join(best, same, "left_semi").dropDuplicates(["text_sha256", "doc_id", "n_chars"])

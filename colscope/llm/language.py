@@ -22,13 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colscope.llm.common import quoted, unpacked, whole_rows
+from colscope.llm.common import quoted, small_batches, unpacked, whole_rows
 
 BUCKETS = 1 << 16
 UNIT = 1 << 16
 ROWS_PER_LANGUAGE = 5_000
 MOST_LANGUAGES = 500
-MOST_CHARS = 1 << 20
+MOST_CHARS = 1 << 18
 
 
 @dataclass
@@ -43,8 +43,8 @@ class Model:
 @cache
 def _letters() -> np.ndarray:
     """For each code point the lower-case letter, or a blank."""
-    return np.array([ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else 32
-                     for c in map(chr, range(0x110000))], np.uint32)
+    lowered = (c.lower() if c.isalpha() else " " for c in map(chr, range(0x110000)))
+    return np.fromiter((ord(c) if len(c) == 1 else ord(c[0]) for c in lowered), np.uint32, 0x110000)
 
 
 def _pieces(texts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
@@ -120,7 +120,7 @@ def fit(rows: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, id: str = "
         lang: str = "lang") -> Model:
     """Learn from the labelled rows: those with both values. Of a language with more than `rows_per_language` rows about
     that many are taken, by the hash of id and text, so that the choice is the same on any cluster."""
-    known = rows.select(quoted(lang).alias("lang"), quoted(text).alias("text"), F.xxhash64(quoted(id), quoted(text)).alias("key"))
+    known = small_batches(rows).select(quoted(lang).alias("lang"), quoted(text).alias("text"), F.xxhash64(quoted(id), quoted(text)).alias("key"))
     known = known.filter("lang is not null and text is not null")
     sizes = known.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
     if len(sizes) > MOST_LANGUAGES:
@@ -180,7 +180,7 @@ def _result(model: Model, text: Column, spark) -> Column:
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of `docs` in the struct `row`, with lang_pred and score beside it."""
-    out = docs.select(whole_rows(docs), _result(model, quoted(text), docs.sparkSession).alias("language"))
+    out = small_batches(docs).select(whole_rows(docs), _result(model, quoted(text), docs.sparkSession).alias("language"))
     return out.select("row", "language.lang_pred", "language.score")
 
 
@@ -192,7 +192,7 @@ def held_out(id: str = "doc_id") -> Column:
 def identified(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row, learned from the labelled rows that are not held out."""
     model = fit(docs.filter(~held_out()))
-    narrow = docs.select(quoted("doc_id").alias("doc_id"), held_out().alias("held_out"),
+    narrow = small_batches(docs).select(quoted("doc_id").alias("doc_id"), held_out().alias("held_out"),
                          _result(model, quoted("text"), docs.sparkSession).alias("language"))
     return narrow.select("doc_id", "held_out", "language.lang_pred", "language.score")
 

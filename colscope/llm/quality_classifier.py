@@ -26,14 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colscope.functions.staging import staged
-from colscope.llm.common import quoted
+from colscope.llm.common import quoted, small_batches
 
 PLACES = 1 << 13
 META_PLACES = 1 << 10
 LABELLED, POOL = 6_000, 6_000
 ROUNDS, STEPS = 3, 150
 SURE, TAKEN = 0.9, 0.05
-MOST_CACHED = 1 << 18
+MOST_CACHED = 1 << 17
 _SHAPES = ((regex.compile(r"\p{Lu}+"), "A"), (regex.compile(r"[\p{Ll}\p{Lo}]+"), "a"), (regex.compile(r"\p{N}+"), "0"))
 
 
@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     def drawn(wanted: int, n: int) -> Column:
         return F.pmod(key, F.lit(scale)) < min(scale, scale * wanted // max(n, 1) + 1)
 
-    rows = docs.filter(drawn(max(labelled, 1), n_known) | drawn(pool, n_docs)).select(
+    rows = small_batches(docs).filter(drawn(max(labelled, 1), n_known) | drawn(pool, n_docs)).select(
         quoted("doc_id").alias("doc_id"), key.alias("key"), *_columns())
     some = rows.join(known.filter(drawn(labelled, n_known)), "doc_id").select("key", "y", "text", "lang", "source")
     rest = rows.filter(drawn(pool, n_docs)).join(known, "doc_id", "left_anti").select("key", F.lit(None).cast("int").alias("y"), "text", "lang", "source")
@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
 def scored(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """doc_id, score_text, score_meta, score and kept of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    narrow = docs.select(quoted("doc_id").alias("doc_id"), *_columns())
+    narrow = small_batches(docs).select(quoted("doc_id").alias("doc_id"), *_columns())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Places()

@@ -138,8 +138,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
     ranks = bpe.read_ranks(public_tokenizers.path(VOCABULARY))
     encoded = bpe.encode(documents(spark, folder), ranks, public_tokenizers.PATTERN)
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.digested(F.col("ids")).alias("ids_sha256"),
-                          F.sha2(bpe.decoded(spark, F.col("ids"), ranks), 256).alias("decoded_sha256"))
+    return encoded.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query("op9_language_id")

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from colscope.functions.staging import discard, staged
 from colscope.llm import components
-from colscope.llm.common import quoted, with_groups, without
+from colscope.llm.common import quoted, small_batches, with_groups, without
 
 SHINGLE = 4
 DISTANCE = 4
@@ -64,7 +64,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
 
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, text_key (a hash of the text) and fp (the fingerprint as a signed long) of each row."""
-    narrow = docs.select(quoted(id).alias("doc_id"), F.xxhash64(quoted(text)).alias("text_key"), quoted(text).alias("text"))
+    narrow = small_batches(docs).select(quoted(id).alias("doc_id"), F.xxhash64(quoted(text)).alias("text_key"), quoted(text).alias("text"))
     schema = T.StructType([narrow.schema["doc_id"], T.StructField("text_key", T.LongType()), T.StructField("fp", T.LongType())])
     return narrow.mapInArrow(partial(_fingerprints, shingle=shingle), schema)
 

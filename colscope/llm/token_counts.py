@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from colscope.llm.common import quoted
+from colscope.llm.common import quoted, small_batches
 
 FIRST = "▁"
-MOST_CACHED = 1 << 18
+MOST_CACHED = 1 << 17
 LONG_WORD = 64
 
 
@@ -125,7 +125,7 @@ def _counted(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
 
 def counted(docs: DataFrame, machine: Automaton, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_tokens and n_unknown of each row. The automaton, of the vocabulary's size, is broadcast."""
-    narrow = docs.select(quoted(id).alias("doc_id"), quoted(text).alias("text"))
+    narrow = small_batches(docs).select(quoted(id).alias("doc_id"), quoted(text).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     schema = T.StructType([narrow.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in ("n_words", "n_tokens", "n_unknown")]])
     return narrow.mapInArrow(lambda batches: _counted(batches, shared), schema)

@@ -42,8 +42,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the digest of what they decode to."""
     ranks = bpe.read_ranks(public_tokenizers.path(VOCABULARY))
     encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                          F.sha2(bpe.decoded(spark, F.col("ids"), ranks), 256).alias("decoded_sha256"))
+    return encoded.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("language ID", language_id), ("exact dedup", exact), ("SimHash near-dedup", near), ("mixing", mix), ("byte-level BPE", encode)]

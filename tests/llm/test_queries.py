@@ -399,8 +399,9 @@ def test_bpe(spark, folder, texts, reference):
 def test_bpe_edges(edge, edge_rows, empty, reference):
     for chars in (40, bpe.CHUNK_CHARS):
         rows = bpe.encode(edge, RANKS, public_tokenizers.PATTERN, slices=7, chunk_chars=chars)
-        rows = rows.select("*", bpe.decoded(edge.sparkSession, F.col("ids"), RANKS).alias("data")).collect()
-        assert Counter((r.doc_id, tuple(r.ids), bytes(r.data)) for r in rows) == Counter(
+        rows = rows.select("*", bpe.decode(edge.sparkSession, F.col("ids"), RANKS).alias("data")).collect()
+        assert all(r.data == r.decoded for r in rows)
+        assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist()), bytes(r.data)) for r in rows) == Counter(
             (r.doc_id, tuple(reference.encode_ordinary(r.text or "")), (r.text or "").encode()) for r in edge_rows)
     assert bpe.encode(empty, RANKS, public_tokenizers.PATTERN).collect() == []
 
@@ -578,7 +579,7 @@ def test_pipeline(spark, documents, folder, reference):
     assert sorted(k[0] for k in taken if k[-1]) == sorted(r.doc_id for r in after_mix.collect())
     for r in ids.collect():
         text = next(x.text for x in last_in if x.doc_id == r.doc_id)
-        assert r.ids == reference.encode_ordinary(text) and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert np.frombuffer(r.ids, "<u4").tolist() == reference.encode_ordinary(text) and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
 def test_pipeline_edges(spark, edge, empty, folder):
