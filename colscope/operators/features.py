@@ -143,9 +143,8 @@ def feature_names(df: DataFrame, vector: str = "features") -> list[str]:
     slots = sorted((a["idx"], a["name"]) for kind in attrs.values() for a in kind)
     names = []
     for _, n in slots:
-        for prefix in HELPER_PREFIXES:
-            n = n.removeprefix(prefix)
-        names.append(n)
+        helper = next((p for p in HELPER_PREFIXES if n.startswith(p)), "")  # one only: a column may be called the same
+        names.append(n[len(helper):])
     return names
 
 

@@ -353,12 +353,12 @@ def _constant(problem: str, train: DataFrame, classes: int) -> Constant:
 def _svm(train: DataFrame, params: dict, classes: int, weight: str | None) -> Calibrated:
     rows = train.count()
     w = {"weightCol": weight} if weight else {}
-    one = mc.LinearSVC(regParam=1.0 / (float(params["C"]) * rows), maxIter=SVM_ITERATIONS, tol=1e-4, **w)
+    one = mc.LinearSVC(regParam=1.0 / (float(params["C"]) * rows), maxIter=SVM_ITERATIONS, tol=1e-4)
     if classes <= 2:
-        one = one.setFeaturesCol("features").setLabelCol("y").setPredictionCol("guess")
+        one = (one.setWeightCol(weight) if weight else one).setFeaturesCol("features").setLabelCol("y").setPredictionCol("guess")
         margins = one.fit(train)
     else:
-        margins = mc.OneVsRest(classifier=one, featuresCol="features", labelCol="y", predictionCol="guess").fit(train)
+        margins = mc.OneVsRest(classifier=one, featuresCol="features", labelCol="y", predictionCol="guess", **w).fit(train)
     chances = mc.LogisticRegression(featuresCol="rawPrediction", labelCol="y", predictionCol="pred", probabilityCol="chance",
                                     rawPredictionCol="raw", maxIter=100).fit(margins.transform(train).select("y", "rawPrediction"))
     return Calibrated(margins, chances)

@@ -7,12 +7,9 @@ from pyspark.sql import functions as F
 
 from colscope.functions import columns as C
 
-# The classes, and the two-word sets that make a column boolean.
-CLASSES = ["boolean", "identifier", "datetime", "numerical", "text", "categorical", "mixed"]
+# The two-word sets that make a column boolean.
 BOOLEAN_PAIRS = [("true", "false"), ("yes", "no"), ("y", "n"), ("t", "f"), ("male", "female"), ("m", "f")]
 
-SHORT_WORD = 16  # longer values cannot be part of a boolean pair
-
 
 def column_facts(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Everything one scan can tell about each column; one row per column."""
@@ -25,7 +22,7 @@ def column_facts(df: DataFrame, names: list[str] | None = None) -> DataFrame:
         c = C.col(name)
         present = c.isNotNull() & ~F.isnan(c) if C.is_float(t) else c.isNotNull()
         x = C.number(df, name)
-        word = F.when(F.length(c) <= SHORT_WORD, F.lower(C.strip(c))).otherwise("~") if kind == "string" else None
+        word = F.lower(C.strip(c)) if kind == "string" else None
         if kind == "boolean":
             word = c.cast("string")
         null_d, null_s = F.lit(None).cast("double"), F.lit(None).cast("string")

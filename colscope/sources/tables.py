@@ -23,9 +23,10 @@ def deduplicated_names(names: list[str]) -> list[str]:
     return out
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Delimited text with a header. Repeated header names are kept apart by a number."""
-    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": True}
+def read_delimited(spark: SparkSession, path: str, sep: str = ",", multiline: bool = False) -> DataFrame:
+    """Delimited text with a header. Repeated header names are kept apart by a number. A file is read in splits unless
+    `multiline` says that quoted values may hold line breaks; then each file is one task."""
+    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": multiline}
     header = spark.read.options(header=False, **options).csv(path).first()
     if header is None:
         raise ValueError("the file holds no rows")
@@ -33,15 +34,16 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return spark.read.options(header=True, inferSchema=True, enforceSchema=True, **options).csv(path).toDF(*names)
 
 
-def load(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """Read a table; the format comes from the extension unless given."""
+def load(spark: SparkSession, path: str, fmt: str | None = None, multiline: bool = False) -> DataFrame:
+    """Read a table; the format comes from the extension unless given. JSON is one record a line, as `write` gives it;
+    with `multiline` a file is one JSON array, and text may hold line breaks inside quotes."""
     fmt = (fmt or PurePosixPath(path).suffix.lstrip(".")).lower()
     if fmt == "csv":
-        return read_delimited(spark, path)
+        return read_delimited(spark, path, multiline=multiline)
     if fmt == "tsv":
-        return read_delimited(spark, path, "\t")
+        return read_delimited(spark, path, "\t", multiline)
     if fmt == "json":
-        return spark.read.json(path, multiLine=True)
+        return spark.read.json(path, multiLine=multiline)
     if fmt == "parquet":
         return spark.read.parquet(path)
     raise ValueError(f"unsupported file format: {fmt}")

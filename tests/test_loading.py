@@ -13,21 +13,34 @@ def test_repeated_headers():
 
 def test_csv_tsv_json_parquet(spark, tmp_path):
     (tmp_path / "t.csv").write_text('a,b,a\n1,"x, ""y""",2.5\n3,"two\nlines",4\n')
-    df = tables.load(spark, str(tmp_path / "t.csv"))
+    df = tables.load(spark, str(tmp_path / "t.csv"), multiline=True)
     assert df.columns == ["a", "b", "a_1"]
     assert [tuple(r) for r in df.orderBy("a").collect()] == [(1, 'x, "y"', 2.5), (3, "two\nlines", 4.0)]
     (tmp_path / "t.tsv").write_text("p\tq\n1\tu\n")
     assert tables.load(spark, str(tmp_path / "t.tsv")).first().q == "u"
     (tmp_path / "t.json").write_text(json.dumps([{"k": 1, "v": "a"}, {"k": 2, "v": None}]))
-    assert tables.load(spark, str(tmp_path / "t.json")).count() == 2
+    assert tables.load(spark, str(tmp_path / "t.json"), multiline=True).count() == 2
     tables.write(df, str(tmp_path / "out"), "parquet")
     assert tables.load(spark, str(tmp_path / "out"), "parquet").count() == 2
     tables.write(df, str(tmp_path / "outc"), "csv")
-    assert tables.load(spark, str(tmp_path / "outc"), "csv").columns == ["a", "b", "a_1"]
+    assert tables.load(spark, str(tmp_path / "outc"), "csv", multiline=True).columns == ["a", "b", "a_1"]
     with pytest.raises(ValueError):
         tables.load(spark, "x.doc")
 
 
+@pytest.mark.parametrize("fmt", ["json", "csv"])
+def test_round_trip_in_splits(spark, tmp_path, fmt):
+    df = spark.range(5000).select("id", F.concat(F.lit("name, "), "id").alias("s"))
+    tables.write(df, str(tmp_path / fmt), fmt)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        back = tables.load(spark, str(tmp_path / fmt), fmt)
+        assert back.rdd.getNumPartitions() >= 8
+        assert {tuple(r) for r in back.select("id", "s").collect()} == {tuple(r) for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_validation(spark):
     ok = spark.range(10).select("id", F.lit("x").alias("s"))
     assert tables.validate(ok) is ok

@@ -274,3 +274,16 @@ def test_month_starts(spark):
     df = spark.range(24).select(F.add_months(F.lit("2022-01-01").cast("date"), F.col("id").cast("int")).alias("d"), F.col("id").cast("double").alias("v"))
     points = forecast.numbered_points(forecast.series_points(df, "d", "v"))
     assert [str(r.date)[:10] for r in forecast.future_dates(points, 3).orderBy("step").collect()] == ["2024-01-01", "2024-02-01", "2024-03-01"]
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_svm_with_weights(spark, classes):
+    from pyspark.ml.linalg import Vectors
+
+    from colscope.operators import learners
+
+    rows = [(float(i % classes), Vectors.dense([i % classes + (i * 7 % 10) / 50, (i % classes == 1) * 2.0]), 1.0 + i % 2) for i in range(120)]
+    train = spark.createDataFrame(rows, ["y", "features", "w"]).coalesce(1).cache()
+    for weight in ("w",):
+        model = learners._svm(train, {"C": 10.0}, classes, weight)
+        assert model is not None
