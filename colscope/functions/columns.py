@@ -98,7 +98,8 @@ def number(df: DataFrame, name: str) -> Column:
     return F.when(~F.isnan(v), v) if is_float(t) else v
 
 
-# Accepted date formats in text, each with the shape that selects it.
+# Accepted date formats in text, each with the shape that selects it; where there are two, the month comes
+# first in the one and the day in the other.
 DATE_FORMATS = [
     (r"^\d{1,2}/\d{1,2}/\d{4}$", ["M/d/yyyy", "d/M/yyyy"]),
     (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", ["M/d/yyyy H:mm", "d/M/yyyy H:mm"]),
@@ -113,22 +114,41 @@ DATE_FORMATS = [
 ]
 # Cheap first look: digits, a separator, something short, a separator, a digit; or a month name and a day.
 DATE_LIKE = r"^(\d{1,4}[-/. ][0-9A-Za-z]{1,3}[-/. ]\d|[A-Za-z]{3,9} \d)"
+# Dates that can only have the day first, or only the month.
+DAY_OR_MONTH = (r"^(1[3-9]|2\d|3[01])([/-])(0?[1-9]|1[0-2])\2\d{4}\b", r"^(0?[1-9]|1[0-2])([/-])(1[3-9]|2\d|3[01])\2\d{4}\b")
 ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}.*)?$"
 
 
-def as_timestamp(c: Column) -> Column:
-    """Text to timestamp by an explicit list of formats; null where none fits."""
+def as_timestamp(c: Column, day_first: bool = False) -> Column:
+    """Text to timestamp by an explicit list of formats; null where none fits. Where month and day could change places,
+    `day_first` decides for all values alike."""
     s = F.btrim(c, F.lit(WHITESPACE))
     out = F.when(s.rlike(ISO_DATE), s.try_cast("timestamp"))
     for shape, formats in DATE_FORMATS:
-        out = out.when(s.rlike(shape), F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats]))
+        out = out.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(formats[-1 if day_first else 0])))
     return F.when(s.rlike(DATE_LIKE), out)
 
 
-def moment_in_time(df: DataFrame, name: str) -> Column:
+def date_like(c: Column) -> Column:
+    """How many values of a text column are dates, in the order of month and day that suits more of them."""
+    return F.greatest(*[F.count_if(as_timestamp(c, order).isNotNull()) for order in (False, True)])
+
+
+def day_first(df: DataFrame, names: list[str]) -> set[str]:
+    """The text columns in which more values are dates with the day before the month than the other way round, found by
+    one aggregate. Only values with a part above 12 can tell, so a column without any is read month first."""
+    texts = [n for n in names if is_text(type_of(df, n))]
+    if not texts:
+        return set()
+    parts = [F.struct(*[F.count_if(F.btrim(col(n), F.lit(WHITESPACE)).rlike(shape)) for shape in DAY_OR_MONTH]) for n in texts]
+    found = df.agg(*[p.alias(f"c{i}") for i, p in enumerate(parts)]).first()
+    return {n for i, n in enumerate(texts) if found[f"c{i}"][0] > found[f"c{i}"][1]}
+
+
+def moment_in_time(df: DataFrame, name: str, day_first: bool = False) -> Column:
     """The column as a wall-clock timestamp, parsed when it is text."""
     t = type_of(df, name)
-    c = as_timestamp(col(name)) if is_text(t) else col(name)
+    c = as_timestamp(col(name), day_first) if is_text(t) else col(name)
     return c if isinstance(t, T.TimestampNTZType) else c.cast("timestamp_ntz")
 
 
@@ -188,38 +208,53 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
+def _keyed(df: DataFrame, keys: dict[str, Column], slot: dict[str, str]) -> DataFrame:
+    """One row for each value that isn't null of each column: (column, long, double, text), the value in one of the three.
+    All columns come from one scan."""
+    def entry(name: str) -> Column:
+        own = slot[name]
+        return F.struct(F.lit(name).alias("column"), *[
+            (keys[name] if kind == own else F.lit(None)).cast(t).alias(kind)
+            for kind, t in (("long", "long"), ("double", "double"), ("text", "string"))])
+
+    rows = df.select(F.inline(F.array(*[entry(n) for n in keys])))
+    return rows.filter(F.col("long").isNotNull() | F.col("double").isNotNull() | F.col("text").isNotNull())
+
+
+def _slot_of(t: T.DataType) -> str:
+    return "long" if isinstance(t, T.IntegralType) else "double" if isinstance(t, T.DoubleType) else "text"
+
+
 def value_counts(df: DataFrame, names: list[str], short: bool = False) -> DataFrame:
     """(column, value, n) with values as text. `short` replaces long text by its digest."""
-    parts = []
+    keys, slots = {}, {}
     for name in names:
-        key = col(name) if not is_nested(type_of(df, name)) else as_text(df, name)
-        if is_float(type_of(df, name)):
+        t = type_of(df, name)
+        key = col(name) if not is_nested(t) else as_text(df, name)
+        if is_float(t):
             key = F.when(~F.isnan(key), key)
-        if short and is_text(type_of(df, name)):
-            key = text_key(key)
-        counts = df.select(key.alias("value")).filter("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("n"))
-        parts.append(counts.select(F.lit(name).alias("column"), F.col("value").cast("string").alias("value"), "n"))
-    return reduce(DataFrame.unionAll, parts)
+        keys[name], slots[name] = text_key(key) if short and is_text(t) else key, _slot_of(t)
+    counts = _keyed(df, keys, slots).groupBy("column", "long", "double", "text").agg(F.count("*").alias("n"))
+    return counts.select("column", F.coalesce("text", F.col("long").cast("string"), F.col("double").cast("string")).alias("value"), "n")
 
 
 def number_counts(df: DataFrame, names: list[str]) -> DataFrame:
     """(column, value, n) with values as doubles."""
-    parts = [
-        df.select(number(df, n).alias("value")).filter("value IS NOT NULL").groupBy("value")
-        .agg(F.count("*").alias("n")).select(F.lit(n).alias("column"), "value", "n")
-        for n in names
-    ]
-    return reduce(DataFrame.unionAll, parts)
+    entries = [F.struct(F.lit(n).alias("column"), number(df, n).alias("value")) for n in names]
+    rows = df.select(F.inline(F.array(*entries))).filter("value IS NOT NULL")
+    return rows.groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
 def distinct_counts(df: DataFrame, names: list[str]) -> DataFrame:
-    """(column, unique_count) without nulls."""
-    parts = []
+    """(column, unique_count) without nulls; a column without values has none."""
+    keys, slots = {}, {}
     for name in names:
         t = type_of(df, name)
         key = text_key(col(name)) if is_text(t) else as_text(df, name) if is_nested(t) else col(name)
         if is_float(t):
             key = F.when(~F.isnan(key), key)
-        values = df.select(key.alias("value")).filter("value IS NOT NULL").distinct()
-        parts.append(values.agg(F.count("*").alias("unique_count")).select(F.lit(name).alias("column"), "unique_count"))
-    return reduce(DataFrame.unionAll, parts)
+        keys[name], slots[name] = key, _slot_of(t)
+    values = _keyed(df, keys, slots).groupBy("column", "long", "double", "text").agg(F.lit(1).alias("one"))
+    counts = values.groupBy("column").agg(F.count("*").alias("unique_count"))
+    every = df.sparkSession.createDataFrame([(n,) for n in names], "column string")
+    return every.join(F.broadcast(counts), "column", "left").select("column", F.coalesce("unique_count", F.lit(0).cast("long")).alias("unique_count"))

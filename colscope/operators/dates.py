@@ -1,8 +1,9 @@
-"""Date columns: detection, ranges, counts per month and weekday, and date parts."""
+"""Date columns: detection, ranges, counts per month and weekday, and date parts.
 
-from __future__ import annotations
+A text column is read in one order of month and day, the one that suits more of its values; what doesn't fit is null.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ def date_columns(df: DataFrame) -> DataFrame:
         if C.is_datetime(f.dataType):
             share = F.lit(1.0)
         elif C.is_text(f.dataType):
-            share = F.count_if(C.as_timestamp(C.col(f.name)).isNotNull()) / F.count("*")
+            share = C.date_like(C.col(f.name)) / F.count("*")
         else:
             continue
         rows.append(F.struct(F.lit(f.name).alias("column"), F.max(share).alias("date_share")
@@ -40,9 +41,9 @@ def date_column_names(df: DataFrame) -> list[str]:
 def date_summary(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """(column, min_date, max_date, range_days, has_time_component, has_seasonality, trend_direction)."""
     names = names if names is not None else date_column_names(df)
-    rows = []
+    rows, turned = [], C.day_first(df, names)
     for n in names:
-        ts = C.moment_in_time(df, n)
+        ts = C.moment_in_time(df, n, n in turned)
         rows.append(F.struct(F.lit(n).alias("column"), F.count(ts).alias("n"), F.min(ts).alias("low"),
                              F.max(ts).alias("high"), F.bool_or(F.hour(ts) != 0).alias("timed")))
     if not rows:
@@ -61,12 +62,10 @@ def date_summary(df: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 
 def _counts(df: DataFrame, names: list[str], key: str, part) -> DataFrame:
-    parts = [
-        df.select(F.lit(n).alias("column"), part(C.moment_in_time(df, n)).alias(key)).filter(F.col(key).isNotNull())
-        .groupBy("column", key).agg(F.count("*").alias("n"))
-        for n in names
-    ]
-    return reduce(DataFrame.unionAll, parts).orderBy("column", key)
+    turned = C.day_first(df, names)
+    entries = [F.struct(F.lit(n).alias("column"), part(C.moment_in_time(df, n, n in turned)).alias(key)) for n in names]
+    rows = df.select(F.inline(F.array(*entries))).filter(F.col(key).isNotNull())
+    return rows.groupBy("column", key).agg(F.count("*").alias("n"))
 
 
 def monthly_counts(df: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -81,7 +80,7 @@ def weekday_counts(df: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 def add_date_parts(df: DataFrame, name: str) -> DataFrame:
     """Add year, month, day, weekday, quarter and is_weekend, and the hour when any is not zero."""
-    ts = C.moment_in_time(df, name)
+    ts = C.moment_in_time(df, name, name in C.day_first(df, [name]))
     timed = df.agg(F.bool_or(F.hour(ts) != 0).alias("timed")).first()["timed"]
     parts = {"year": F.year(ts), "month": F.month(ts), "day": F.dayofmonth(ts), "weekday": F.weekday(ts),
              "quarter": F.quarter(ts), "is_weekend": F.weekday(ts) >= 5}

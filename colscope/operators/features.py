@@ -6,6 +6,8 @@ preprocessor is an ordinary pipeline that can be saved, loaded and applied lazil
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from colscope.functions import columns as C
 from colscope.functions.quantiles import exact_percentiles
 
-MAX_LEVELS = 100_000
+MOST_LEVELS = 100_000
 
 
 def choose_columns(columns: list[str], classes: dict[str, str], advice: dict[str, dict] | None = None,
@@ -36,9 +38,11 @@ def choose_columns(columns: list[str], classes: dict[str, str], advice: dict[str
     return groups
 
 
-def _slot(prefix: str, name: str) -> str:
-    """Name of a helper column. Dots would be read as nested fields by the stages."""
-    return f"{prefix} {name}".replace(".", "_")
+def _slots(names: list[str]):
+    """Names of helper columns: (prefix, column) to a name that starts with the column's place, so that names which differ
+    in dots alone don't clash. Dots would be read as nested fields by the stages."""
+    places = {n: i for i, n in enumerate(names)}
+    return lambda prefix, name: f"{prefix} {places[name]} {name}".replace(".", "_")
 
 
 def _quoted(name: str) -> str:
@@ -80,8 +84,13 @@ def most_frequent(df: DataFrame, names: list[str]) -> dict[str, str]:
     return {r["column"]: r["best"]["value"] for r in rows}
 
 
-def fit_preprocessor(df: DataFrame, groups: dict[str, list[str]], output: str = "features") -> PipelineModel:
-    """Fit on `df` alone; unknown levels later give zeros when one-hot coded and -1 when ordinal."""
+def fit_preprocessor(df: DataFrame, groups: dict[str, list[str]], output: str = "features",
+                     most_levels: int | None = MOST_LEVELS) -> PipelineModel:
+    """Fit on `df` alone; unknown levels later give zeros when one-hot coded and -1 when ordinal.
+
+    The levels of a column are held by the driver, so a column with more than about `most_levels` is an error, never cut;
+    None allows any number.
+    """
     scales = scaling_facts(df, groups)
     categories = groups["one_hot"] + groups["ordinal"]
     modes = most_frequent(df, categories)
@@ -89,11 +98,12 @@ def fit_preprocessor(df: DataFrame, groups: dict[str, list[str]], output: str =
     numeric = [n for g in ("standard", "robust", "minmax") for n in groups[g] if n in scales]
     if not numeric and not categories:
         raise ValueError("no usable feature columns")
-    if categories:
+    _slot = _slots([*numeric, *categories])
+    if categories and most_levels is not None:
         sizes = df.agg(*[F.approx_count_distinct(C.col(n)).alias(f"c{i}") for i, n in enumerate(categories)]).first()
         for i, n in enumerate(categories):
-            if sizes[f"c{i}"] > MAX_LEVELS:
-                raise ValueError(f"column {n} has more than {MAX_LEVELS} levels: encode it by frequency first")
+            if sizes[f"c{i}"] > most_levels:
+                raise ValueError(f"column {n} has more than {most_levels} levels: encode it by frequency first, or allow more")
 
     def literal(x: float) -> str:
         return f"CAST('{x!r}' AS DOUBLE)"
@@ -128,24 +138,20 @@ def fit_preprocessor(df: DataFrame, groups: dict[str, list[str]], output: str =
     return PipelineModel(stages)
 
 
-HELPER_PREFIXES = ("num ", "cat ", "idx ", "hot ", "ord ")
+HELPER = re.compile(r"(num|cat|idx|hot|ord) \d+ ")
 
 
 def apply_preprocessor(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Add the feature vector and nothing else."""
     out = model.transform(df)
-    return out.drop(*[n for n in out.columns if n.startswith(HELPER_PREFIXES) and n not in df.columns])
+    return out.drop(*[n for n in out.columns if HELPER.match(n) and n not in df.columns])
 
 
 def feature_names(df: DataFrame, vector: str = "features") -> list[str]:
     """Names of the vector's slots: the column, with the level for one-hot slots."""
     attrs = df.schema[vector].metadata["ml_attr"]["attrs"]
     slots = sorted((a["idx"], a["name"]) for kind in attrs.values() for a in kind)
-    names = []
-    for _, n in slots:
-        helper = next((p for p in HELPER_PREFIXES if n.startswith(p)), "")  # one only: a column may be called the same
-        names.append(n[len(helper):])
-    return names
+    return [HELPER.sub("", n, count=1) for _, n in slots]
 
 
 def as_columns(df: DataFrame, vector: str = "features") -> list[Column]:

@@ -18,23 +18,23 @@ from colscope.functions.running import running_totals
 from colscope.functions.staging import staged
 
 MIN_POINTS = 10
-HISTORY = 500
 Z95 = 1.959963984540054
 
 
 def series_points(df: DataFrame, date: str, value: str, series: str | None = None) -> DataFrame:
     """(series, date, value): mean value per date, rows without date or number left out."""
     s = C.as_text(df, series) if series else F.lit("all")
-    rows = df.select(s.alias("series"), C.moment_in_time(df, date).alias("date"), C.number(df, value).alias("value")).dropna()
+    moment = C.moment_in_time(df, date, date in C.day_first(df, [date]))
+    rows = df.select(s.alias("series"), moment.alias("date"), C.number(df, value).alias("value")).dropna()
     return rows.groupBy("series", "date").agg(F.avg("value").alias("value"))
 
 
 def numbered_points(points: DataFrame) -> DataFrame:
-    """Add `t`, the position from 0, and `points`, the length of the series; series below ten points are left out."""
+    """Add `t`, the position from 0, and `points`, the length of the series."""
     at = F.unix_micros(F.col("date").cast("timestamp"))
     rows = points.withColumns({"_at": at, "_one": F.lit(1)})
     out = running_totals(rows, "_at", {"t": "_one"}, ["series"])
-    return out.filter(F.col("t_all") >= MIN_POINTS).select("series", "date", "value", "t", F.col("t_all").alias("points"))
+    return out.select("series", "date", "value", "t", F.col("t_all").alias("points"))
 
 
 def with_lags(rows: DataFrame, name: str, count: int) -> DataFrame:
@@ -81,11 +81,6 @@ def future_dates(numbered: DataFrame, horizon: int = 30) -> DataFrame:
     return rows.select("series", "step", F.when(monthly, months).otherwise(plain.cast("timestamp_ntz")).alias("date"))
 
 
-def history(numbered: DataFrame, n: int = HISTORY) -> DataFrame:
-    """The last n points of each series."""
-    return numbered.filter(F.col("t") >= F.col("points") - n).select("series", "date", "value")
-
-
 def _least_squares(rows: DataFrame, y: str, xs: list[str], intercept: bool) -> DataFrame:
     """(series, beta array, n, rss): regression per series from its sums of products, solved series by series."""
     terms = ([F.lit(1.0)] if intercept else []) + [F.col(x) for x in xs]
@@ -140,9 +135,11 @@ def fit_arima(numbered: DataFrame, order: tuple[int, int, int] = (1, 1, 1)) -> t
 
 
 def forecast(numbered: DataFrame, order: tuple[int, int, int] = (1, 1, 1), horizon: int = 30) -> DataFrame:
-    """(series, step, date, forecast, lower, upper, aic): the 95% band comes from the accumulated shocks."""
+    """(series, step, date, forecast, lower, upper, aic, error): the 95% band comes from the accumulated shocks. A series
+    that is too short, by itself or for the order, has one row that says so in `error`."""
     p, d, q = order
-    numbered = staged(numbered)
+    every = staged(numbered)
+    numbered = staged(every.filter(F.col("points") >= MIN_POINTS))
     model, rows = fit_arima(numbered, order)
     keep = max(p, q, 1)
     tail = rows.groupBy("series").agg(F.max_by(F.struct(
@@ -187,4 +184,7 @@ def forecast(numbered: DataFrame, order: tuple[int, int, int] = (1, 1, 1), horiz
                 yield pd.concat(out)
 
     made = inputs.mapInPandas(run, "series string, step int, forecast double, lower double, upper double, aic double")
-    return made.join(future_dates(numbered, horizon), ["series", "step"])
+    done = staged(made.join(future_dates(numbered, horizon), ["series", "step"]).withColumn("error", F.lit(None).cast("string")))
+    lost = every.select("series", "points").distinct().join(done.select("series").distinct(), "series", "left_anti")
+    error = F.when(F.col("points") < MIN_POINTS, F.lit(f"fewer than {MIN_POINTS} points")).otherwise("too few points for this order")
+    return done.unionByName(lost.select("series", error.alias("error")), allowMissingColumns=True)

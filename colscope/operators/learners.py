@@ -7,13 +7,15 @@ calibrated margins are built here from frame operations.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field
 
+from pyspark.ml import PipelineModel
 from pyspark.ml import classification as mc
 from pyspark.ml import regression as mr
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colscope.functions import columns as C
@@ -23,7 +25,7 @@ from colscope.operators.neighbours import k_nearest
 SEED = 42
 DEEPEST = 30  # the deepest tree Spark grows
 STAGE_EVERY = 10  # reweighting rounds between written tables
-SVM_ITERATIONS = 50
+ITERATIONS = 100  # of the separator and of its calibration, unless `max_iter` says otherwise
 
 # Learners, their defaults and their search grids.
 DEFAULTS: dict[str, dict[str, dict]] = {
@@ -281,12 +283,13 @@ COLUMNS = {"featuresCol": "features", "labelCol": "y", "predictionCol": "pred"}
 
 def _boosted(problem: str, classes: int, rounds: int, step: float, max_depth: int, weight: str | None):
     common = {"maxIter": rounds, "stepSize": step, "maxDepth": max_depth, "seed": SEED, "checkpointInterval": 10}
+    w = {"weightCol": weight} if weight else {}
     if problem == "regression":
-        return mr.GBTRegressor(**COLUMNS, **common)
+        return mr.GBTRegressor(**COLUMNS, **common, **w)
     if classes <= 2:
-        return mc.GBTClassifier(**COLUMNS, **common)
+        return mc.GBTClassifier(**COLUMNS, **common, **w)
     one = mc.GBTClassifier(**common)
-    return mc.OneVsRest(classifier=one, rawPredictionCol="rawPrediction", **COLUMNS)
+    return mc.OneVsRest(classifier=one, rawPredictionCol="rawPrediction", **COLUMNS, **w)
 
 
 def estimator(problem: str, name: str, params: dict, rows: int, features: int, classes: int, label_std: float,
@@ -351,16 +354,16 @@ def _constant(problem: str, train: DataFrame, classes: int) -> Constant:
 
 
 def _svm(train: DataFrame, params: dict, classes: int, weight: str | None) -> Calibrated:
-    rows = train.count()
+    rows, rounds = train.count(), int(params.get("max_iter", ITERATIONS))
     w = {"weightCol": weight} if weight else {}
-    one = mc.LinearSVC(regParam=1.0 / (float(params["C"]) * rows), maxIter=SVM_ITERATIONS, tol=1e-4)
+    one = mc.LinearSVC(regParam=1.0 / (float(params["C"]) * rows), maxIter=rounds, tol=1e-4)
     if classes <= 2:
         one = (one.setWeightCol(weight) if weight else one).setFeaturesCol("features").setLabelCol("y").setPredictionCol("guess")
         margins = one.fit(train)
     else:
         margins = mc.OneVsRest(classifier=one, featuresCol="features", labelCol="y", predictionCol="guess", **w).fit(train)
     chances = mc.LogisticRegression(featuresCol="rawPrediction", labelCol="y", predictionCol="pred", probabilityCol="chance",
-                                    rawPredictionCol="raw", maxIter=100).fit(margins.transform(train).select("y", "rawPrediction"))
+                                    rawPredictionCol="raw", maxIter=rounds).fit(margins.transform(train).select("y", "rawPrediction"))
     return Calibrated(margins, chances)
 
 
@@ -415,6 +418,44 @@ def _adaboost_r2(train: DataFrame, params: dict, classes: int, weight: str | Non
     return out
 
 
+def _parts(model) -> tuple[dict, list, DataFrame | None]:
+    """What a model consists of: plain facts, models of pyspark.ml, and rows."""
+    if isinstance(model, Fitted):
+        return {"problem": model.problem, "classes": model.classes}, [model.model], None
+    if isinstance(model, Constant):
+        return {"problem": model.problem, "value": model.value}, [], None
+    if isinstance(model, Neighbours):
+        return {"problem": model.problem, "k": model.k, "weights": model.weights, "classes": model.classes}, [], model.train
+    if isinstance(model, Calibrated):
+        return {}, [model.margins, model.chances], None
+    return {"problem": model.problem, "classes": model.classes, "weights": model.weights}, model.models, None
+
+
+def save(model, path: str) -> None:
+    """Write a fitted learner of any kind."""
+    facts, stages, rows = _parts(model)
+    text = json.dumps({"kind": type(model).__name__, **facts})
+    SparkSession.active().createDataFrame([(text,)], "facts string").write.mode("overwrite").json(f"{path}/facts")
+    PipelineModel(stages).write().overwrite().save(f"{path}/stages")
+    if rows is not None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows")
+
+
+def load(spark: SparkSession, path: str):
+    """What `save` wrote."""
+    facts = json.loads(spark.read.json(f"{path}/facts").first()["facts"])
+    kind, stages = facts.pop("kind"), PipelineModel.load(f"{path}/stages").stages
+    if kind == "Fitted":
+        return Fitted(model=stages[0], **facts)
+    if kind == "Constant":
+        return Constant(**facts)
+    if kind == "Neighbours":
+        return Neighbours(train=spark.read.parquet(f"{path}/rows"), **facts)
+    if kind == "Calibrated":
+        return Calibrated(*stages)
+    return Ensemble(models=list(stages), **facts)
+
+
 def tree_scores(frame: DataFrame, names: list[str], problem: str, method: str, trees: int = 100) -> DataFrame:
     """(feature, score): importances of one tree or a forest over plain columns and `y`."""
     y = frame

@@ -37,7 +37,7 @@ def column_facts(df: DataFrame, names: list[str] | None = None) -> DataFrame:
                 F.count_if(present).alias("non_null_count"),
                 (F.avg(F.length(c)) if kind == "string" else null_d).alias("avg_length"),
                 (F.count_if(x.isNotNull()) if kind == "string" else F.lit(0).cast("long")).alias("number_like"),
-                (F.count_if(C.as_timestamp(c).isNotNull()) if kind == "string" else F.lit(0).cast("long")).alias("date_like"),
+                (C.date_like(c) if kind == "string" else F.lit(0).cast("long")).alias("date_like"),
                 (F.min(word) if word is not None else null_s).alias("low_word"),
                 (F.max(word) if word is not None else null_s).alias("high_word"),
                 (F.min(x) if numeric else null_d).alias("low"),

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from colscope.functions import columns as C
+from colscope.functions.staging import shared_folder
 from colscope.operators import cluster, features, forecast, learners, neighbours, rank, smote
 from colscope.plans import modelling
 from colscope.plans.profile_queries import LABELLED_SQL, labelled
@@ -68,13 +71,6 @@ def lines(t):
 # --- learners ------------------------------------------------------------------------------------------------
 
 
-def simple(t):
-    """(id, y, features) with price on quantity, discount and tax."""
-    rows = lines(t)
-    return rows.select(F.col("line").alias("id"), F.col("l_extendedprice").alias("y"),
-                       array_to_vector(F.array("l_quantity", "l_discount", "l_tax")).alias("features"))
-
-
 query("linear_regression", f"""select {r("regr_slope(l_extendedprice, l_quantity)")} as slope, {r("regr_intercept(l_extendedprice, l_quantity)", 2)} as intercept from lineitem""")(
     lambda t: _line(t))
 
@@ -121,7 +117,36 @@ def _prepared(t):
     return modelling.prepare(lines(t), "l_extendedprice", "regression", PRICE_CLASSES, key="line")
 
 
-query("leave_one_out_linear")(lambda t: modelling.leave_one_out(_prepared(t), "linear_regression").select("id", "y", "pred"))
+PRICE_SQL = "(select l_orderkey * 8 + l_linenumber as id, l_quantity as x, l_quantity * 1000 - l_discount * 20000 + l_extendedprice / 10 as y from lineitem)"
+ONE_CLASS = {"l_quantity": "numerical", "l_extendedprice": "numerical", "line": "identifier"}
+
+
+def _one_feature(t):
+    return modelling.prepare(lines(t).select("line", "l_quantity", "l_extendedprice"), "l_extendedprice", "regression", ONE_CLASS, key="line")
+
+
+query("leave_one_out_linear", f"""with f as (select avg(x) as mx, count(*) as n, var_pop(x) * count(*) as sxx, regr_slope(y, x) as b, regr_intercept(y, x) as a from {PRICE_SQL})
+      select id, {r("y", 2)} as y, {r("y - (y - a - b * x) / (1 - 1 / n - pow(x - mx, 2) / sxx)", 2)} as pred from {PRICE_SQL}, f""")(
+    lambda t: rounded(modelling.leave_one_out(_one_feature(t), "linear_regression").select("id", "y", "pred"), 2))
+query("leave_one_out_linear_all")(lambda t: modelling.leave_one_out(_prepared(t), "linear_regression").select("id", "y", "pred"))
+
+OLD = "o_orderkey % 3 <> 0"
+NEW_ROWS_SQL = f"""with old as (select * from orders where {OLD}), new as (select * from orders where not ({OLD}))
+      select o_orderkey as id, {r(r("(select avg(o_totalprice) from old)"), 2)} as constant,
+        {r(r("(select regr_intercept(o_totalprice, o_custkey) from old) + (select regr_slope(o_totalprice, o_custkey) from old) * o_custkey"), 2)} as linear from new"""
+
+
+@query("predictions_new_rows", NEW_ROWS_SQL)
+def _new_rows(t):
+    """Fitted on two thirds of the orders, applied to the rest without the target, the linear learner after saving and loading it."""
+    columns = {"o_orderkey": "identifier", "o_custkey": "numerical", "o_totalprice": "numerical"}
+    orders = t.orders.select(*columns)
+    p = modelling.prepare(orders.filter(OLD), "o_totalprice", "regression", columns, key="o_orderkey")
+    path = f"{shared_folder(t.spark)}/model-{uuid.uuid4().hex}"
+    modelling.fit_pipe(p, p.rows, "linear_regression").save(path)
+    fitted = {"constant": modelling.fit_pipe(p, p.rows, "constant"), "linear": modelling.load(t.spark, path)}
+    table = modelling.predictions_table(p, fitted, orders.filter(f"not ({OLD})").drop("o_totalprice"), key="o_orderkey")
+    return rounded(table.groupBy("id").pivot("model", ["constant", "linear"]).agg(F.first("predicted")), 2)
 
 
 def embedded(t):
@@ -203,12 +228,19 @@ def _importance(t):
     return t.spark.createDataFrame([(n, float(v)) for n, v in pairs], "feature string, importance double")
 
 
-query("rank_regression_table")(lambda t: rank.rank_features(
+query("rank_regression_table", " union all ".join(f"""select '{n}' as feature, {r(f"pow(corr({n}, y), 2) * (count(*) - 2) / (1 - pow(corr({n}, y), 2))", 2)} as score
+      from (select *, l_quantity * 1000 - l_discount * 20000 + l_extendedprice / 10 as y from lineitem)""" for n in ("l_quantity", "l_discount", "l_tax")))(
+    lambda t: rounded(rank.rank_features(lines(t).drop("l_returnflag"), t.spark.createDataFrame(
+        [(n, i, c, 0.0) for i, (n, c) in enumerate(PRICE_CLASSES.items()) if n != "l_returnflag"],
+        "column string, position int, dtype_class string, unique_pct double"), "l_extendedprice", "regression", "regression_f"), 2))
+query("rank_regression_coded")(lambda t: rank.rank_features(
     lines(t), t.spark.createDataFrame([(n, i, c, 0.0) for i, (n, c) in enumerate(PRICE_CLASSES.items())],
                                       "column string, position int, dtype_class string, unique_pct double"),
     "l_extendedprice", "regression", "regression_f"))
-query("oversampled_classes")(lambda t: smote.oversample(
-    vector_frame(t).withColumn("y", (F.col("y") < 2).cast("double"))).groupBy("y").agg(F.count("*").alias("n")))
+query("oversampled_classes", """with c as (select label::double as y, count(*) as n from embeddings group by 1)
+      select y, n as given, (select max(n) from c) - n as made from c""")(
+    lambda t: smote.oversample(vector_frame(t)).groupBy("y").agg(
+        F.count_if(~F.col("synthetic")).alias("given"), F.count_if("synthetic").alias("made")))
 query("k_means_clusters")(lambda t: cluster.k_means(vector_frame(t).drop("y"), 4, 2).select("id", "cluster"))
 query("hierarchical_clusters")(lambda t: cluster.hierarchical(vector_frame(t).drop("y"), 4).select("id", "cluster"))
 query("density_clusters", f"""with recursive near as (select id, neighbour from {PAIRS_SQL} where distance <= 1.16),
@@ -243,6 +275,17 @@ query("series_future_dates", f"""select series, k::int as step, strftime(last +
       select series, max(date) as last, median(gap) as gap from (select series, date,
       epoch(date - lag(date) over (partition by series order by date)) as gap from {DAILY_SQL}) group by 1), range(1, 31) as g(k)""")(
     lambda t: forecast.future_dates(forecast.numbered_points(daily(t))).withColumn("date", F.date_format("date", "yyyy-MM-dd")))
+query("series_forecast_walk", f"""with d as (select *, value - lag(value) over (partition by series order by date) as step_up,
+        last_value(value) over (partition by series order by date rows between unbounded preceding and unbounded following) as latest from {DAILY_SQL}),
+      f as (select series, any_value(latest) as latest, sqrt(avg(step_up * step_up)) as sigma from d group by 1)
+      select series, k::int as step, {r("latest")} as forecast, {r("latest - 1.959963984540054 * sigma * sqrt(k)")} as lower,
+        {r("latest + 1.959963984540054 * sigma * sqrt(k)")} as upper from f, range(1, 31) as g(k)""")(
+    lambda t: rounded(forecast.forecast(forecast.numbered_points(daily(t)), (0, 1, 0)).select("series", "step", "forecast", "lower", "upper")))
+query("series_forecast_short", """select l_returnflag || '-' || l_linenumber as series, 'fewer than 10 points' as error from lineitem
+      group by 1 having count(distinct date_trunc('year', l_shipdate)) < 10""")(
+    lambda t: forecast.forecast(forecast.numbered_points(forecast.series_points(
+        t.lineitem.select(F.date_trunc("year", "l_shipdate").alias("year"), "l_quantity", F.concat_ws("-", "l_returnflag", "l_linenumber").alias("s")),
+        "year", "l_quantity", "s")), (0, 1, 0), 3).filter("error is not null").select("series", "error"))
 query("series_forecast")(lambda t: forecast.forecast(forecast.numbered_points(daily(t))))
 query("series_forecast_orders")(lambda t: forecast.forecast(
     forecast.numbered_points(forecast.series_points(t.orders, "o_orderdate", "o_totalprice", "o_orderstatus")), (2, 1, 1), 30))

@@ -7,6 +7,7 @@ preprocessor, so nothing leaks from the rows scored. All predictions of a run ar
 
 from __future__ import annotations
 
+import json
 import random
 import time
 from dataclasses import dataclass, field
@@ -16,8 +17,9 @@ from itertools import product
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException, IllegalArgumentException
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colscope.functions import columns as C
@@ -28,6 +30,8 @@ from colscope.operators.transforms import label_codes
 
 MIN_ROWS = 20
 SEED = 42
+#: What a user's table or choice can cause; a lost executor or a full disk isn't among it, and ends the run.
+USER_ERRORS = (ValueError, AnalysisException, IllegalArgumentException)
 
 
 @dataclass
@@ -36,6 +40,7 @@ class Prepared:
     problem: str
     groups: dict[str, list[str]]
     labels: list[str]  # class names in code order, empty for regression
+    target: str = ""
 
     @property
     def classes(self) -> int:
@@ -63,7 +68,7 @@ def prepare(df: DataFrame, target: str, problem: str, classes: dict[str, str], a
     groups = features.choose_columns([n for n in df.columns if n != key], classes, advice, choices, target)
     if not any(groups.values()):
         raise ValueError("no usable feature columns")
-    return Prepared(rows, problem, groups, labels)
+    return Prepared(rows, problem, groups, labels, target)
 
 
 def vectors(pre: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -73,16 +78,35 @@ def vectors(pre: PipelineModel, rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Pipe:
-    """A fitted preprocessor and learner."""
+    """A fitted preprocessor and learner, with the target it was fitted for and its class names in code order."""
 
     pre: PipelineModel
     model: object
     names: list[str]
+    problem: str = ""
+    target: str = ""
+    labels: list[str] = field(default_factory=list)
 
-    def predict(self, rows: DataFrame) -> DataFrame:
-        """(id, y, pred, prob) of rows with `__id` and `__y`."""
+    def predict(self, rows: DataFrame, key: str | None = None) -> DataFrame:
+        """(id, y, pred, prob) of prepared rows, or of plain rows with or without the target: `id` is then the column
+        `key`, or a number given to each row; `y` is null where the target is absent or a class not seen before."""
+        if not {"__id", "__y"} <= set(rows.columns):
+            rows = self._numbered(rows, key)
         return self.model.predict(vectors(self.pre, rows)).drop("features")
 
+    def _numbered(self, rows: DataFrame, key: str | None) -> DataFrame:
+        if self.target not in rows.columns:
+            y = F.lit(None).cast("double")
+        elif self.problem == "regression":
+            y = C.number(rows, self.target)
+        else:
+            names = F.array(*[F.lit(n) for n in self.labels]).cast("array<string>")
+            place = F.array_position(names, C.as_text(rows, self.target))
+            y = F.when(place > 0, (place - 1).cast("double"))
+        out = C.nan_to_null(rows).withColumn("__y", y)
+        # A number drawn while a row is read changes when the row is read again, so it is written first.
+        return out.withColumn("__id", C.col(key).cast("long")) if key else staged(out.withColumn("__id", F.monotonically_increasing_id()))
+
     def importance(self, top: int = 25) -> list[tuple[str, float]]:
         pairs = list(zip(self.names, self.model.importances()))
         return sorted(pairs, key=lambda x: abs(x[1]), reverse=True)[:top]
@@ -94,10 +118,17 @@ class Pipe:
         return sorted(pairs, key=lambda x: abs(x[1]), reverse=True)[:top]
 
     def save(self, path: str) -> None:
-        """Write preprocessor and learner as one pipeline; for learners of pyspark.ml."""
-        if not isinstance(self.model, learners.Fitted):
-            raise ValueError("only learners of pyspark.ml are saved as pipelines")
-        features.save(PipelineModel([*self.pre.stages, self.model.model]), path)
+        """Write the preprocessor, the learner of any kind, and what is needed to name its answers."""
+        features.save(self.pre, f"{path}/preprocessor")
+        facts = {"names": self.names, "problem": self.problem, "target": self.target, "labels": self.labels}
+        SparkSession.active().createDataFrame([(json.dumps(facts),)], "facts string").write.mode("overwrite").json(f"{path}/facts")
+        learners.save(self.model, f"{path}/learner")
+
+
+def load(spark: SparkSession, path: str) -> Pipe:
+    """What `Pipe.save` wrote."""
+    facts = json.loads(spark.read.json(f"{path}/facts").first()["facts"])
+    return Pipe(PipelineModel.load(f"{path}/preprocessor"), learners.load(spark, f"{path}/learner"), **facts)
 
 
 def fit_pipe(p: Prepared, train: DataFrame, name: str, params: dict | None = None, imbalance: str = "none") -> Pipe:
@@ -113,11 +144,11 @@ def fit_pipe(p: Prepared, train: DataFrame, name: str, params: dict | None = Non
         frame = frame.join(counts.select("y", (total / (k * F.col("_n"))).alias("weight")), "y")
         weight = "weight"
     frame = staged(frame)
-    return Pipe(pre, learners.fit(p.problem, name, frame, params, p.classes, weight), names)
+    return Pipe(pre, learners.fit(p.problem, name, frame, params, p.classes, weight), names, p.problem, p.target, p.labels)
 
 
 # Fixed value: learners that take class weights.
-WEIGHTED = {"logistic_regression", "random_forest", "decision_tree", "linear_svm"}
+WEIGHTED = {"logistic_regression", "random_forest", "decision_tree", "linear_svm", "boosted_leaves"}
 
 
 def metrics(pred: DataFrame, p: Prepared, by: list[str] | None = None) -> DataFrame:
@@ -174,7 +205,7 @@ def train(df: DataFrame, target: str, problem: str, name: str, classes: dict[str
         p = prepare(df, target, problem, classes, advice, choices, key)
         parts = staged(sampling.with_split(p.rows, opt["test_size"], "__id", _strata(p, opt["stratify"]), opt["seed"], "__test"))
         return _train(p, parts, name, params, opt)
-    except Exception as error:  # noqa: BLE001
+    except USER_ERRORS as error:
         return Run(False, str(error), name)
 
 
@@ -311,7 +342,7 @@ def leaderboard(df: DataFrame, target: str, problem: str, classes: dict[str, str
         try:
             run = _train(p, parts, name, (params or {}).get(name), options)
             rows.append((name, True, *[run.metrics[m] for m in shown], run.train_time, None))
-        except Exception as error:  # noqa: BLE001
+        except USER_ERRORS as error:
             rows.append((name, False, *[None for _ in shown], None, str(error)))
     schema = "model string, ok boolean, " + ", ".join(f"{m} double" for m in shown) + ", train_seconds double, error string"
     board = df.sparkSession.createDataFrame(rows, schema)
@@ -358,7 +389,7 @@ def test_and_score(df: DataFrame, target: str, problem: str, models: dict[str, d
             parts.append(pred)
             if refit:
                 fitted[name] = fit_pipe(p, p.rows, name, params)
-        except Exception as error:  # noqa: BLE001
+        except USER_ERRORS as error:
             errors[name] = str(error)
     if not parts:
         raise ValueError("; ".join(f"{n}: {e}" for n, e in errors.items()))
@@ -385,15 +416,16 @@ def tune(df: DataFrame, target: str, problem: str, name: str, classes: dict[str,
     return made.orderBy(F.desc("score"))
 
 
-def predictions_table(p: Prepared, fitted: dict[str, Pipe], rows: DataFrame | None = None) -> DataFrame:
+def predictions_table(p: Prepared, fitted: dict[str, Pipe], rows: DataFrame | None = None, key: str | None = None) -> DataFrame:
     """(id, model, actual, predicted, class, probability | error): long, over all rows or new ones.
 
-    Classes give one row per class with its probability; numbers give one row with the error.
+    Classes give one row per class with its probability; numbers give one row with the error. New rows may lack the
+    target; `actual` is then null.
     """
     rows = p.rows if rows is None else rows
     parts = []
     for name, pipe in fitted.items():
-        pred = pipe.predict(rows).withColumn("model", F.lit(name))
+        pred = pipe.predict(rows, key).withColumn("model", F.lit(name))
         if p.problem == "classification":
             names = F.array(*[F.lit(n) for n in p.labels])
             each = pred.select("id", "model", F.get(names, F.col("y").cast("int")).alias("actual"),
@@ -441,8 +473,3 @@ def find_clusters(df: DataFrame, classes: dict[str, str], name: str = "k_means",
     made = staged(made)
     return Clusters(made, cluster.cluster_sizes(made), cluster.silhouette_squared(made), cluster.projection(made),
                     cluster.elbow(frame, int(params["n_init"])) if name == "k_means" and with_elbow else None)
-
-
-def to_vectors(df: DataFrame, array: str, key: str) -> DataFrame:
-    """(id, features) from an array column."""
-    return df.select(C.col(key).cast("long").alias("id"), array_to_vector(C.col(array).cast("array<double>")).alias("features"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from colscope.functions import columns as C
+from colscope.functions.staging import shared_folder
 from colscope.operators import outliers, profile, quality, sampling, score, stats, typing
 from colscope.plans.registry import query, r, rounded
 from colscope.sources import tables as source
@@ -128,6 +131,21 @@ query("table_meta", "select count(*) as rows, 11::bigint as columns, count(*) *
 query("read_parquet", "select o_orderkey, o_orderstatus, o_totalprice from orders")(
     lambda t: source.load(t.spark, f"{t.folder}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice"))
 
+ROUND_TRIP_SQL = "select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer"
+
+
+def round_trip(t, fmt: str):
+    """Customers written to the shared folder in a format and loaded back, with the types of the table."""
+    path = f"{shared_folder(t.spark)}/round-trip-{uuid.uuid4().hex}"
+    source.write(t.customer, path, fmt)
+    back = source.load(t.spark, path, fmt)
+    return back.select(*[C.col(f.name).cast(f.dataType).alias(f.name) for f in t.customer.schema])
+
+
+query("json_round_trip", ROUND_TRIP_SQL)(lambda t: round_trip(t, "json"))
+query("csv_round_trip", ROUND_TRIP_SQL)(lambda t: round_trip(t, "csv"))
+query("tsv_round_trip", ROUND_TRIP_SQL)(lambda t: round_trip(t, "tsv"))
+
 query("strip_strings",
       "select o_orderkey, trim(chr(9) || '  ' || o_orderpriority || ' ' || chr(10), ' ' || chr(9) || chr(10)) as p, "
       "o_orderstatus from orders")(

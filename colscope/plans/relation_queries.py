@@ -229,6 +229,19 @@ query("date_summary", date_summary_sql([("events", "ts", "ts")]))(lambda t: date
 query("date_summary_text", date_summary_sql([
     (SHIPPED_SQL, "o_orderdate", "o_orderdate"), (SHIPPED_SQL, "us_date", "strptime(us_date, '%m/%d/%Y')")]))(
     lambda t: dates.date_summary(shipped(t)))
+EUROPEAN_SQL = "(select *, strftime(o_orderdate, '%d/%m/%Y') as day_first, strftime(o_orderdate, '%d-%m-%Y') as dashed from orders)"
+
+
+def european(t):
+    return t.orders.select(*[F.date_format("o_orderdate", f).alias(n) for n, f in (("day_first", "dd/MM/yyyy"), ("dashed", "dd-MM-yyyy"))],
+                           "o_orderpriority")
+
+
+query("date_summary_day_first", date_summary_sql([
+    (EUROPEAN_SQL, "day_first", "date_trunc('day', o_orderdate)"), (EUROPEAN_SQL, "dashed", "date_trunc('day', o_orderdate)")]))(
+    lambda t: dates.date_summary(european(t)))
+query("weekday_counts_day_first", """select 'day_first' as "column", (isodow(o_orderdate) - 1)::int as weekday, count(*) as n from orders group by 2""")(
+    lambda t: dates.weekday_counts(european(t), ["day_first"]))
 query("monthly_counts", """select 'o_orderdate' as "column", strftime(o_orderdate, '%Y-%m') as month, count(*) as n from orders group by 2
       union all select 'us_date', strftime(strptime(us_date, '%m/%d/%Y'), '%Y-%m'), count(*) from """ + SHIPPED_SQL + " group by 2")(
     lambda t: dates.monthly_counts(shipped(t)))

@@ -97,6 +97,7 @@ def table_meta(df: DataFrame) -> DataFrame:
 
 
 def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
-    """Write a table; csv files carry a header."""
+    """Write a table; csv and tsv files carry a header."""
     writer = df.write.mode(mode)
-    {"parquet": writer.parquet, "json": writer.json, "csv": lambda p: writer.csv(p, header=True)}[fmt](path)
+    {"parquet": writer.parquet, "json": writer.json, "csv": lambda p: writer.csv(p, header=True, escape='"'),
+     "tsv": lambda p: writer.csv(p, header=True, escape='"', sep="\t")}[fmt](path)

@@ -132,9 +132,27 @@ def test_pipeline_saved_and_loaded(clf, tmp_path):
     p = modelling.prepare(clf, "target", "classification", CLF, key="k")
     pipe = modelling.fit_pipe(p, p.rows, "logistic_regression")
     pipe.save(str(tmp_path / "m"))
-    again = features.load(str(tmp_path / "m")).transform(p.rows)
+    again = modelling.load(clf.sparkSession, str(tmp_path / "m"))
+    assert again.labels == p.labels and again.target == "target"
     mine = {r.id: r.pred for r in pipe.predict(p.rows).collect()}
-    assert all(mine[r["__id"]] == r.pred for r in again.select("__id", "pred").collect())
+    for rows in (clf, clf.drop("target")):
+        assert mine == {r.id: r.pred for r in again.predict(rows, key="k").collect() if r.id in mine}
+    assert again.predict(clf.drop("target")).filter("y is not null").count() == 0
+
+
+QUICK = {"random_forest": {"n_estimators": 3, "max_depth": 3}, "boosted_trees": {"n_estimators": 2, "max_depth": 2},
+         "boosted_leaves": {"n_estimators": 2}, "gradient_boosting": {"n_estimators": 2}, "ada_boost": {"n_estimators": 3},
+         "neural_network": {"max_iter": 10, "hidden_layer_sizes": "4"}, "decision_tree": {"max_depth": 4}}
+
+
+@pytest.mark.parametrize("name", learners.list_learners("classification"))
+def test_every_learner_saved_and_loaded(clf, tmp_path, name):
+    p = modelling.prepare(clf, "target", "classification", CLF, key="k")
+    pipe = modelling.fit_pipe(p, p.rows, name, QUICK.get(name), "class_weight")
+    pipe.save(str(tmp_path / "m"))
+    again = modelling.load(clf.sparkSession, str(tmp_path / "m"))
+    one, two = ({r.id: (r.pred, list(r.prob)) for r in x.predict(p.rows).collect()} for x in (pipe, again))
+    assert one == two
 
 
 def test_unknown_levels(clf):
@@ -267,7 +285,10 @@ def test_series(spark):
     assert walk[2].upper - walk[2].forecast == pytest.approx((walk[0].upper - walk[0].forecast) * 3**0.5)
     moving, _ = forecast.fit_arima(points, (0, 0, 1))
     assert moving.first().beta[1] > 0.4
-    assert forecast.numbered_points(forecast.series_points(df.limit(9), "d", "v", "s")).count() == 0
+    short = forecast.forecast(forecast.numbered_points(forecast.series_points(df.limit(9), "d", "v", "s"))).collect()
+    assert [(r.series, r.forecast, r.error) for r in short] == [("s", None, "fewer than 10 points")]
+    ten = forecast.forecast(forecast.numbered_points(forecast.series_points(df.limit(10), "d", "v", "s")), (5, 1, 5)).collect()
+    assert [(r.series, r.error) for r in ten] == [("s", "too few points for this order")]
 
 
 def test_month_starts(spark):

@@ -124,7 +124,7 @@ def test_date_rules(spark):
     assert set(rows) == {"a", "b", "c", "n"}
     assert rows["n"].range_days == 1 and rows["n"].has_time_component is False
     assert rows["b"].min_date == "2024-01-31" and rows["b"].max_date == "2024-02-01"
-    assert rows["c"].min_date == "2024-01-02" and rows["c"].max_date == "2024-01-31"
+    assert rows["c"].min_date == "2024-01-31" and rows["c"].max_date == "2024-02-01"
     assert "n_hour" not in dates.add_date_parts(df, "n").columns
 
 
