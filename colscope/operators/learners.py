@@ -25,7 +25,7 @@ from colscope.operators.neighbours import k_nearest
 SEED = 42
 DEEPEST = 30  # the deepest tree Spark grows
 STAGE_EVERY = 10  # reweighting rounds between written tables
-ITERATIONS = 100  # of the separator and of its calibration, unless `max_iter` says otherwise
+ITERATIONS = 50  # of the linear separator, unless `max_iter` says otherwise
 
 # Learners, their defaults and their search grids.
 DEFAULTS: dict[str, dict[str, dict]] = {
@@ -363,7 +363,7 @@ def _svm(train: DataFrame, params: dict, classes: int, weight: str | None) -> Ca
     else:
         margins = mc.OneVsRest(classifier=one, featuresCol="features", labelCol="y", predictionCol="guess", **w).fit(train)
     chances = mc.LogisticRegression(featuresCol="rawPrediction", labelCol="y", predictionCol="pred", probabilityCol="chance",
-                                    rawPredictionCol="raw", maxIter=rounds).fit(margins.transform(train).select("y", "rawPrediction"))
+                                    rawPredictionCol="raw", maxIter=max(rounds, 100)).fit(margins.transform(train).select("y", "rawPrediction"))
     return Calibrated(margins, chances)
 
 

@@ -142,7 +142,8 @@ def test_pipeline_saved_and_loaded(clf, tmp_path):
 
 QUICK = {"random_forest": {"n_estimators": 3, "max_depth": 3}, "boosted_trees": {"n_estimators": 2, "max_depth": 2},
          "boosted_leaves": {"n_estimators": 2}, "gradient_boosting": {"n_estimators": 2}, "ada_boost": {"n_estimators": 3},
-         "neural_network": {"max_iter": 10, "hidden_layer_sizes": "4"}, "decision_tree": {"max_depth": 4}}
+         "neural_network": {"max_iter": 10, "hidden_layer_sizes": "4"}, "decision_tree": {"max_depth": 4},
+         "linear_svm": {"max_iter": 5}, "logistic_regression": {"max_iter": 20}}
 
 
 @pytest.mark.parametrize("name", learners.list_learners("classification"))
