@@ -140,14 +140,11 @@ def test_pipeline_saved_and_loaded(clf, tmp_path):
     assert again.predict(clf.drop("target")).filter("y is not null").count() == 0
 
 
-QUICK = {"random_forest": {"n_estimators": 3, "max_depth": 3}, "boosted_trees": {"n_estimators": 2, "max_depth": 2},
-         "boosted_leaves": {"n_estimators": 2}, "gradient_boosting": {"n_estimators": 2}, "ada_boost": {"n_estimators": 3},
-         "neural_network": {"max_iter": 10, "hidden_layer_sizes": "4"}, "decision_tree": {"max_depth": 4},
-         "linear_svm": {"max_iter": 5}, "logistic_regression": {"max_iter": 20}}
+QUICK = {"ada_boost": {"n_estimators": 3}, "linear_svm": {"max_iter": 5}}
 
 
-@pytest.mark.parametrize("name", learners.list_learners("classification"))
-def test_every_learner_saved_and_loaded(clf, tmp_path, name):
+@pytest.mark.parametrize("name", ["constant", "naive_bayes", "ada_boost", "nearest_neighbours", "linear_svm"])  # one of each kind
+def test_learners_saved_and_loaded(clf, tmp_path, name):
     p = modelling.prepare(clf, "target", "classification", CLF, key="k")
     pipe = modelling.fit_pipe(p, p.rows, name, QUICK.get(name), "class_weight")
     pipe.save(str(tmp_path / "m"))
