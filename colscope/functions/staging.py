@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
-_written: dict[int, tuple[DataFrame, str]] = {}
+_written: dict[int, tuple[DataFrame, str, str | None]] = {}  # frame, path, name in the catalog
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,7 +34,7 @@ def staged(df: DataFrame, **options: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
-    _written[id(back)] = (back, path)
+    _written[id(back)] = (back, path, None)
     return back
 
 
@@ -47,16 +47,18 @@ def bucketed(df: DataFrame, column: str, folders: str, **options: str) -> DataFr
     writer = df.write.format("parquet").options(path=path, **options).partitionBy(folders)
     writer.bucketBy(buckets, column).saveAsTable(name)
     back = spark.table(name)
-    _written[id(back)] = (back, path)
+    _written[id(back)] = (back, path, name)
     return back
 
 
 def discard(*frames: DataFrame) -> None:
     """Remove the tables behind frames that `staged` returned; other frames are left alone."""
     for frame in frames:
-        back, path = _written.pop(id(frame), (None, None))
+        back, path, name = _written.pop(id(frame), (None, None, None))
         if back is not None:
             spark = back.sparkSession
+            if name is not None:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
@@ -73,10 +75,10 @@ def scope():
     try:
         yield
     finally:
-        discard(*[frame for key, (frame, _) in list(_written.items()) if key not in before])
+        discard(*[frame for key, (frame, *_) in list(_written.items()) if key not in before])
 
 
 @atexit.register
 def _clear() -> None:
     with contextlib.suppress(Exception):  # the session may be gone by then
-        discard(*[frame for frame, _ in list(_written.values())])
+        discard(*[frame for frame, *_ in list(_written.values())])
