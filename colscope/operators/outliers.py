@@ -6,12 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colscope.functions import columns as C
 from colscope.functions.quantiles import IN_MEMORY_ROWS, exact_percentiles
+from colscope.functions.staging import staged
 
 MIN_VALUES = 4
 FOREST_MIN_VALUES = 500
@@ -100,25 +101,24 @@ def isolation_forest(df: DataFrame, names: list[str] | None = None, contaminatio
     at most trees x sample steps per column; that table alone is sent to the tasks.
     """
     names = names if names is not None else C.numeric_columns(df)
-    counts = C.number_counts(df, names)
+    counts = staged(C.number_counts(df, names))
     sizes = counts.groupBy("column").agg(F.sum("n").alias("n")).collect()
     sizes = {r["column"]: r["n"] for r in sizes if r["n"] >= FOREST_MIN_VALUES}
     if not sizes:
         return df.sparkSession.createDataFrame([], "column string, isolation_forest_outliers bigint")
 
-    # About two samples' worth of rows per tree; each tree then keeps its first FOREST_SAMPLE by random key.
-    parts = None
-    for name, size in sizes.items():
-        rate = min(1.0, 2.0 * FOREST_SAMPLE / size)
-        trees = F.explode(F.sequence(F.lit(0), F.lit(FOREST_TREES - 1))).alias("tree")
-        part = (
-            df.select(C.number(df, name).alias("value")).filter("value IS NOT NULL")
-            .sample(min(1.0, rate * FOREST_TREES), seed)
-            .select(F.lit(name).alias("column"), "value", trees)
-            .withColumn("key", F.rand(seed))
-            .filter(F.col("key") < (rate if rate * FOREST_TREES >= 1.0 else 1.0 / FOREST_TREES))
-        )
-        parts = part if parts is None else parts.unionAll(part)
+    # About two samples' worth of rows per tree; each tree then keeps its first FOREST_SAMPLE by key. A value gives its
+    # share of all draws, dealt to the trees in turn; hashes decide, so the forest is the same on any cluster.
+    def draw(salt: str, *more: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "column", "value", *more), F.lit(1 << 30))
+
+    known = counts.filter(F.col("column").isin(list(sizes)))
+    rate = F.create_map(*[F.lit(x) for name, size in sizes.items() for x in (name, min(1.0, 2.0 * FOREST_SAMPLE / size))])
+    wanted = F.col("n") * rate[F.col("column")] * FOREST_TREES
+    dealt = known.withColumn("copies", F.floor(wanted + draw("share") / float(1 << 30))).filter("copies > 0")
+    dealt = dealt.select("column", "value", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    parts = dealt.select("column", "value", F.pmod(draw("tree") + F.col("copy"), F.lit(FOREST_TREES)).cast("int").alias("tree"),
+                         draw("key", "copy").alias("key"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "value"]).head(FOREST_SAMPLE)
@@ -150,7 +150,7 @@ def isolation_forest(df: DataFrame, names: list[str] | None = None, contaminatio
             out[mine] = scores[np.searchsorted(edges, value[mine], side="right") - 1]
         return pd.Series(out)
 
-    scored = counts.filter(F.col("column").isin(list(sizes))).withColumn("score", score("column", "value"))
+    scored = known.withColumn("score", score("column", "value"))
     per_score = scored.groupBy("column", "score").agg(F.sum("n").alias("n"))
     # A column has at most as many scores as the forest has steps. The cut is the score at the
     # contamination quantile from the anomalous end; rows strictly beyond it are outliers.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from colscope.functions import columns as C
 
-BUCKETS = 256
+BUCKETS = 4_096  # numbers don't depend on it
 
 
 def key_hash(df: DataFrame, key: str | None, seed: int = 42) -> Column:
@@ -28,7 +28,7 @@ def numbered(df: DataFrame, key: str | None = None, strata: str | None = None, s
     A stratum may hold most of the table, so it is cut into buckets by hash; rows are numbered within a
     bucket and the sizes of the earlier buckets are added.
     """
-    tie = C.col(key) if key is not None else F.lit(0)
+    tie = C.col(key) if key is not None else F.xxhash64(F.lit(seed + 1), *[C.as_text(df, n) for n in df.columns])
     s = C.col(strata) if strata is not None else F.lit(0)
     rows = df.withColumns({"_hash": key_hash(df, key, seed), "_stratum": s.cast("string")})
     rows = rows.withColumn("_bucket", F.floor(F.col("_hash") / F.lit(4294967296 // BUCKETS)))

@@ -52,8 +52,3 @@ def class_weights(df: DataFrame, target: str) -> DataFrame:
     total = counts.agg(F.sum("n")).scalar()
     classes = counts.agg(F.count("*")).scalar()
     return counts.select("value", (total / (classes * F.col("n"))).alias("weight"))
-
-
-def add_class_weight(df: DataFrame, target: str, out: str = "weight") -> DataFrame:
-    weights = class_weights(df, target).select(F.col("value").alias("_value"), F.col("weight").alias(out))
-    return df.join(weights, C.col(target) == F.col("_value")).drop("_value")

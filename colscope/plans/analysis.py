@@ -140,12 +140,3 @@ def compare_tables(a: DataFrame, b: DataFrame) -> Comparison:
 def classes_of(columns: DataFrame) -> dict[str, str]:
     """{column: class} of a column profile."""
     return {r["column"]: r["dtype_class"] for r in columns.select("column", "dtype_class").collect()}
-
-
-def advice_of(preprocessing: DataFrame) -> dict[str, dict]:
-    """{column: advice} of a preprocessing table."""
-    return {r["column"]: r.asDict() for r in preprocessing.collect()}
-
-
-def unpivoted_health(health: DataFrame) -> DataFrame:
-    return score.health_breakdown(health).orderBy(F.desc("score"))

@@ -11,7 +11,7 @@ from colscope.functions import columns as C
 from colscope.functions.staging import shared_folder
 from colscope.operators import cluster, features, forecast, learners, neighbours, rank, smote
 from colscope.plans import modelling
-from colscope.plans.profile_queries import LABELLED_SQL, labelled
+from colscope.plans.profile_queries import HASH, LABELLED_SQL, labelled
 from colscope.plans.registry import query, r, rounded
 
 # --- preprocessing -------------------------------------------------------------------------------------------
@@ -204,6 +204,47 @@ def _scores(t, models, scheme):
     return modelling.test_and_score(rows, "l_extendedprice", "regression", models, PRICE_CLASSES, scheme, refit=False, key="line")
 
 
+ORDER_SQL = "(select o_orderkey as id, o_custkey::double as x, o_totalprice as y from orders)"
+ORDER_CLASSES = {"o_orderkey": "identifier", "o_custkey": "numerical", "o_totalprice": "numerical"}
+
+
+def numbered_sql(seed: int) -> str:
+    """The rows numbered in hash order."""
+    return f"(select *, row_number() over (order by {HASH.format(key='id', seed=seed * 40503)}, id) - 1 as k from {ORDER_SQL})"
+
+
+LINE = {"linear_regression": None, "constant": None}
+FITTED = "regr_slope(y, x) as b, regr_intercept(y, x) as a, avg(y) as c"
+FOLDS_SQL = f"""f as (select id, x, y, (k % 3)::int as fold from {numbered_sql(42)}),
+      m as (select h.fold, {FITTED} from f join (select distinct fold from f) h on f.fold <> h.fold group by 1),
+      p as (select 'linear_regression' as model, fold, id, y, a + b * x as pred from f join m using (fold)
+        union all select 'constant', fold, id, y, c from f join m using (fold))"""
+REPEATS_SQL = "p as (" + " union all ".join(f"""select 'linear_regression' as model, {n} as fold, id, y, a + b * x as pred
+      from (select *, floor((k + 1) * 0.3::double) > floor(k * 0.3::double) as test from {numbered_sql(42 + n)}),
+      (select {FITTED} from (select *, floor((k + 1) * 0.3::double) > floor(k * 0.3::double) as test from {numbered_sql(42 + n)}) where not test)
+      where test""" for n in range(3)) + ")"
+TRAIN_SQL = f"""p as (select 'linear_regression' as model, y, a + b * x as pred from {ORDER_SQL}, (select {FITTED} from {ORDER_SQL}) union all
+      select 'constant', y, c from {ORDER_SQL}, (select {FITTED} from {ORDER_SQL}))"""
+ERRORS = f"""select model, {r("sqrt(avg(pow(y - pred, 2)))", 2)} as rmse, {r("avg(abs(y - pred))", 2)} as mae,
+      {r("1 - avg(pow(y - pred, 2)) / var_pop(y)")} as r2 from p group by 1"""
+
+
+def _order_line(t):
+    return modelling.prepare(t.orders.select(*ORDER_CLASSES), "o_totalprice", "regression", ORDER_CLASSES, key="o_orderkey")
+
+
+def _line_scores(t, scheme):
+    rows = t.orders.select(*ORDER_CLASSES)
+    made = modelling.test_and_score(rows, "o_totalprice", "regression", LINE, ORDER_CLASSES, scheme, refit=False, key="o_orderkey")
+    return rounded(made.metrics.select("model", "rmse", "mae", "r2"), 4, rmse=2, mae=2)
+
+
+query("cross_validated_predictions", f"with {FOLDS_SQL} select model, fold, id, {r('y', 2)} as y, {r('pred', 2)} as pred from p")(
+    lambda t: rounded(modelling.cross_predictions(_order_line(t), LINE, 3), 2))
+query("repeated_split_predictions", f"with {REPEATS_SQL} select model, fold, id, {r('y', 2)} as y, {r('pred', 2)} as pred from p")(
+    lambda t: rounded(modelling.repeated_predictions(_order_line(t), {"linear_regression": None}), 2))
+query("cross_validated_line_scores", f"with {FOLDS_SQL} {ERRORS}")(lambda t: _line_scores(t, {"k": 3}))
+query("train_line_scores", f"with {TRAIN_SQL} {ERRORS}")(lambda t: _line_scores(t, {"method": "test_on_train"}))
 query("cross_validated_scores")(lambda t: _scores(t, {"linear_regression": None, "constant": None}, {"k": 3}).metrics)
 query("repeated_split_scores")(lambda t: _scores(t, {"ridge": None}, {"method": "random_sampling"}).metrics)
 query("train_split_scores")(lambda t: _scores(t, {"decision_tree": {"max_depth": 5}}, {"method": "test_on_train"}).metrics)

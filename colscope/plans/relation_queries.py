@@ -144,10 +144,10 @@ def ks_sql(names, a: str, b: str) -> str:
 query("distribution_shifts", ks_sql(["o_totalprice", "o_custkey"], OLD_SQL, NEW_SQL))(
     lambda t: rounded(compare.distribution_shifts(old_orders(t), new_orders(t), ["o_totalprice", "o_custkey"])
                       .drop("ks_pvalue", "shift_detected"), 4, mean_a=2, mean_b=2, std_a=2, std_b=2))
-RETURNED, KEPT = "(select * from lineitem where l_returnflag = 'R')", "(select * from lineitem where l_returnflag = 'N')"
+RETURNED, KEPT = "(select * from lineitem where l_returnflag = 'R')", "(select * from lineitem where l_returnflag <> 'R')"
 query("distribution_shifts_lineitem", ks_sql(["l_quantity", "l_extendedprice", "l_discount"], RETURNED, KEPT))(
     lambda t: rounded(compare.distribution_shifts(
-        t.lineitem.filter("l_returnflag = 'R'"), t.lineitem.filter("l_returnflag = 'N'"),
+        t.lineitem.filter("l_returnflag = 'R'"), t.lineitem.filter("l_returnflag <> 'R'"),
         ["l_quantity", "l_extendedprice", "l_discount"]).drop("ks_pvalue", "shift_detected"),
         4, mean_a=2, mean_b=2, std_a=2, std_b=2))
 
@@ -163,18 +163,18 @@ query("null_drift", f"""select * from (
 
 query("row_overlap", f"""select sum(na * nb)::bigint as common_rows, {r("sum(na * nb) / (select count(*) from lineitem where l_returnflag = 'R') * 100", 2)} as overlap_pct
       from (select l_quantity, l_discount, l_tax, count(*) as na from lineitem where l_returnflag = 'R' group by 1, 2, 3)
-      join (select l_quantity, l_discount, l_tax, count(*) as nb from lineitem where l_returnflag = 'N' group by 1, 2, 3)
+      join (select l_quantity, l_discount, l_tax, count(*) as nb from lineitem where l_returnflag <> 'R' group by 1, 2, 3)
       using (l_quantity, l_discount, l_tax)""")(
     lambda t: compare.row_overlap(
         t.lineitem.filter("l_returnflag = 'R'").select("l_quantity", "l_discount", "l_tax"),
-        t.lineitem.filter("l_returnflag = 'N'").select("l_quantity", "l_discount", "l_tax")))
-
-query("row_overlap_with_nulls", f"""select sum(na * nb)::bigint as common_rows, {r("sum(na * nb) / (select count(*) from documents) * 100", 2)} as overlap_pct
-      from (select lang, quality, count(*) as na from {LABELLED_SQL} group by 1, 2) x
-      join (select lang, quality, count(*) as nb from {LABELLED_SQL} where doc_id % 2 = 0 group by 1, 2) y
-      on x.lang = y.lang and x.quality is not distinct from y.quality""")(
-    lambda t: compare.row_overlap(labelled(t).select("lang", "quality"),
-                                  labelled(t).filter("doc_id % 2 = 0").select("lang", "quality")))
+        t.lineitem.filter("l_returnflag <> 'R'").select("l_quantity", "l_discount", "l_tax")))
+
+query("row_overlap_with_nulls", f"""select sum(na * nb)::bigint as common_rows, {r("sum(na * nb) / (select count(*) from documents where lang = 'en') * 100", 2)} as overlap_pct
+      from (select toxic, quality, count(*) as na from {LABELLED_SQL} where lang = 'en' group by 1, 2) x
+      join (select toxic, quality, count(*) as nb from {LABELLED_SQL} where lang <> 'en' group by 1, 2) y
+      on x.toxic is not distinct from y.toxic and x.quality is not distinct from y.quality""")(
+    lambda t: compare.row_overlap(labelled(t).filter("lang = 'en'").select("toxic", "quality"),
+                                  labelled(t).filter("lang <> 'en'").select("toxic", "quality")))
 
 query("size_diff", f"""select a as rows_a, b as rows_b, b - a as row_diff, 6::bigint as cols_a, 7::bigint as cols_b from (
       select (select count(*) from {OLD_SQL}) as a, (select count(*) from {NEW_SQL}) as b)""")(

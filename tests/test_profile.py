@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from colscope.functions import columns as C
-from colscope.operators import clean, dates, outliers, profile, quality, score, stats, text, typing
+from colscope.functions import staging
+from colscope.operators import clean, dates, outliers, profile, quality, sampling, score, stats, text, typing
 from colscope.plans import analysis
 
 
@@ -95,6 +96,25 @@ def test_isolation_forest_flags_the_far_ones(spark):
     assert outliers.isolation_forest(df.limit(100)).count() == 0
 
 
+def test_forest_and_folds_do_not_depend_on_partitions(spark):
+    df = spark.range(3000).select((F.col("id") * F.col("id") % 977).alias("x"), (F.col("id") % 7).alias("y"))
+    forests = [sorted(map(tuple, outliers.isolation_forest(df.repartition(n), ["x"]).collect())) for n in (1, 8)]
+    assert forests[0] == forests[1] and len(forests[0]) == 1
+    folds = [sorted(map(tuple, sampling.with_folds(df.repartition(n), 3).collect())) for n in (1, 8)]
+    assert folds[0] == folds[1] and len(folds[0]) == 3000
+
+
+def test_bucketed_tables_are_removed(spark):
+    def names():
+        return {t.name for t in spark.catalog.listTables()}
+
+    before, there = staging.tables(), names()
+    made = staging.bucketed(spark.range(100).withColumn("part", F.col("id") % 2 == 0), "id", "part")
+    assert made.count() == 100 and len(names() - there) == 1
+    staging.discard(made)
+    assert staging.tables() == before and names() == there
+
+
 def test_health(spark):
     def health(null_pct, outlier_pct, dup_pct, pairs, ratio=None, known=False):
         row = spark.createDataFrame([(null_pct, outlier_pct, dup_pct, ratio, known, pairs)],
