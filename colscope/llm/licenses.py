@@ -2,7 +2,7 @@
 
 A text is reduced to its words, runs of digits, letters a-z (lower-cased) and characters beyond ASCII, with one blank
 between. Every signature is a regular expression over whole words, with a label, a priority (0 is best), a confidence, and
-a keyword that each of its matches contains. A text without any keyword is done; in the others only the signatures whose
+a keyword that each text with a match contains. A text without any keyword is done; in the others only the signatures whose
 keyword occurs are matched. Each match is a detection from its first to its last word. A detection is suppressed when one
 of the same or a better priority spans all its words, the earlier rule winning if both span the same; as detections are
 read by start, longest first, one running maximum of ends per priority decides that, so work is linear in detections.
@@ -43,7 +43,7 @@ BASE = (
 
 # Names of licenses by family: keyword of the family, then label and the expression of the name.
 NAMES: dict[str, tuple[tuple[str, str], ...]] = {
-    "licen": (("mit", "mit"), ("mit", "mit expat"), ("mit-0", "mit no attribution"), ("mit-0", "mit 0")),
+    " mit ": (("mit", "mit"), ("mit", "mit expat"), ("mit-0", "mit no attribution"), ("mit-0", "mit 0")),
     "expat": (("mit", "expat"),),
     "apache": (("apache-2", "apache 2(?: 0)?"), ("apache-2", "apache (?:software )?license v?(?:ersion )?2(?: 0)?"),
                ("apache-1.1", "apache (?:software )?license v?(?:ersion )?1 1"), ("apache-1", "apache (?:software )?license v?(?:ersion )?1 0")),
@@ -131,11 +131,11 @@ PHRASES = (
 
 
 def signatures() -> list[Signature]:
-    """All rules in order: the base phrases, the names in each form, other phrases. The family "licen" has names that are
-    common words, and only takes the forms that hold its keyword themselves."""
+    """All rules in order: the base phrases, the names in each form, other phrases. The family " mit " has names that are
+    common words, and takes all forms but the bare name."""
     named = [Signature(label, form.format(f"(?:{name})"), keyword, priority)
              for form, priority in FORMS for keyword, names in NAMES.items() for label, name in names
-             if keyword != "licen" or any(part.startswith("licen") for part in form.split(" ") if not part.startswith("("))]
+             if keyword != " mit " or form != "{}"]
     return [*BASE, *named, *PHRASES]
 
 

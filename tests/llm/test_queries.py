@@ -147,6 +147,28 @@ def test_license_rules(spark):
     assert labels[0] == "lgpl-2.1,proprietary" and labels[3] == "" and labels[4] == "mpl-2"
 
 
+def shortest(pattern):
+    """A short text that a signature matches: no optional part, the first of several."""
+    for old, new in ((r"\(\?:[^()]*\)\?", ""), (r"\(\?:([^()|]*)[^()]*\)(?!\?)", r"\1")) * 4:
+        pattern = re.sub(old, new, pattern)
+    return re.sub(r".\?", "", re.sub(r"\[(.)[^]]*\]", r"\1", pattern))
+
+
+def test_license_keywords(spark):
+    rules = licenses.signatures()
+    texts = [f"x {shortest(r.pattern)} x" for r in rules]
+    assert all(re.search(f"(?<= )(?:{r.pattern})(?= )", t) for r, t in zip(rules, texts, strict=True))
+    found = by_id(licenses.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    lost = [t for n, (r, t) in enumerate(zip(rules, texts, strict=True))
+            if (1, t.count(" ") - 1, r.label, r.priority) not in {tuple(d) for d in found[n].detections}]
+    assert lost == []
+    texts = ["Released under the MIT.", "distributed under the terms of the MIT, see the file", "It is subject to MIT no attribution", "mit Freunden"]
+    found = by_id(licenses.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [found[n].labels for n in range(4)] == ["mit", "mit", "mit-0", ""]
+    for n, text in enumerate(texts):
+        assert sorted((d.start, d.end, d.priority, d.label) for d in found[n].detections) == sorted((a, b, p, x) for a, b, p, _, x in brute_detections(text, rules))
+
+
 def test_license_edges(edge, edge_rows, empty):
     rows = licenses.scanned(edge).collect()
     assert Counter((r.doc_id, r.n_words, r.n_base, r.first_word) for r in rows) == Counter(
