@@ -1,7 +1,7 @@
 """Quality by co-training: a classifier on the text and one on metadata teach each other, then are combined.
 
 The text view sees which hashed words and word shapes (letters and digits run together) a text has, and how far its words
-repeat; the metadata view sees lang, source, and the sizes of text and lines. Both are logistic regressions. In every round each view labels the documents of
+repeat; a word of more than `PIECE` characters, such as a text without blanks, has the shapes of all its consecutive pieces; the metadata view sees lang, source, and the sizes of text and lines. Both are logistic regressions. In every round each view labels the documents of
 an unlabelled pool that it is surest of, and the other view learns from them. At the end both are calibrated on labelled
 documents that neither learned from, their log odds are added (less the prior, which both contain), and every document is
 scored.
@@ -34,18 +34,29 @@ LABELLED, POOL = 6_000, 6_000
 ROUNDS, STEPS = 3, 150
 SURE, TAKEN = 0.9, 0.05
 MOST_CACHED = 1 << 17
+PIECE = 64
 _SHAPES = ((regex.compile(r"\p{Lu}+"), "A"), (regex.compile(r"[\p{Ll}\p{Lo}]+"), "a"), (regex.compile(r"\p{N}+"), "0"))
 
 
+def _shape_place(piece: str) -> int:
+    for pattern, short in _SHAPES:
+        piece = pattern.sub(short, piece)
+    return crc32(b"s" + piece.encode()) % PLACES
+
+
+def _later_shapes(word: bytes) -> list[int]:
+    """The places of the shapes of a word's pieces after the first."""
+    chars = word.decode("utf-8", "replace")
+    return [_shape_place(x) for x in {chars[i : i + PIECE] for i in range(PIECE, len(chars), PIECE)}]
+
+
 class _Places(dict):
-    """The places of a word and of its shape, packed into one number."""
+    """The places of a word and of the shape of its first piece, packed into one number."""
 
     def __missing__(self, word: bytes) -> int:
-        shape = word.decode("utf-8", "replace")[:64]
-        for pattern, short in _SHAPES:
-            shape = pattern.sub(short, shape)
-        both = crc32(b"w" + word.lower()) % PLACES * PLACES + crc32(b"s" + shape.encode()) % PLACES
-        if len(word) <= 64:
+        shape = _shape_place(word.decode("utf-8", "replace")[:PIECE])
+        both = crc32(b"w" + word.lower()) % PLACES * PLACES + shape
+        if len(word) <= PIECE:
             if len(self) >= MOST_CACHED:
                 self.clear()
             self[word] = both
@@ -57,9 +68,13 @@ def text_places(text: str | None, cache: _Places) -> np.ndarray:
     if not words:
         return np.array([crc32(b"empty") % PLACES], np.int32)
     both = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
-    repeats = crc32(b"r%d" % (10 * len(set(words)) // len(words))) % PLACES
+    distinct = set(words)
+    repeats = crc32(b"r%d" % (10 * len(distinct) // len(words))) % PLACES
     used = np.zeros(PLACES, bool)
     used[both // PLACES] = used[both % PLACES] = used[repeats] = True
+    for word in distinct:
+        if len(word) > PIECE:
+            used[_later_shapes(word)] = True
     return np.flatnonzero(used).astype(np.int32)
 
 

@@ -207,6 +207,24 @@ def test_classifier_edges(spark, edge, empty):
     assert quality_classifier.classified(empty, some).collect() == []
 
 
+def test_classifier_reads_long_words(spark):
+    """Texts without blanks that differ only after their first 64 characters, in kinds of characters that other texts share."""
+    def text(n, good):
+        start = "".join(chr(0x4E00 + (n * 31 + k * 17) % 5000) for k in range(64))
+        return start + "".join(chr(0x4E00 + (n * 7 + k) % 5000) if good or k % 2 else "#" for k in range(256))
+
+    n = 400
+    rows = [(i, text(i, i % 2), "zh", "src") for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(n // 2)], "doc_id long, quality int")
+    found = by_id(quality_classifier.classified(docs, labels))
+    assert np.mean([found[i].kept == bool(i % 2) for i in range(n // 2, n)]) > 0.95
+    cache = quality_classifier._Places()
+    same, other = ("x" * 64 + end for end in ("=" * 64 + "12", "=" * 64 + "a-"))
+    shapes = [set(quality_classifier.text_places(t, cache)) for t in (same, other, "12", "a-")]
+    assert shapes[2] & shapes[0] - shapes[1] and shapes[3] & shapes[1] - shapes[0]
+
+
 # --- op4 exact dedup
 
 
