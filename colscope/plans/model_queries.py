@@ -250,8 +250,7 @@ query("repeated_split_scores")(lambda t: _scores(t, {"ridge": None}, {"method":
 query("train_split_scores")(lambda t: _scores(t, {"decision_tree": {"max_depth": 5}}, {"method": "test_on_train"}).metrics)
 query("learner_comparison")(lambda t: _scores(t, {"linear_regression": None, "decision_tree": {"max_depth": 5}}, {"k": 3}).comparison)
 query("leaderboard")(lambda t: modelling.leaderboard(
-    t.orders, "o_orderstatus", "classification", CLASSES, ["logistic_regression", "decision_tree", "constant"],
-    {"decision_tree": {"max_depth": 4}}, key="o_orderkey").drop("train_seconds"))
+    t.orders, "o_orderstatus", "classification", CLASSES, key="o_orderkey").drop("train_seconds"))
 query("predictions_table")(lambda t: _predicted(t))
 
 
@@ -265,7 +264,7 @@ query("feature_importance")(lambda t: _importance(t))
 
 def _importance(t):
     p = _prepared(t)
-    pairs = modelling.fit_pipe(p, p.rows, "random_forest", {"n_estimators": 10, "max_depth": 5}).importance()
+    pairs = modelling.fit_pipe(p, p.rows, "random_forest").importance()
     return t.spark.createDataFrame([(n, float(v)) for n, v in pairs], "feature string, importance double")
 
 
@@ -282,7 +281,7 @@ query("oversampled_classes", """with c as (select label::double as y, count(*) a
       select y, n as given, (select max(n) from c) - n as made from c""")(
     lambda t: smote.oversample(vector_frame(t)).groupBy("y").agg(
         F.count_if(~F.col("synthetic")).alias("given"), F.count_if("synthetic").alias("made")))
-query("k_means_clusters")(lambda t: cluster.k_means(vector_frame(t).drop("y"), 4, 2).select("id", "cluster"))
+query("k_means_clusters")(lambda t: cluster.k_means(vector_frame(t).drop("y")).select("id", "cluster"))
 query("hierarchical_clusters")(lambda t: cluster.hierarchical(vector_frame(t).drop("y"), 4).select("id", "cluster"))
 query("density_clusters", f"""with recursive near as (select id, neighbour from {PAIRS_SQL} where distance <= 1.16),
       cores as (select id from near group by id having count(*) + 1 >= 4),
@@ -294,7 +293,7 @@ query("density_clusters", f"""with recursive near as (select id, neighbour from
       select vec_id as id, coalesce(k, -1)::int as cluster from embeddings
       left join (select id, dense_rank() over (order by root) - 1 as k from found) f on f.id = vec_id""")(
     lambda t: cluster.dbscan(vector_frame(t).drop("y"), 1.16, 4).select("id", "cluster"))
-query("elbow_curve")(lambda t: cluster.elbow(vector_frame(t).drop("y"), 1, 6))
+query("elbow_curve")(lambda t: cluster.elbow(vector_frame(t).drop("y")))
 query("projection")(lambda t: cluster.projection(vector_frame(t).drop("y")).select("id", F.col("pca").cast("string").alias("pca")))
 
 # --- series --------------------------------------------------------------------------------------------------

@@ -1,8 +1,11 @@
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+import __spark_entry__ as driver
 from colscope.operators import cluster, features, forecast, learners, neighbours, rank, sampling, smote
 from colscope.plans import modelling
 
@@ -306,3 +309,21 @@ def test_svm_with_weights(spark, classes):
     for weight in ("w",):
         model = learners._svm(train, {"C": 10.0}, classes, weight)
         assert model is not None
+
+
+@pytest.mark.parametrize(("name", "module", "operator", "given"), [
+    ("elbow_curve", cluster, "elbow", {"df"}), ("k_means_clusters", cluster, "k_means", {"df"}),
+    ("feature_importance", modelling, "fit_pipe", {"p", "train", "name"}),
+    ("leaderboard", modelling, "leaderboard", {"df", "target", "problem", "classes", "kwargs"})])
+def test_queries_call_operators_with_defaults(spark, monkeypatch, name, module, operator, given):
+    class Called(Exception):
+        pass
+
+    def seen(*args, **kwargs):
+        raise Called(set(inspect.signature(real).bind(*args, **kwargs).arguments))
+
+    real = getattr(module, operator)
+    monkeypatch.setattr(module, operator, seen)
+    with pytest.raises(Called) as call:
+        driver.queries()[name](spark, driver.SMOKE_DIR)
+    assert call.value.args[0] == given
