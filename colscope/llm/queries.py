@@ -1,4 +1,4 @@
-"""The ten operators as queries over the whole table of documents, with SQL where SQL can state the result."""
+"""The operators as queries over the whole table of documents, with SQL where SQL can state the result."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colscope.llm import (bpe, exact_dedup, language, licenses, mixing, quality_classifier, quality_rules, sharding, simhash,
-                          token_counts)
+from colscope.llm import (bpe, exact_dedup, language, licenses, manifest, mixing, quality_classifier, quality_rules, sharding,
+                          simhash, token_counts)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -151,3 +151,53 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.mark(documents(spark, folder)).select(
         "doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def _manifest_sql() -> str:
+    def leaf(n_chars: str) -> str:
+        values = ["doc_id", "source", "lang", n_chars, "text"]
+        fields = [f"coalesce(strlen(({v})::varchar) || ':' || ({v})::varchar, '-')" for v in values]
+        return f"sha256({' || '.join(fields)})"
+
+    def tree(name: str, leaves: str, by: str, order: str) -> str:
+        same = lambda a, b: " and ".join(f"{a}.{c} is not distinct from {b}.{c}" for c in by.split(", "))
+        return f"""
+    {name}_nodes as (
+        select {by}, 0 as lvl, row_number() over (partition by {by} order by {order}) - 1 as pos, count(*) over (partition by {by}) as m,
+            node as h from {leaves}
+        union all
+        select {by}, lvl + 1, pos // 2, (m + 1) // 2, sha256(string_agg(h, '' order by pos)) from {name}_nodes where m > 1
+        group by {by}, lvl, pos // 2, m),
+    {name}_places as (select *, row_number() over (partition by {by} order by {order}) - 1 as pos from {leaves}),
+    {name}_levels as (select distinct {by}, lvl from {name}_nodes where m > 1),
+    {name}_witnesses as (
+        select p.*, coalesce(list(case when n.h is null then '-' when n.pos % 2 = 0 then '<' || n.h else '>' || n.h end order by l.lvl)
+            filter (l.lvl is not null), []) as witness
+        from {name}_places p left join {name}_levels l on {same("p", "l")}
+        left join {name}_nodes n on {same("p", "n")} and n.lvl = l.lvl and n.pos = xor(p.pos >> l.lvl, 1)
+        group by all)"""
+
+    crc = ("xor(list_reduce(list_transform(range(length(doc_id::varchar)), lambda i: ord(substr(doc_id::varchar, i + 1, 1))::bigint), "
+           "lambda c, b: list_reduce(range(8), lambda d, i: xor(d >> 1, 3988292384 * (d & 1)), xor(c, b)), 4294967295), 4294967295)")
+    fold = ("list_reduce(witness || rest, lambda a, s: sha256(case s[1] when '<' then s[2:] || a when '>' then a || s[2:] else a end), "
+            "coalesce(forged, node))")
+    return f"""
+    with recursive leaves as (
+        select doc_id, lang, {leaf("n_chars")} as node,
+            case when {crc} % 7 = 0 and n_chars is not null then {leaf("n_chars::hugeint + 1")} end as forged
+        from documents),
+    {tree("inside", "leaves", "lang", "doc_id nulls first, node")},
+    subroots as (select true as one, lang, h as node from inside_nodes where m = 1),
+    {tree("outside", "subroots", "one", "lang nulls first")},
+    whole as (
+        select w.doc_id, w.node, w.forged, w.witness, o.node as subroot, o.witness as rest, (select h from outside_nodes where m = 1) as root
+        from inside_witnesses w join outside_witnesses o on w.lang is not distinct from o.lang)
+    select doc_id, node as leaf, subroot, root,
+        sha256(array_to_string(list_transform(list_filter(witness || rest, lambda s: s <> '-'), lambda s: s[2:]), '')) as proof_sha256,
+        {fold} as folded_root, folded_root = root as verified
+    from whole"""
+
+
+@query("op13_merkle_manifest", _manifest_sql())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.audited(manifest.manifest(documents(spark, folder), manifest.few_changed()))
