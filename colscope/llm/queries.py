@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colscope.llm import (bpe, exact_dedup, language, licenses, manifest, mixing, quality_classifier, quality_rules, sharding,
+from colscope.llm import (bpe, exact_dedup, hard_negatives, language, licenses, manifest, mixing, quality_classifier, quality_rules, sharding,
                           simhash, token_counts)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,6 +153,30 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query("op12_hard_negatives", """
+    with t as (
+        select row_number() over () as row, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+            list_transform(embedding, lambda x: floor(256 * x::double)) as v
+        from embeddings
+        where label is not null and embedding is not null
+            and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    scored as (
+        select a.row as anchor, a.vec_id as anchor_id, b.row, b.vec_id, b.label = a.label as alike, list_dot_product(a.v, b.v)::bigint as score
+        from t a join t b on a.row <> b.row where a.vec_id % 50 = 0),
+    positives as (
+        select * from scored where alike
+        qualify row_number() over (partition by anchor order by score desc, vec_id nulls last) <= 5)
+    select p.anchor_id, p.vec_id as positive_id, row_number() over (partition by p.anchor, p.row order by n.score desc, n.vec_id nulls last)::int as rank,
+        n.vec_id as negative_id, p.score as positive_score, n.score as negative_score
+    from positives p join scored n on n.anchor = p.anchor and not n.alike
+        and 50 * p.score <= 100 * n.score and 100 * n.score <= 95 * p.score
+    qualify rank <= 3""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet")
+    rows = rows.withColumn("label", hard_negatives.shifted(F.col("vec_id"), F.col("label")))
+    return hard_negatives.mined(rows, F.col("vec_id") % 50 == 0)
+
+
 def _manifest_sql() -> str:
     def leaf(n_chars: str) -> str:
         values = ["doc_id", "source", "lang", n_chars, "text"]
