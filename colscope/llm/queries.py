@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colscope.llm import (bpe, exact_dedup, hard_negatives, language, licenses, manifest, mixing, quality_classifier, quality_rules, sharding,
-                          simhash, token_counts)
+from colscope.llm import (bpe, exact_dedup, hard_negatives, language, licenses, manifest, mixing, pii, quality_classifier,
+                          quality_rules, sharding, simhash, token_counts)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -153,6 +153,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query("op11_pii")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digested(pii.found(documents(spark, folder)))
+
+
 @query("op12_hard_negatives", """
     with t as (
         select row_number() over () as row, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
