@@ -134,14 +134,17 @@ query("read_parquet", "select o_orderkey, o_orderstatus, o_totalprice from order
 ROUND_TRIP_SQL = "select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer"
 
 
-def round_trip(t, fmt: str):
-    """Customers written to the shared folder in a format and loaded back, with the types of the table."""
-    path = f"{shared_folder(t.spark)}/round-trip-{uuid.uuid4().hex}"
-    source.write(t.customer, path, fmt)
+def round_trip(t, fmt: str, table: str = "customer"):
+    """A table written to the shared folder in a format and loaded back, with the types of the table."""
+    path, df = f"{shared_folder(t.spark)}/round-trip-{uuid.uuid4().hex}", getattr(t, table)
+    source.write(df, path, fmt)
     back = source.load(t.spark, path, fmt)
-    return back.select(*[C.col(f.name).cast(f.dataType).alias(f.name) for f in t.customer.schema])
+    return back.select(*[C.col(f.name).cast(f.dataType).alias(f.name) for f in df.schema])
 
 
+for _fmt in ("json", "csv", "tsv"):  # texts hold line breaks
+    query(f"{_fmt}_round_trip_documents", "select doc_id, nullif(text, '') as text, lang, source, n_chars from documents" if _fmt != "json" else
+          "select doc_id, text, lang, source, n_chars from documents")(lambda t, fmt=_fmt: round_trip(t, fmt, "documents"))
 query("json_round_trip", ROUND_TRIP_SQL)(lambda t: round_trip(t, "json"))
 query("csv_round_trip", ROUND_TRIP_SQL)(lambda t: round_trip(t, "csv"))
 query("tsv_round_trip", ROUND_TRIP_SQL)(lambda t: round_trip(t, "tsv"))

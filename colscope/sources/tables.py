@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colscope.functions import columns as C
+from colscope.functions.staging import shared_folder
+from colscope.sources import records
 
 MIN_ROWS = 10
 MIN_COLUMNS = 2
@@ -23,30 +26,71 @@ def deduplicated_names(names: list[str]) -> list[str]:
     return out
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",", multiline: bool = False) -> DataFrame:
-    """Delimited text with a header. Repeated header names are kept apart by a number. A file is read in splits unless
-    `multiline` says that quoted values may hold line breaks; then each file is one task."""
-    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": multiline}
-    header = spark.read.options(header=False, **options).csv(path).first()
-    if header is None:
+def renames(names: list[str]) -> list[tuple[str, str]]:
+    """(given, new) of the header names that `deduplicated_names` changes."""
+    return [(a, b) for a, b in zip(names, deduplicated_names(names)) if a != b]
+
+
+def header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
+    """The header as given; a name that is missing is made from its place."""
+    first = spark.read.options(header=False, sep=sep, quote='"', escape='"', multiLine=True).csv(path).first()
+    if first is None:
         raise ValueError("the file holds no rows")
-    names = deduplicated_names([str(h) for h in header])
-    return spark.read.options(header=True, inferSchema=True, enforceSchema=True, **options).csv(path).toDF(*names)
+    return [f"Unnamed: {i}" if h is None else str(h) for i, h in enumerate(first)]
+
+
+def read_delimited(spark: SparkSession, path: str, sep: str = ",", multiline: bool = False) -> DataFrame:
+    """Delimited text with a header. Repeated header names are kept apart by a number. Files are read in splits; where a
+    quoted value holds a line break, records are first put together from the lines (`records`). `multiline` reads each file
+    in one task instead. A record with more values than the header is an error; missing values at its end are null."""
+    options = {"sep": sep, "quote": '"', "escape": '"', "header": True, "inferSchema": True, "enforceSchema": True}
+    names = deduplicated_names(header(spark, path, sep))
+    if multiline:
+        return spark.read.options(multiLine=True, **options).csv(path).toDF(*names)
+    text = records.lines(spark, path)
+    width = F.max(records.fields(F.col("value"), sep)).alias("width")
+    facts = text.agg(F.count_if(records.ends_inside(F.col("value"), sep)).alias("open"), width, *[
+        F.count_if(F.contains("value", F.lit(c))).alias(f"c{i}") for i, c in enumerate(records.SEPARATORS)]).first()
+    if facts["open"]:
+        free = [c for i, c in enumerate(records.SEPARATORS) if not facts[f"c{i}"]]
+        if not free:
+            raise ValueError("line breaks in quotes beside all of the control characters 1C to 1F: read with multiline=True")
+        path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+        records.records(text, sep).write.text(path, lineSep=free[0])
+        options |= {"header": False, "lineSep": free[0]}
+        facts = spark.read.text(path, lineSep=free[0]).agg(width).first()
+    if (facts["width"] or 0) > len(names):
+        raise ValueError(f"a record has {facts['width']} values, the header {len(names)}")
+    table = spark.read.options(**options).csv(path)
+    missing = [F.lit(None).cast("string")] * (len(names) - len(table.columns))  # columns that no record has
+    return table.select("*", *missing).toDF(*names)
+
+
+def read_json(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """One object a line in splits; a file that starts with an array, or with an object over several lines, is read by one
+    task. What is neither is an error."""
+    if not multiline:
+        first = spark.read.text(path).select(F.btrim("value").alias("value")).filter("value <> ''").first()
+        multiline = first is not None and not (first["value"].startswith("{") and first["value"].endswith("}"))
+    table = spark.read.json(path, multiLine=multiline)
+    if "_corrupt_record" in table.columns:
+        raise ValueError("the file holds something that isn't a JSON object or an array of them")
+    return table
 
 
 def load(spark: SparkSession, path: str, fmt: str | None = None, multiline: bool = False) -> DataFrame:
-    """Read a table; the format comes from the extension unless given. JSON is one record a line, as `write` gives it;
-    with `multiline` a file is one JSON array, and text may hold line breaks inside quotes."""
+    """Read a table; the format comes from the extension unless given. JSON is one record a line, as `write` gives it, or an
+    array or objects over several lines, a file a task."""
     fmt = (fmt or PurePosixPath(path).suffix.lstrip(".")).lower()
     if fmt == "csv":
         return read_delimited(spark, path, multiline=multiline)
     if fmt == "tsv":
         return read_delimited(spark, path, "\t", multiline)
     if fmt == "json":
-        return spark.read.json(path, multiLine=multiline)
+        return read_json(spark, path, multiline)
     if fmt == "parquet":
         return spark.read.parquet(path)
-    raise ValueError(f"unsupported file format: {fmt}")
+    raise ValueError(f"unsupported format {fmt}")
 
 
 def validate(df: DataFrame) -> DataFrame:
@@ -97,7 +141,9 @@ def table_meta(df: DataFrame) -> DataFrame:
 
 
 def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
-    """Write a table; csv and tsv files carry a header."""
+    """Write a table; csv and tsv files carry a header, and `load` gives back the same texts
+    (empty ones as null)."""
     writer = df.write.mode(mode)
-    {"parquet": writer.parquet, "json": writer.json, "csv": lambda p: writer.csv(p, header=True, escape='"'),
-     "tsv": lambda p: writer.csv(p, header=True, escape='"', sep="\t")}[fmt](path)
+    plain = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    {"parquet": writer.parquet, "json": lambda p: writer.json(p, ignoreNullFields=False), "csv": lambda p: writer.csv(p, **plain),
+     "tsv": lambda p: writer.csv(p, sep="\t", **plain)}[fmt](path)
