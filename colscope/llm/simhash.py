@@ -11,7 +11,8 @@ are keyed again by the same rule on their remaining bits, and what stays crowded
 no task gets more than a bounded group and no link is lost. Links make components; exact copies are one fingerprint
 throughout, so a group of copies of any size costs one row here.
 
-Rows that repeat doc_id and text are marked alike and stay or go together. A null doc_id counts as larger than any other.
+A null doc_id counts as larger than any other. `representatives` keeps one row of each component: that with the smallest
+doc_id, then the smallest hash of the text; of rows that repeat both, one.
 An empty table gives an empty table. Other columns are not read, and pass through `representatives`.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 from colscope.functions.staging import discard, staged
 from colscope.llm import components
-from colscope.llm.common import quoted, small_batches, with_groups, without
+from colscope.llm.common import quoted, small_batches, unpacked, whole_rows, with_groups, without
 
 SHINGLE = 4
 DISTANCE = 4
@@ -193,21 +194,24 @@ def links(table: DataFrame, count: int, distance: int = DISTANCE, crowd: int = C
 
 
 def _classes(prints: DataFrame, distance: int) -> DataFrame:
-    """fp, component_id and n (rows) of the distinct fingerprints."""
-    table = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    """fp, component_id, the hash of the text that represents the component, and n (rows) of the distinct fingerprints."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.col("text_key").alias("text")))
+    table = staged(prints.groupBy("fp").agg(least.alias("least"), F.count("*").alias("n")))
     count = table.count()
     reached = components.roots(links(table.select("fp"), count, distance))
     rooted = table.join(reached.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left")
     rooted = staged(rooted.select("fp", "n", "least", F.coalesce("root", "fp").alias("root")))
-    groups = staged(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size")))
-    return staged(with_groups(rooted, groups, "root", "size", count).select("fp", "component_id", "n"))
+    groups = staged(rooted.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("size")))
+    return staged(with_groups(rooted, groups, "root", "size", count).select(
+        "fp", F.col("first.id").alias("component_id"), F.col("first.text").alias("component_text"), "n"))
 
 
 def mark(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """A row for each row of `docs`: doc_id, text_key, fp and component_id, the smallest doc_id reachable."""
+    """A row for each row of `docs`: doc_id, text_key, fp, component_id, the smallest doc_id reachable, and component_text, the
+    text_key of the row that stands for the component."""
     prints = staged(fingerprints(docs, id, text, shingle))
     joined = with_groups(prints, _classes(prints, distance), "fp", "n", prints.count())
-    return joined.select("doc_id", "text_key", "fp", "component_id")
+    return joined.select("doc_id", "text_key", "fp", "component_id", "component_text")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -215,7 +219,15 @@ def hexadecimal(fp: Column) -> Column:
 
 
 def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of their component, all columns."""
+    """One row of each component of `docs`, all columns."""
     marked = staged(mark(docs, id, text))
-    gone = marked.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_key").distinct()
-    return without(docs, staged(gone), [("doc_id", quoted(id)), ("text_key", F.xxhash64(quoted(text)))])
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("component_text"))
+    gone = staged(marked.filter(~first).select("doc_id", "text_key").distinct())
+    again = staged(marked.filter(first).groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+    keys = [("doc_id", quoted(id)), ("text_key", F.xxhash64(quoted(text)))]
+    if again.isEmpty():
+        return without(docs, gone, keys)
+    alone = without(docs, staged(gone.unionByName(again)), keys)
+    rows = docs.select(whole_rows(docs), *[c.alias(n) for n, c in keys])
+    same = rows["doc_id"].eqNullSafe(again["doc_id"]) & (rows["text_key"] == again["text_key"])
+    return alone.unionByName(unpacked(rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "text_key"])))
