@@ -5,8 +5,8 @@ most code points stays, then the smallest doc_id (null last). The first pass cou
 rows that hit it; the second lets every row pass whose places are not all shared. The rest are grouped by SHA-256, with
 partial aggregation before the shuffle, and joined back, the largest groups by broadcast.
 
-Rows that repeat both doc_id and text are marked alike by `mark`; `deduplicate` keeps one of them. An empty table gives
-an empty table. Other columns are not read by `mark` and pass through `deduplicate`, whatever their names.
+One row of a group stays, whatever its ids: among rows with as many code points and the same doc_id, or none, the one with
+the smaller hash of the original text, and of rows that repeat all of these the first. An empty table gives an empty table. Other columns are not read by `mark` and pass through `deduplicate`, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,13 +27,13 @@ def _digest(text: str) -> Column:
     return F.sha2(F.regexp_replace(_text(text), BLANKS, ""), 256)
 
 
-def _best(id: str = "doc_id") -> Column:
-    return F.min(F.struct((-F.col("n_chars")).alias("n"), F.col(id).isNull().alias("unknown"), F.col(id).alias("id")))
+def _best() -> Column:
+    return F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), "own", "row"))
 
 
 def _digests(docs: DataFrame, id: str, text: str) -> DataFrame:
     return staged(docs.select(quoted(id).alias("doc_id"), F.length(_text(text)).cast("long").alias("n_chars"),
-                              _digest(text).alias("text_sha256")))
+                              _digest(text).alias("text_sha256"), F.xxhash64(_text(text)).alias("own"), F.monotonically_increasing_id().alias("row")))
 
 
 def _filter(digests: DataFrame):
@@ -50,7 +50,7 @@ def mark(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
         "text_sha256")
     rest = rows.filter("maybe")
     groups = staged(rest.groupBy("text_sha256").agg(_best().alias("best"), F.count("*").alias("group_size")))
-    stays = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("n_chars") == -F.col("best.n"))
+    stays = F.col("row") == F.col("best.row")
     return alone.unionByName(with_groups(rest, groups, "text_sha256", "group_size", digests.count()).select(
         "doc_id", F.col("best.id").alias("keep_id"), "group_size", stays.alias("kept"), "text_sha256"))
 
@@ -61,10 +61,10 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     shared = _filter(digests)
     flagged = bloom.contains(docs.sparkSession, F.xxhash64("text_sha256"), shared)
     groups = digests.withColumn("maybe", flagged).filter("maybe").groupBy("text_sha256").agg(_best().alias("best"))
-    best = staged(groups.select(F.col("text_sha256").alias("sha"), F.col("best.id").alias("id"), (-F.col("best.n")).alias("n")))
+    best = staged(groups.select(F.col("text_sha256").alias("sha"), F.col("best.id").alias("id"), F.col("best.own").alias("hash")))
     discard(digests)
-    rows = small_batches(docs).select(whole_rows(docs), quoted(id).alias("doc_id"), F.length(_text(text)).cast("long").alias("n_chars"),
+    rows = small_batches(docs).select(whole_rows(docs), quoted(id).alias("doc_id"), F.xxhash64(_text(text)).alias("own"),
                        _digest(text).alias("text_sha256")).withColumn("maybe", flagged)
-    same = ((F.col("text_sha256") == F.col("sha")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("n_chars") == F.col("n")))
-    stay = rows.filter("maybe").join(best, same, "left_semi").dropDuplicates(["text_sha256", "doc_id", "n_chars"])
+    same = ((F.col("text_sha256") == F.col("sha")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("hash")))
+    stay = rows.filter("maybe").join(best, same, "left_semi").dropDuplicates(["text_sha256", "doc_id", "own"])
     return unpacked(rows.filter(~F.col("maybe"))).unionByName(unpacked(stay))
