@@ -6,9 +6,10 @@ goes to its siblings by weight, again and again. As a node's capacity is that of
 subtree, to the siblings of the ancestor, only when all of it is used up. Shares are whole tokens, rounded down.
 
 A leaf of t tokens with a budget of b takes all its documents b div t times; of the next epoch, an order of the documents
-by a seeded digest of epoch and doc_id, it takes the longest prefix that fits in the rest. The cut is found digit by digit
+by a seeded digest of epoch and key, it takes the longest prefix that fits in the rest. The cut is found digit by digit
 of the digest: counts of 256 ranges a leaf, then of 256 ranges inside the one with the cut, until few documents are left,
-so no task orders a whole leaf. Documents with the same digest (repeated rows) are taken together or not at all.
+so no task orders a whole leaf. The key in the digest is the doc_id, or a digest of the text where that is null. Documents
+with the same key (repeated rows) are taken together or not at all.
 
 Tokens are the words of a text, runs without ASCII white space; a null or empty text has none and is taken when its place
 lies in the prefix. A null lang or source is the name `(none)`. A leaf without tokens takes no epoch as a whole. An empty
@@ -71,13 +72,17 @@ def _leaf(recipe: Recipe) -> list[Column]:
             source.alias("source")]
 
 
-def _digest(recipe: Recipe, epoch: Column, id: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(recipe.seed)), epoch.cast("string"), F.coalesce(id.cast("string"), F.lit(""))).cast("binary"))
+def _key() -> Column:
+    return F.coalesce(quoted("doc_id").cast("string"), F.md5(F.coalesce(quoted("text"), F.lit("")).cast("binary")))
+
+
+def _digest(recipe: Recipe, epoch: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(recipe.seed)), epoch.cast("string"), F.col("key")).cast("binary"))
 
 
 def tokens(docs: DataFrame, recipe: Recipe = Recipe()) -> DataFrame:
-    """doc_id, the leaf and n_tokens of each row."""
-    return docs.select(quoted("doc_id").alias("doc_id"), *_leaf(recipe),
+    """doc_id, key, the leaf and n_tokens of each row."""
+    return docs.select(quoted("doc_id").alias("doc_id"), _key().alias("key"), *_leaf(recipe),
                        F.regexp_count(F.coalesce(quoted("text"), F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens"))
 
 
@@ -119,7 +124,7 @@ def _beside(rows: DataFrame, leaves: DataFrame, count: int, how: str = "inner")
 
 def _cuts(counted: DataFrame, budgets: DataFrame, leaves: int, rows: int, recipe: Recipe) -> DataFrame:
     """The leaf, its whole epochs, and the last digest that it takes of the next one ('' for none)."""
-    digest = _digest(recipe, F.col("whole") + 1, F.col("doc_id")).alias("digest")
+    digest = _digest(recipe, F.col("whole") + 1).alias("digest")
     open_rows = staged(_beside(counted, budgets.select(*LEVELS, "whole"), leaves).select(*LEVELS, "n_tokens", digest))
     state = budgets.select(*LEVELS, "whole", "rest", F.lit("").alias("prefix"))
 
@@ -158,8 +163,8 @@ def plan(counted: DataFrame, recipe: Recipe = Recipe()) -> DataFrame:
 
 
 def _taken(rows: DataFrame, leaves: DataFrame, recipe: Recipe) -> DataFrame:
-    """`rows` (with the leaf and doc_id) and `epochs`: how often each is taken."""
-    part = (_digest(recipe, F.col("whole") + 1, F.col("doc_id")) <= F.col("cut")) & (F.col("whole") < recipe.epochs)
+    """`rows` (with the leaf and key) and `epochs`: how often each is taken."""
+    part = (_digest(recipe, F.col("whole") + 1) <= F.col("cut")) & (F.col("whole") < recipe.epochs)
     return _beside(rows, leaves.select(*LEVELS, "whole", "cut"), leaves.count()).withColumn(
         "epochs", F.col("whole") + F.when(part, 1).otherwise(0))
 
@@ -173,6 +178,6 @@ def chosen(docs: DataFrame, recipe: Recipe = Recipe()) -> DataFrame:
 def mixed(docs: DataFrame, recipe: Recipe = Recipe()) -> DataFrame:
     """The rows of `docs` that are taken, all columns, as often as they are taken."""
     leaves = plan(staged(tokens(docs, recipe)), recipe)
-    rows = docs.select(whole_rows(docs), quoted("doc_id").alias("doc_id"), *_leaf(recipe))
+    rows = docs.select(whole_rows(docs), _key().alias("key"), *_leaf(recipe))
     taken = _taken(rows, leaves, recipe).filter("epochs > 0")
     return unpacked(taken.select("row", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int")))))

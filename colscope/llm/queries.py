@@ -95,10 +95,10 @@ def _mixing_sql(recipe: mixing.Recipe) -> str:
     names = ", ".join(mixing.LEVELS)
     return f"""
     with named as (
-        select doc_id, coalesce(lang, '{mixing.MISSING}') as lang, coalesce(source, '{mixing.MISSING}') as source,
+        select doc_id, coalesce(doc_id::varchar, md5(coalesce(text, ''))) as key, coalesce(lang, '{mixing.MISSING}') as lang, coalesce(source, '{mixing.MISSING}') as source,
             len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as n_tokens
         from documents),
-    counted as (select doc_id, {domain} as domain, lang, source, n_tokens from named),
+    counted as (select doc_id, key, {domain} as domain, lang, source, n_tokens from named),
     leaves as (select {names}, sum(n_tokens) as n_tokens from counted group by all),
     {','.join(steps)},
     plan as (
@@ -107,7 +107,7 @@ def _mixing_sql(recipe: mixing.Recipe) -> str:
         from leaves join {mixing.LEVELS[-1]}_budgets using ({names})),
     placed as (
         select *, sum(n_tokens) over (partition by {names} order by digest) as upto
-        from (select *, md5('{recipe.seed}:' || (whole + 1)::varchar || ':' || doc_id::varchar) as digest
+        from (select *, md5('{recipe.seed}:' || (whole + 1)::varchar || ':' || key) as digest
               from counted join plan using ({names})))
     select doc_id, {names}, n_tokens::bigint as n_tokens,
         (whole + case when whole < {recipe.epochs} and upto <= rest then 1 else 0 end)::bigint as epochs
