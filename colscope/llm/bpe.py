@@ -253,11 +253,12 @@ def token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id: str = "doc_id", text: str = "text",
-           slices: int = SLICES, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+           slices: int | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Of each row of `docs`: doc_id, ids (binary, little-endian unsigned 32-bit integers), and decoded, the bytes that the
-    ids decode to."""
+    ids decode to. Distinct words are spread over `slices` tasks, as many as there are shuffle partitions, `SLICES` at least."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    slices = slices or max(SLICES, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     narrow = small_batches(docs).select(quoted(id).alias("doc_id"), quoted(text).alias("text"))
     kind = narrow.schema["doc_id"].dataType
     arrow = to_arrow_type(kind)
