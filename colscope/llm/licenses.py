@@ -7,13 +7,16 @@ keyword occurs are matched. Each match is a detection from its first to its last
 of the same or a better priority spans all its words, the earlier rule winning if both span the same; as detections are
 read by start, longest first, one running maximum of ends per priority decides that, so work is linear in detections.
 
-The base phrases are places of their own: all of them count, suppressed or not, and their labels always stay. The score is
-the chance that one surviving detection is right, taking confidences as independent; 0 without detections. A null text
+The base phrases are places of their own: all of them count, suppressed or not, and their labels always stay. Signatures
+without a label deny a license; they suppress what they span. The score is the chance that one surviving detection with a
+label is right, taking confidences as independent, but for names that stand alone, which count once however many there
+are; 0 without detections. A null text
 counts as empty and has no words. Rows repeat as they are; an empty table gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +26,8 @@ from colscope.llm.common import quoted
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MARK = "\u0001"
+NONE = ""  # the label of signatures that say what isn't so
+BARE = 3  # the priority of names without a word of licensing beside them
 CONFIDENCE = (0.95, 0.85, 0.6, 0.3)
 
 
@@ -127,6 +132,77 @@ PHRASES = (
     Signature("unlicense", "this is free and unencumbered software", "unencumbered", 1),
     Signature("zlib", "this software is provided as is without any express or implied warranty", "implied warranty", 2),
     Signature("wtfpl", "do what the fuck you want to public license", "want to public license", 1),
+    # notices in the heads of files
+    Signature("apache-2", "you may not use this file except in compliance with the license", "except in compliance with the license", 1),
+    Signature("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license", "required by applicable law", 1),
+    Signature("apache-2", "licensed to the apache software foundation asf under one or more contributor license agreements", "contributor license agreements", 1),
+    Signature("gpl-3", "either version 3 (?:of the license )?or at your option any later version", "at your option any later version", 2),
+    Signature("gpl-2", "either version 2 (?:of the license )?or at your option any later version", "at your option any later version", 2),
+    Signature("gpl", "along with this program if not (?:see|write to)", "along with this program", 2),
+    Signature("lgpl", "this library is free software you can redistribute it", "library is free software", 1),
+    Signature("gpl", "this program is free software you can redistribute it", "program is free software", 1),
+    Signature("agpl", "notwithstanding any other provision of this license if you modify the program your modified version must prominently offer", "must prominently offer", 1),
+    Signature("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "source code form is subject", 0),
+    Signature("mpl-2", "if a copy of the mpl was not distributed with this file you can obtain one at", "copy of the mpl", 1),
+    Signature("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1", "contents of this file are subject", 0),
+    Signature("cddl-1", "the contents of this file are subject to the terms of the common development and distribution license", "contents of this file are subject", 0),
+    Signature("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "accompanying materials", 0),
+    Signature("epl-1", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0", "accompanying materials", 0),
+    Signature("bsd", "use of this source code is governed by a bsd style license", "governed by a bsd style", 0),
+    Signature("mit", "use of this source code is governed by an mit style license", "governed by an mit style", 0),
+    Signature("unlicense", "released into the public domain by (?:the|its) authors? anyone is free to copy modify publish", "anyone is free to copy", 1),
+    Signature("cc0-1", "to the extent possible under law [^ ]+(?: [^ ]+){0,8} has waived all copyright and related or neighboring rights", "to the extent possible under law", 0),
+    Signature("cc0-1", "waived all copyright and related or neighboring rights", "neighboring rights", 1),
+    Signature("proprietary", "no part of this (?:publication|document|work|file) may be reproduced", "may be reproduced", 2),
+    Signature("proprietary", "for internal use only", "internal use only", 3),
+    Signature("proprietary", "contains trade secrets", "trade secrets", 3),
+    Signature("proprietary", "strictly prohibited without (?:the )?(?:prior|express) (?:written )?(?:permission|consent)", "strictly prohibited", 2),
+    # grants and conditions
+    Signature("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions", "permission notice shall be included", 1),
+    Signature("bsd-3", "neither the name of (?:the )?[^ ]+(?: [^ ]+){0,10} nor the names of its contributors may be used to endorse or promote", "nor the names of its contributors", 1),
+    Signature("bsd-4", "all advertising materials mentioning features or use of this software must display the following acknowledgement", "all advertising materials", 1),
+    Signature("bsd", "redistributions of source code must retain the above copyright notice", "redistributions of source code", 1),
+    Signature("bsd", "redistributions in binary form must reproduce the above copyright notice", "redistributions in binary form", 1),
+    Signature("isc", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted", "without fee is hereby granted", 1),
+    Signature("zlib", "altered source versions must be plainly marked as such", "altered source versions", 1),
+    Signature("zlib", "the origin of this software must not be misrepresented", "must not be misrepresented", 1),
+    Signature("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation",
+              "any person or organization obtaining", 0),
+    Signature("ofl-1.1", "the font software may be sold as part of a larger software package", "font software", 1),
+    Signature("ofl-1.1", "reserved font names?", "reserved font", 2),
+    Signature("artistic-1", "the intent of this document is to state the conditions under which a package may be copied", "intent of this document is to state", 1),
+    Signature("cc", "some rights reserved", "some rights reserved", 3),
+    Signature("cc-by-sa", "you may share and adapt [^ ]+(?: [^ ]+){0,12} as long as you give appropriate credit [^ ]+(?: [^ ]+){0,8} under the same license", "appropriate credit", 2),
+    # disclaimers
+    Signature("mit", "in no event shall the authors or copyright holders be liable for any claim damages or other liability", "authors or copyright holders be liable", 2),
+    Signature("isc", "the author disclaims all warranties with regard to this software", "disclaims all warranties with regard", 2),
+    Signature("bsd", "this software is provided by the copyright holders and contributors as is", "copyright holders and contributors as is", 1),
+    Signature("gpl", "without even the implied warranty of merchantability or fitness for a particular purpose", "without even the implied warranty", 2),
+    Signature("apache-2", "distributed on an as is basis without warranties or conditions of any kind", "warranties or conditions of any kind", 1),
+    # addresses of licenses
+    Signature("apache-2", "(?:www )?apache org licenses license 2 0", "apache org licenses", 0),
+    Signature("apache-1.1", "(?:www )?apache org licenses license 1 1", "apache org licenses", 0),
+    Signature("gpl-3", "(?:www )?gnu org licenses gpl 3 0", "gnu org licenses", 0), Signature("gpl-2", "(?:www )?gnu org licenses (?:old licenses )?gpl 2 0", "gnu org licenses", 0),
+    Signature("lgpl-3", "(?:www )?gnu org licenses lgpl 3 0", "gnu org licenses", 0),
+    Signature("lgpl-2.1", "(?:www )?gnu org licenses (?:old licenses )?lgpl 2 1", "gnu org licenses", 0),
+    Signature("agpl-3", "(?:www )?gnu org licenses agpl 3 0", "gnu org licenses", 0), Signature("gfdl-1.3", "(?:www )?gnu org licenses fdl 1 3", "gnu org licenses", 0),
+    Signature("gpl", "(?:www )?gnu org licenses", "gnu org licenses", 2), Signature("mpl-2", "(?:www )?mozilla org mpl 2 0", "mozilla org mpl", 0),
+    Signature("mit", "opensource org licenses mit(?: license)?", "opensource org licenses", 0), Signature("bsd-3", "opensource org licenses bsd 3 clause", "opensource org licenses", 0),
+    Signature("bsd-2", "opensource org licenses bsd 2 clause", "opensource org licenses", 0), Signature("isc", "opensource org licenses isc", "opensource org licenses", 0),
+    Signature("cc-by", "creativecommons org licenses by [0-9] [0-9]", "creativecommons org", 0),
+    Signature("cc-by-sa", "creativecommons org licenses by sa [0-9] [0-9]", "creativecommons org", 0),
+    Signature("cc-by-nc", "creativecommons org licenses by nc [0-9] [0-9]", "creativecommons org", 0),
+    Signature("cc-by-nd", "creativecommons org licenses by nd [0-9] [0-9]", "creativecommons org", 0),
+    Signature("cc-by-nc-sa", "creativecommons org licenses by nc sa [0-9] [0-9]", "creativecommons org", 0),
+    Signature("cc-by-nc-nd", "creativecommons org licenses by nc nd [0-9] [0-9]", "creativecommons org", 0),
+    Signature("cc0-1", "creativecommons org publicdomain zero 1 0", "creativecommons org", 0), Signature("unlicense", "unlicense org", "unlicense org", 1),
+    Signature("wtfpl", "www wtfpl net", "wtfpl net", 1), Signature("bsl-1", "(?:www )?boost org license 1 0 txt", "boost org license", 0),
+    Signature("epl-2", "(?:www )?eclipse org legal epl (?:2 0|v20)", "eclipse org legal", 0), Signature("epl-1", "(?:www )?eclipse org legal epl v10", "eclipse org legal", 0),
+    # sentences that deny a license: they suppress what they span, and have no label
+    Signature(NONE, "(?:not|never|no longer|isn t|aren t) (?:licen[cs]ed|released|distributed|available|published|covered) (?:under|by) (?:[^ ]+ ){1,8}?licen[cs]e(?: v?(?:ersion )?[0-9](?: [0-9])?)?",
+              " under ", 0),
+    Signature(NONE, "(?:not|never|no longer) (?:licen[cs]ed|covered|governed) by (?:[^ ]+ ){1,8}?licen[cs]e", " by ", 0),
+    Signature(NONE, "(?:not |in)compatible with (?:[^ ]+ ){1,8}?licen[cs]e(?: v?(?:ersion )?[0-9](?: [0-9])?)?", "compatible with", 0),
 )
 
 
@@ -141,7 +217,8 @@ def signatures() -> list[Signature]:
 
 def normalised(text: Column) -> Column:
     """The words of a text, each with a blank on both sides; one blank for none."""
-    words = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS, " "))
+    lowered = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    words = F.trim(F.regexp_replace(lowered, SEPARATORS, " "))
     return F.when(words == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
 
 
@@ -160,15 +237,18 @@ def _resolved(detections: Column) -> Column:
     levels = len(CONFIDENCE)
     wrong = F.array(*[F.lit(1 - c) for c in CONFIDENCE])
     start = F.struct(F.array_repeat(F.lit(-1).cast("long"), levels).alias("ends"),
-                     F.array().cast("array<string>").alias("labels"), F.lit(1.0).alias("miss"))
+                     F.array().cast("array<string>").alias("labels"), F.lit(1.0).alias("miss"), F.lit(False).alias("bare"))
 
     def read(state: Column, x: Column) -> Column:
         end = -x["minus_end"]
         hidden = F.get(state["ends"], x["priority"]) >= end
+        silent = hidden | (x["label"] == NONE)
+        bare = x["priority"] == BARE
         ends = F.transform(state["ends"], lambda e, p: F.when(p >= x["priority"], F.greatest(e, end)).otherwise(e))
         return F.struct(ends.alias("ends"),
-                        F.when(hidden, state["labels"]).otherwise(F.array_union(state["labels"], F.array(x["label"]))).alias("labels"),
-                        F.when(hidden, state["miss"]).otherwise(state["miss"] * F.get(wrong, x["priority"])).alias("miss"))
+                        F.when(silent, state["labels"]).otherwise(F.array_union(state["labels"], F.array(x["label"]))).alias("labels"),
+                        F.when(silent | (bare & state["bare"]), state["miss"]).otherwise(state["miss"] * F.get(wrong, x["priority"])).alias("miss"),
+                        (state["bare"] | (bare & ~silent)).alias("bare"))
 
     return F.aggregate(detections, start, read, lambda s: F.struct(s["labels"].alias("labels"), s["miss"].alias("miss")))
 
