@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colscope.functions.staging import staged
+from colscope.functions.staging import discard, scope, staged
 from colscope.llm import bpe, exact_dedup, language, mixing, simhash
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -50,7 +50,12 @@ ORACLE_SQL = None  # SQL has neither the fingerprints nor the merges
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage is written before the next, and what it staged on its way, and its predecessor, are then removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir))
+        with scope() as kept:
+            made = staged(stage(spark, docs, sf_dir))
+            kept.append(made)
+        discard(docs)
+        docs = made
     return docs
