@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -21,17 +22,18 @@ HEADLINE = [
     "word_counts", "top_bigrams", "health_score_orders", "clean_table", "label_code_feature", "stratified_folds",
     "rank_anova", "rank_information", "classification_metrics", "roc_auc", "regression_metrics", "kernel_density",
     "normal_quantiles", "box_stats", "scale_robust", "linear_regression", "nearest_vectors", "silhouette_squared",
-    "series_differences",
+    "series_differences", "violin", "encode_many_levels", "cross_validated_scores", "density_clusters", "k_means_clusters",
 ]
 
 
 def main() -> None:
+    shared = tempfile.mkdtemp(prefix="bench-")
     cpus = os.environ.get("BENCH_CPUS") or str(os.cpu_count())
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.sql.adaptive.enabled", "true")
-        .config("spark.driver.memory", "16g").config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", f"file://{shared}").config("spark.driver.memory", "16g").config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -94,3 +94,16 @@ def average_ranks(counts: DataFrame, value: str = "value", n: str = "n", by: lis
     """Add `rank`, the mean rank of the rows sharing a value, to a (value, n) table."""
     out = running_totals(counts, value, {"_before": n}, by)
     return out.withColumn("rank", F.col("_before") + (F.col(n) + 1) / 2).drop("_before", "_before_all")
+
+
+def positions(rows: DataFrame, by: list[str], order: list[str], name: str = "place") -> DataFrame:
+    """Add each row's place from 0 among the rows that share `by`, in order of `order`, whatever the types and however many
+    rows. The order comes from a range partitioning: rows are numbered inside a partition, and the counts of the
+    partitions before are added. Equal rows are told apart by chance."""
+    keys = [*by, *order]
+    ordered = staged(staged(rows).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33).alias("_part")  # the upper bits are the number of the partition
+    counts = ordered.groupBy(*by, part).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    ahead = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(*by, "_part", (F.coalesce(F.sum("_n").over(ahead), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return ordered.withColumn("_part", part).join(starts, [*by, "_part"]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_shift", "_at")

@@ -70,12 +70,14 @@ def tables() -> int:
 
 @contextlib.contextmanager
 def scope():
-    """Remove on leaving all tables staged inside. Results built on them must have been written by then."""
-    before = set(_written)
+    """Remove on leaving all tables staged inside, but for the frames added to the list that it gives. Results built on the
+    others must have been written by then."""
+    before, kept = set(_written), []
     try:
-        yield
+        yield kept
     finally:
-        discard(*[frame for key, (frame, *_) in list(_written.items()) if key not in before])
+        stay = before | {id(frame) for frame in kept}
+        discard(*[frame for key, (frame, *_) in list(_written.items()) if key not in stay])
 
 
 @atexit.register

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colscope.functions import columns as C
 from colscope.functions.normal import inverse_normal
-from colscope.functions.quantiles import IN_MEMORY_ROWS, exact_percentiles
+from colscope.functions.quantiles import exact_percentiles
 from colscope.functions.running import running_totals
 from colscope.operators.sampling import sample_rows
 
 GRID = 200
+KERNELS = 2_000  # values whose kernels are added at once
 GROUPS = 8
 ROWS_PER_STEP = 10_000
 
@@ -37,27 +40,48 @@ def histogram(df: DataFrame, name: str, bins: int = 30) -> DataFrame:
                          (F.col("n") / (total * width)).alias("density"))
 
 
+def _densities(rows: DataFrame, points: int) -> DataFrame:
+    """(group, point, x, density) of rows of (group, value) for a few groups: Gaussian kernels of bandwidth std * n^(-1/5) on
+    an even grid. Each task adds up one grid a group; only these grids are shuffled."""
+    facts = rows.groupBy("group").agg(F.count("*").alias("rows"), F.min("value").alias("low"), F.max("value").alias("high"),
+                                      F.stddev_samp("value").alias("std")).filter("std > 0")
+    of = {r["group"]: (r["low"], (r["high"] - r["low"]) / (points - 1), r["std"] * r["rows"] ** -0.2, r["rows"]) for r in facts.collect()}
+
+    def sums(batches):
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            groups, values = batch.column(0).dictionary_encode(), batch.column(1).to_numpy(zero_copy_only=False)
+            for code, group in enumerate(groups.dictionary.to_pylist()):
+                if group not in of:
+                    continue
+                low, step, width, _ = of[group]
+                grid = low + np.arange(points) * step
+                found, n = np.unique(values[groups.indices.to_numpy() == code], return_counts=True)
+                own = total.setdefault(group, np.zeros(points))
+                for i in range(0, len(found), KERNELS):
+                    z = (grid - found[i : i + KERNELS, None]) / width
+                    own += n[i : i + KERNELS] @ np.exp(-z * z / 2)
+        yield pa.RecordBatch.from_pydict({"group": pa.array(list(total), pa.string()),
+                                          "sums": pa.array([t.tolist() for t in total.values()], pa.list_(pa.float64()))})
+
+    if not of:
+        return rows.sparkSession.createDataFrame([], "group string, point int, x double, density double")
+    grids = rows.mapInArrow(sums, "group string, sums array<double>").select("group", F.posexplode("sums").alias("point", "s"))
+    known = F.create_map(*[x for g, (low, step, width, n) in of.items() for x in (
+        F.lit(g), F.array(F.lit(low), F.lit(step), F.lit(n * width * math.sqrt(2 * math.pi))))])
+    fact = known[F.col("group")]
+    return grids.groupBy("group", "point").agg(F.sum("s").alias("s")).select(
+        "group", "point", (fact[0] + F.col("point") * fact[1]).alias("x"), (F.col("s") / fact[2]).alias("density"))
+
+
 def kernel_density(df: DataFrame, name: str, points: int = GRID) -> DataFrame:
-    """(point, x, density): Gaussian kernels of bandwidth std * n^(-1/5) on an even grid.
+    """(point, x, density): Gaussian kernels of bandwidth std * n^(-1/5) on an even grid."""
+    rows = _values(df, name).select(F.lit("all").alias("group"), F.col("x").alias("value"))
+    return _densities(rows, points).drop("group")
 
-    Equal values are counted first; each distinct value then adds to every grid point, summed map-side.
-    """
-    counts = C.number_counts(df, [name])
-    n, low, high, std = _values(df, name).agg(F.count("*"), F.min("x"), F.max("x"), F.stddev_samp("x")).first()
-    if not std:
-        return df.sparkSession.createDataFrame([], "point int, x double, density double")
-    bandwidth = std * n ** -0.2
-    step = (high - low) / (points - 1)
-    at = low + F.col("point") * step
-    z = (at - F.col("value")) / bandwidth
-    scale = n * bandwidth * math.sqrt(2 * math.pi)
-    spread = counts.select("value", "n", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-    sums = spread.groupBy("point").agg(F.sum(F.col("n") * F.exp(-z * z / 2)).alias("s"))
-    return sums.select("point", at.alias("x"), (F.col("s") / scale).alias("density"))
-
-
-def _boxes(df: DataFrame, values: dict[str, Column], label: str, in_memory_rows: int) -> DataFrame:
-    quartiles = exact_percentiles(df, values, [0.25, 0.5, 0.75], in_memory_rows)
+
+def _boxes(df: DataFrame, values: dict[str, Column], label: str) -> DataFrame:
+    quartiles = exact_percentiles(df, values, [0.25, 0.5, 0.75])
     rows = []
     for name, x in values.items():
         q1, q2, q3 = quartiles[name]
@@ -73,18 +97,17 @@ def _boxes(df: DataFrame, values: dict[str, Column], label: str, in_memory_rows:
     return C.tidy(df, rows)
 
 
-def box_stats(df: DataFrame, names: list[str], in_memory_rows: int = IN_MEMORY_ROWS) -> DataFrame:
+def box_stats(df: DataFrame, names: list[str]) -> DataFrame:
     """One box per column: quartiles, mean, sd, whiskers inside the fences, and the number of outliers."""
-    return _boxes(df, {n: C.number(df, n) for n in names}, "column", in_memory_rows)
+    return _boxes(df, {n: C.number(df, n) for n in names}, "column")
 
 
-def box_stats_by_group(df: DataFrame, name: str, group: str, k: int = GROUPS,
-                       in_memory_rows: int = IN_MEMORY_ROWS) -> DataFrame:
+def box_stats_by_group(df: DataFrame, name: str, group: str, k: int = GROUPS) -> DataFrame:
     """One box per group, for the k largest groups."""
     counts = df.filter(C.col(group).isNotNull()).groupBy(C.as_text(df, group).alias("g")).agg(F.count("*").alias("n"))
     groups = [r["g"] for r in counts.orderBy(F.desc("n"), "g").limit(k).collect()]
     x = C.number(df, name)
-    return _boxes(df, {g: F.when(C.as_text(df, group) == g, x) for g in groups}, "group", in_memory_rows)
+    return _boxes(df, {g: F.when(C.as_text(df, group) == g, x) for g in groups}, "group")
 
 
 def violin(df: DataFrame, name: str, group: str | None = None, k: int = GROUPS, points: int = GRID) -> DataFrame:
@@ -93,17 +116,8 @@ def violin(df: DataFrame, name: str, group: str | None = None, k: int = GROUPS,
         return kernel_density(df, name, points).withColumn("group", F.lit("all"))
     counts = df.filter(C.col(group).isNotNull()).groupBy(C.as_text(df, group).alias("group")).agg(F.count("*").alias("n"))
     chosen = counts.orderBy(F.desc("n"), "group").limit(k).select("group")
-    x = df.select(C.as_text(df, group).alias("group"), C.number(df, name).alias("value")).dropna().join(chosen, "group")
-    facts = x.groupBy("group").agg(F.count("*").alias("rows"), F.min("value").alias("low"), F.max("value").alias("high"),
-                                   F.stddev_samp("value").alias("std")).filter("std > 0")
-    per_value = x.groupBy("group", "value").agg(F.count("*").alias("n")).join(facts, "group")
-    at = F.col("low") + F.col("point") * ((F.col("high") - F.col("low")) / (points - 1))
-    bandwidth = F.col("std") * F.pow("rows", F.lit(-0.2))
-    z = (at - F.col("value")) / bandwidth
-    spread = per_value.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-    sums = spread.groupBy("group", "point").agg(F.sum(F.col("n") * F.exp(-z * z / 2)).alias("s"), F.first(at).alias("x"))
-    return sums.join(facts, "group").select(
-        "group", "point", "x", (F.col("s") / (F.col("rows") * bandwidth * math.sqrt(2 * math.pi))).alias("density"))
+    rows = df.select(C.as_text(df, group).alias("group"), C.number(df, name).alias("value")).dropna()
+    return _densities(rows.join(F.broadcast(chosen), "group"), points)  # at most k names
 
 
 def trend_line(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+import pyarrow as pa
+from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -21,14 +22,125 @@ from colscope.operators.neighbours import distance_sums, within
 SEED = 42
 
 
-def _k_means_fit(df: DataFrame, k: int, restarts: int):
-    """The restart with the least cost."""
-    models = [KMeans(k=k, seed=SEED + i, maxIter=300, predictionCol="cluster").fit(df) for i in range(restarts)]
-    return min(models, key=lambda m: m.summary.trainingCost)
+ROUNDS = 300
+SHIFT = 1e-4  # of the mean variance, below which centres stand still
+
+
+def _rows_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    vectors = batch.column(name)
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype("float64")
+
+
+def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows to all centres."""
+    d = (x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)
+    return np.maximum(d, 0)
+
+
+def _drawn(frame: DataFrame, runs: list[int], centres: dict[int, np.ndarray], seed: int) -> dict[int, np.ndarray]:
+    """A row for each run, drawn in proportion to its squared distance to the run's nearest centre (any row alike without
+    centres): the least of -log(u) / weight, where u comes from the row's hash, wins in each task and then overall."""
+    step = {r: len(centres[r]) for r in runs}
+
+    def least(batches):
+        best: dict[int, tuple[float, list[float]]] = {}
+        for batch in batches:
+            x, h = _rows_of(batch, "v"), batch.column("h").to_numpy().view("uint64")
+            for r in runs:
+                u = _mixed(h, seed + r * 1_000 + step[r])
+                weight = _squares(x, centres[r]).min(axis=1) if step[r] else np.ones(len(x))
+                with np.errstate(divide="ignore"):
+                    race = np.where(weight > 0, -np.log(u) / weight, np.inf)
+                at = int(race.argmin())
+                if r not in best or race[at] < best[r][0]:
+                    best[r] = (float(race[at]), x[at].tolist())
+        if best:
+            yield pa.RecordBatch.from_pydict({"run": list(best), "race": [b[0] for b in best.values()], "v": [b[1] for b in best.values()]})
+
+    found = frame.mapInArrow(least, "run long, race double, v array<double>").groupBy("run").agg(F.min(F.struct("race", "v")).alias("best"))
+    return {row["run"]: np.vstack([centres[row["run"]], [row["best"]["v"]]]) if step[row["run"]] else np.array([row["best"]["v"]])
+            for row in found.collect()}  # a row a run
+
+
+def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    """Numbers in (0, 1) from hashes and a salt (the finaliser of splitmix64)."""
+    z = h + np.uint64((salt * 0x9E3779B97F4A7C15) & (1 << 64) - 1)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype("float64") / 2**53 + 2**-54
+
+
+def _moved(frame: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """For each run the size and the sum of vectors of each cluster, and the summed squared distance: one scan for all runs, and
+    a row a run and task."""
+    def sums(batches):
+        total: dict[int, list] = {}
+        for batch in batches:
+            x = _rows_of(batch, "v")
+            for r, c in centres.items():
+                d = _squares(x, c)
+                near = d.argmin(axis=1)
+                member = np.zeros((len(x), len(c)))
+                member[np.arange(len(x)), near] = 1.0
+                part = [member.sum(axis=0), member.T @ x, d[np.arange(len(x)), near].sum()]
+                total[r] = part if r not in total else [a + b for a, b in zip(total[r], part)]
+        if total:
+            yield pa.RecordBatch.from_pydict({"run": list(total), "values": [[float(t[2]), *t[0].tolist(), *t[1].ravel().tolist()] for t in total.values()]})
+
+    parts = frame.mapInArrow(sums, "run long, values array<double>").select("run", F.posexplode("values").alias("at", "value"))
+    table = parts.groupBy("run", "at").agg(F.sum("value").alias("value")).toArrow()  # a number a run, cluster and dimension
+    run, at, value = (table[n].to_numpy() for n in ("run", "at", "value"))
+    out = {}
+    for r, c in centres.items():
+        own = run == r
+        values = value[own][np.argsort(at[own])]
+        if len(values):
+            out[r] = values[1 : 1 + len(c)], values[1 + len(c) :].reshape(len(c), -1), float(values[0])
+    return out
+
+
+def lloyd(df: DataFrame, ks: list[int], restarts: int = 10, rounds: int = ROUNDS, seed: int = SEED) -> dict[int, tuple[np.ndarray, float]]:
+    """{k: (centres, inertia)} of the best restart. All restarts for all k advance together: drawing the next centre of each is
+    one scan, and so is each round. Draws depend on ids alone, not on partitioning."""
+    frame = staged(df.select(vector_to_array("features").alias("v"), F.xxhash64("id").alias("h")).repartition(
+        df.sparkSession.sparkContext.defaultParallelism, "h"))
+    of = {n: k for n, k in enumerate(k for k in ks for _ in range(restarts))}
+    centres: dict[int, np.ndarray] = {n: np.zeros((0, 0)) for n in of}
+    for step in range(max(ks)):
+        centres |= _drawn(frame, [n for n, k in of.items() if k > step], centres, seed)
+    spread = frame.select(F.inline(F.transform("v", lambda x, i: F.struct(i.alias("i"), x.alias("x"))))).groupBy("i").agg(
+        F.var_pop("x").alias("s")).agg(F.avg("s")).first()[0] or 0.0
+    done: dict[int, tuple[np.ndarray, float]] = {}
+    moving = dict(centres)
+    for turn in range(rounds + 1):
+        found = _moved(frame, moving)
+        still = {}
+        for n, (size, total, cost) in found.items():
+            new = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], moving[n])  # an empty cluster stays where it is
+            if ((new - moving[n]) ** 2).sum() <= SHIFT * spread or turn == rounds:
+                done[n] = moving[n], cost
+            else:
+                still[n] = new
+        moving = still
+        if not moving:
+            break
+    return {k: min((done[n] for n in of if of[n] == k and n in done), key=lambda c: c[1]) for k in ks}
+
+
+def assigned(df: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Add `cluster`, the place of the nearest centre, the first of equal ones."""
+    @F.pandas_udf("int")
+    def nearest(v: pd.Series) -> pd.Series:
+        return pd.Series(_squares(np.stack(v.to_numpy()), centres).argmin(axis=1).astype("int32"))
+
+    return df.withColumn("cluster", nearest(vector_to_array("features")))
 
 
 def k_means(df: DataFrame, n_clusters: int = 4, n_init: int = 10) -> DataFrame:
-    return _k_means_fit(df, n_clusters, n_init).transform(df)
+    """Add `cluster` from the restart with the least inertia; with fewer distinct rows some clusters are empty."""
+    if df.isEmpty():
+        return df.withColumn("cluster", F.lit(0))
+    return assigned(df, lloyd(df, [n_clusters], n_init)[n_clusters][0])
 
 
 def hierarchical(df: DataFrame, n_clusters: int = 4) -> DataFrame:
@@ -38,8 +150,8 @@ def hierarchical(df: DataFrame, n_clusters: int = 4) -> DataFrame:
 
 def elbow(df: DataFrame, restarts: int = 10, most: int = 10) -> DataFrame:
     """(k, inertia) for k from 2."""
-    rows = df.limit(most + 1).count()
-    costs = [(k, float(_k_means_fit(df, k, restarts).summary.trainingCost)) for k in range(2, min(most + 1, rows))]
+    ks = list(range(2, min(most + 1, df.limit(most + 1).count())))
+    costs = [(k, cost) for k, (_, cost) in lloyd(df, ks, restarts).items()] if ks else []
     return df.sparkSession.createDataFrame(costs, "k int, inertia double")
 
 

@@ -1,22 +1,28 @@
 """Turn a cleaned table into a feature vector: impute, scale, encode, assemble.
 
-Everything learned is a handful of numbers per column, kept as literals of SQL stages, so a fitted
-preprocessor is an ordinary pipeline that can be saved, loaded and applied lazily.
+What is learned is a handful of numbers per column, and a table of levels with their codes, which is never collected: codes
+are places in a distributed order, and rows find theirs by joins.
 """
 
 from __future__ import annotations
 
-import re
+import json
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colscope.functions import columns as C
 from colscope.functions.quantiles import exact_percentiles
+from colscope.functions.running import positions
+from colscope.functions.staging import staged
 
-MOST_LEVELS = 100_000
+FEW_LEVELS = 20_000  # levels of a column, by keys of 65 characters at most, that are broadcast as a whole
+HOT = 1_000
+DENSE = 256  # slots up to which a vector holds its zeros
 
 
 def choose_columns(columns: list[str], classes: dict[str, str], advice: dict[str, dict] | None = None,
@@ -38,17 +44,6 @@ def choose_columns(columns: list[str], classes: dict[str, str], advice: dict[str
     return groups
 
 
-def _slots(names: list[str]):
-    """Names of helper columns: (prefix, column) to a name that starts with the column's place, so that names which differ
-    in dots alone don't clash. Dots would be read as nested fields by the stages."""
-    places = {n: i for i, n in enumerate(names)}
-    return lambda prefix, name: f"{prefix} {places[name]} {name}".replace(".", "_")
-
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def scaling_facts(df: DataFrame, groups: dict[str, list[str]]) -> dict[str, tuple[float, float, float]]:
     """{column: (fill, shift, scale)} so that a value becomes (coalesce(x, fill) - shift) / scale."""
     plain = groups["standard"] + groups["minmax"]
@@ -75,96 +70,128 @@ def scaling_facts(df: DataFrame, groups: dict[str, list[str]]) -> dict[str, tupl
     return out
 
 
-def most_frequent(df: DataFrame, names: list[str]) -> dict[str, str]:
-    """{column: most frequent text form, the least on ties}."""
-    if not names:
-        return {}
-    best = F.min(F.struct((-F.col("n")).alias("n"), F.col("value").alias("value")))
-    rows = C.value_counts(df, names).groupBy("column").agg(best.alias("best")).collect()
-    return {r["column"]: r["best"]["value"] for r in rows}
-
-
-def fit_preprocessor(df: DataFrame, groups: dict[str, list[str]], output: str = "features",
-                     most_levels: int | None = MOST_LEVELS) -> PipelineModel:
-    """Fit on `df` alone; unknown levels later give zeros when one-hot coded and -1 when ordinal.
-
-    The levels of a column are held by the driver, so a column with more than about `most_levels` is an error, never cut;
-    None allows any number.
-    """
+@dataclass
+class Preprocessor:
+    """What was learned: numbers a column, and the levels of the categories as a table (column, level, code, n), which stays
+    a table however many there are. A vector has the numbers first, then a slot for each level of the one-hot columns,
+    then a code for each of the others."""
+
+    scales: dict[str, tuple[float, float, float]]
+    modes: dict[str, str]
+    hot: list[str]
+    ordered: list[str]
+    sizes: dict[str, int]
+    levels: DataFrame | None
+    output: str = "features"
+
+    @property
+    def first(self) -> dict[str, int]:
+        """The first slot of each column."""
+        at, out = 0, {}
+        for n in [*self.scales, *self.hot, *self.ordered]:
+            out[n] = at
+            at += self.sizes[n] if n in self.hot else 1
+        return out
+
+    @property
+    def size(self) -> int:
+        return len(self.scales) + sum(self.sizes[n] for n in self.hot) + len(self.ordered)
+
+    def names(self, slots: list[int] | None = None) -> list[str]:
+        """Names of slots, all unless given: the column, with the level for one-hot slots. Only their levels are looked up."""
+        wanted = list(range(self.size)) if slots is None else slots
+        of, asked = {}, []
+        for n, at in self.first.items():
+            wide = self.sizes[n] if n in self.hot else 1
+            for slot in [s for s in wanted if at <= s < at + wide]:
+                of[slot] = n
+                asked += [(n, slot - at)] if n in self.hot else []
+        if asked:
+            spark = self.levels.sparkSession
+            keys = spark.createDataFrame(asked, "column string, code long")
+            found = {(r["column"], r["code"]): r["level"] for r in self.levels.join(F.broadcast(keys), ["column", "code"]).collect()}
+            of |= {self.first[n] + code: f"{n}_{found[n, code]}" for n, code in asked}
+        return [of[s] for s in wanted]
+
+
+def fit_preprocessor(df: DataFrame, groups: dict[str, list[str]], output: str = "features") -> Preprocessor:
+    """Fit on `df` alone; unknown levels later give zeros when one-hot coded and -1 when ordinal."""
     scales = scaling_facts(df, groups)
+    numeric = {n: scales[n] for g in ("standard", "robust", "minmax") for n in groups[g] if n in scales}
     categories = groups["one_hot"] + groups["ordinal"]
-    modes = most_frequent(df, categories)
-    categories = [n for n in categories if n in modes]
-    numeric = [n for g in ("standard", "robust", "minmax") for n in groups[g] if n in scales]
-    if not numeric and not categories:
-        raise ValueError("no usable feature columns")
-    _slot = _slots([*numeric, *categories])
-    if categories and most_levels is not None:
-        sizes = df.agg(*[F.approx_count_distinct(C.col(n)).alias(f"c{i}") for i, n in enumerate(categories)]).first()
-        for i, n in enumerate(categories):
-            if sizes[f"c{i}"] > most_levels:
-                raise ValueError(f"column {n} has more than {most_levels} levels: encode it by frequency first, or allow more")
-
-    def literal(x: float) -> str:
-        return f"CAST('{x!r}' AS DOUBLE)"
-
-    made = []
-    for n in numeric:
-        fill, shift, scale = scales[n]
-        value = f"COALESCE(NANVL(CAST({_quoted(n)} AS DOUBLE), NULL), {literal(fill)})"
-        made.append(f"({value} - {literal(shift)}) / {literal(scale)} AS {_quoted(_slot('num', n))}")
-    for n in categories:
-        mode = modes[n].replace("\\", "\\\\").replace("'", "\\'")
-        made.append(f"COALESCE(CAST({_quoted(n)} AS STRING), '{mode}') AS {_quoted(_slot('cat', n))}")
-    stages = [SQLTransformer(statement=f"SELECT *, {', '.join(made)} FROM __THIS__")]
+    modes, sizes, levels = {}, {}, None
     if categories:
-        stages.append(StringIndexer(inputCols=[_slot("cat", n) for n in categories], outputCols=[_slot("idx", n) for n in categories],
-                                    stringOrderType="alphabetAsc", handleInvalid="keep"))
-    hot = [n for n in groups["one_hot"] if n in categories]
-    if hot:
-        stages.append(OneHotEncoder(inputCols=[_slot("idx", n) for n in hot], outputCols=[_slot("hot", n) for n in hot],
-                                    dropLast=True, handleInvalid="error"))
-    fitted = Pipeline(stages=stages).fit(df)
-    ordered = [n for n in groups["ordinal"] if n in categories]
-    stages = list(fitted.stages)
-    if ordered:
-        indexer = next(s for s in stages if s.uid.startswith("StringIndexer"))
-        levels = {c: len(labels) for c, labels in zip(categories, indexer.labelsArray)}
-        codes = [f"CASE WHEN {_quoted(_slot('idx', n))} >= {levels[n]} THEN CAST(-1 AS DOUBLE) ELSE {_quoted(_slot('idx', n))} END "
-                 f"AS {_quoted(_slot('ord', n))}" for n in ordered]
-        stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(codes)} FROM __THIS__"))
-    parts = [_slot("num", n) for n in numeric] + [_slot("hot", n) for n in hot] + [_slot("ord", n) for n in ordered]
-    stages.append(VectorAssembler(inputCols=parts, outputCol=output))
-    return PipelineModel(stages)
-
-
-HELPER = re.compile(r"(num|cat|idx|hot|ord) \d+ ")
-
-
-def apply_preprocessor(model: PipelineModel, df: DataFrame) -> DataFrame:
+        counts = staged(C.value_counts(df, categories))
+        best = F.min(F.struct((-F.col("n")).alias("n"), F.col("value").alias("value")))
+        for r in counts.groupBy("column").agg(best.alias("best"), F.count("*").alias("levels")).collect():  # a row a column
+            modes[r["column"]], sizes[r["column"]] = r["best"]["value"], r["levels"]
+        levels = staged(positions(counts, ["column"], ["value"], "code").select("column", F.col("value").alias("level"), "code", "n"))
+    hot, ordered = [n for n in groups["one_hot"] if n in modes], [n for n in groups["ordinal"] if n in modes]
+    if not numeric and not modes:
+        raise ValueError("no usable feature columns")
+    return Preprocessor(numeric, modes, hot, ordered, sizes, levels, output)
+
+
+def _coded(pre: Preprocessor, df: DataFrame, name: str, out: str) -> DataFrame:
+    """Add the code of a column's level, null for an unknown one. Few levels are broadcast. Of many, those that make up more
+    than one row in `HOT` are, and the rest are joined by shuffle, the rows that have found their code spread over it."""
+    level = F.coalesce(C.col(name).cast("string"), F.lit(pre.modes[name]))
+    table = pre.levels.filter(F.col("column") == name).select(C.text_key(F.col("level")).alias("_level"), F.col("code").alias("_code"), "n")
+    if pre.sizes[name] <= FEW_LEVELS:
+        found = df.withColumn("_key", C.text_key(level)).join(F.broadcast(table.drop("n")), F.col("_key") == F.col("_level"), "left")
+        return found.withColumn(out, F.col("_code")).drop("_key", "_level", "_code")
+    total = table.agg(F.sum("n")).first()[0]
+    frequent = F.col("n") > max(1, total // HOT)  # fewer than HOT levels
+    first = df.withColumn("_key", C.text_key(level)).join(F.broadcast(table.filter(frequent).select("_level", "_code")), F.col("_key") == F.col("_level"), "left")
+    first = first.withColumn(out, F.col("_code")).drop("_level", "_code")
+    spread = F.when(F.col(out).isNull(), F.col("_key")).otherwise(F.concat(F.lit("+"), F.xxhash64(*[C.col(c) for c in df.columns]).cast("string")))
+    rest = table.filter(~frequent).select("_level", "_code")
+    second = first.withColumn("_key", spread).join(rest, F.col("_key") == F.col("_level"), "left")
+    return second.withColumn(out, F.coalesce(out, "_code")).drop("_key", "_level", "_code")
+
+
+def apply_preprocessor(pre: Preprocessor, df: DataFrame) -> DataFrame:
     """Add the feature vector and nothing else."""
-    out = model.transform(df)
-    return out.drop(*[n for n in out.columns if HELPER.match(n) and n not in df.columns])
-
-
-def feature_names(df: DataFrame, vector: str = "features") -> list[str]:
-    """Names of the vector's slots: the column, with the level for one-hot slots."""
-    attrs = df.schema[vector].metadata["ml_attr"]["attrs"]
-    slots = sorted((a["idx"], a["name"]) for kind in attrs.values() for a in kind)
-    return [HELPER.sub("", n, count=1) for _, n in slots]
-
-
-def as_columns(df: DataFrame, vector: str = "features") -> list[Column]:
+    out, codes = df, {}
+    for i, n in enumerate([*pre.hot, *pre.ordered]):
+        codes[n] = f"_code {i} of a level"
+        out = _coded(pre, out, n, codes[n])
+    numbers = []
+    for n, (fill, shift, scale) in pre.scales.items():
+        x = C.col(n).cast("double")
+        numbers.append((F.coalesce(F.when(~F.isnan(x), x), F.lit(float(fill))) - F.lit(float(shift))) / F.lit(float(scale)))
+    slots = [F.struct(F.lit(i).cast("int").alias("i"), v.alias("x")) for i, v in enumerate(numbers)]
+    for n in pre.hot:
+        slots.append(F.struct((F.col(codes[n]) + pre.first[n]).cast("int").alias("i"), F.lit(1.0).alias("x")))
+    for n in pre.ordered:
+        slots.append(F.struct(F.lit(pre.first[n]).cast("int").alias("i"), F.coalesce(F.col(codes[n]), F.lit(-1)).cast("double").alias("x")))
+    filled = F.filter(F.array(*slots), lambda s: s["i"].isNotNull())
+    if pre.size <= DENSE:
+        values = F.map_from_entries(filled)
+        vector = array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(pre.size - 1)), lambda i: F.coalesce(F.element_at(values, i), F.lit(0.0))))
+    else:  # the JSON reader is what makes sparse vectors out of columns
+        text = lambda field: F.array_join(F.transform(filled, lambda s: s[field].cast("string")), ",")
+        record = F.format_string(f'{{"v":{{"type":0,"size":{pre.size},"indices":[%s],"values":[%s]}}}}', text("i"), text("x"))
+        vector = F.from_json(record, T.StructType([T.StructField("v", VectorUDT())]))["v"]
+    return out.withColumn(pre.output, vector).drop(*codes.values())
+
+
+def as_columns(pre: Preprocessor) -> list[Column]:
     """The vector's slots as double columns named by feature."""
-    from pyspark.ml.functions import vector_to_array
-
-    array = vector_to_array(F.col(vector))
-    return [F.get(array, F.lit(i)).alias(n) for i, n in enumerate(feature_names(df, vector))]
+    array = vector_to_array(F.col(pre.output))
+    return [F.get(array, F.lit(i)).alias(n) for i, n in enumerate(pre.names())]
 
 
-def save(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save(pre: Preprocessor, path: str) -> None:
+    facts = {"scales": {n: [float(x) for x in v] for n, v in pre.scales.items()}, "modes": pre.modes, "hot": pre.hot, "ordered": pre.ordered,
+             "sizes": pre.sizes, "output": pre.output}
+    spark = SparkSession.active()
+    spark.createDataFrame([(json.dumps(facts),)], "facts string").write.mode("overwrite").json(f"{path}/facts")
+    if pre.levels is not None:
+        pre.levels.write.mode("overwrite").parquet(f"{path}/levels")
 
 
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load(spark: SparkSession, path: str) -> Preprocessor:
+    facts = json.loads(spark.read.json(f"{path}/facts").first()["facts"])
+    levels = spark.read.parquet(f"{path}/levels") if facts["modes"] else None
+    return Preprocessor(**{**facts, "scales": {n: tuple(v) for n, v in facts["scales"].items()}}, levels=levels)

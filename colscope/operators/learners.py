@@ -19,12 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colscope.functions import columns as C
-from colscope.functions.staging import staged
+from colscope.functions.staging import shared_folder, staged
 from colscope.operators.neighbours import k_nearest
 
 SEED = 42
 DEEPEST = 30  # the deepest tree Spark grows
 STAGE_EVERY = 10  # reweighting rounds between written tables
+FOREST_MB = 1024  # of histograms in a task, so that a level of many trees takes few passes
+AT_ONCE = 8  # models fitted at the same time
 ITERATIONS = 50  # of the linear separator, unless `max_iter` says otherwise
 
 # Learners, their defaults and their search grids.
@@ -281,6 +283,12 @@ class Ensemble:
 COLUMNS = {"featuresCol": "features", "labelCol": "y", "predictionCol": "pred"}
 
 
+def _cut_lineage(spark: SparkSession) -> None:
+    """Let long runs of small jobs write what they have to the shared folder now and then, so that plans stay short."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
 def _boosted(problem: str, classes: int, rounds: int, step: float, max_depth: int, weight: str | None):
     common = {"maxIter": rounds, "stepSize": step, "maxDepth": max_depth, "seed": SEED, "checkpointInterval": 10}
     w = {"weightCol": weight} if weight else {}
@@ -289,7 +297,7 @@ def _boosted(problem: str, classes: int, rounds: int, step: float, max_depth: in
     if classes <= 2:
         return mc.GBTClassifier(**COLUMNS, **common, **w)
     one = mc.GBTClassifier(**common)
-    return mc.OneVsRest(classifier=one, rawPredictionCol="rawPrediction", **COLUMNS, **w)
+    return mc.OneVsRest(classifier=one, rawPredictionCol="rawPrediction", parallelism=AT_ONCE, **COLUMNS, **w)
 
 
 def estimator(problem: str, name: str, params: dict, rows: int, features: int, classes: int, label_std: float,
@@ -302,7 +310,7 @@ def estimator(problem: str, name: str, params: dict, rows: int, features: int, c
     if name == "random_forest":
         make = mc.RandomForestClassifier if problem == "classification" else mr.RandomForestRegressor
         return make(numTrees=int(params["n_estimators"]), maxDepth=depth(params), minInstancesPerNode=leaf_size(params),
-                    seed=SEED, **COLUMNS, **w)
+                    seed=SEED, maxMemoryInMB=FOREST_MB, cacheNodeIds=True, **COLUMNS, **w)
     if name == "decision_tree":
         impurity = {"impurity": params.get("criterion", "gini")} if problem == "classification" else {}
         make = mc.DecisionTreeClassifier if problem == "classification" else mr.DecisionTreeRegressor
@@ -340,6 +348,7 @@ def fit(problem: str, name: str, train: DataFrame, params: dict | None = None, c
         return _svm(train, params, classes, weight)
     if name == "ada_boost":
         return (_samme if problem == "classification" else _adaboost_r2)(train, params, classes, weight)
+    _cut_lineage(train.sparkSession)
     facts = train.agg(F.count("*").alias("rows"), F.stddev_pop("y").alias("std"),
                       F.max(F.size(vector_to_array("features"))).alias("features")).first()
     made = estimator(problem, name, params, facts["rows"], facts["features"], classes, facts["std"] or 1.0, weight)
@@ -361,7 +370,7 @@ def _svm(train: DataFrame, params: dict, classes: int, weight: str | None) -> Ca
         one = (one.setWeightCol(weight) if weight else one).setFeaturesCol("features").setLabelCol("y").setPredictionCol("guess")
         margins = one.fit(train)
     else:
-        margins = mc.OneVsRest(classifier=one, featuresCol="features", labelCol="y", predictionCol="guess", **w).fit(train)
+        margins = mc.OneVsRest(classifier=one, featuresCol="features", labelCol="y", predictionCol="guess", parallelism=AT_ONCE, **w).fit(train)
     chances = mc.LogisticRegression(featuresCol="rawPrediction", labelCol="y", predictionCol="pred", probabilityCol="chance",
                                     rawPredictionCol="raw", maxIter=max(rounds, 100)).fit(margins.transform(train).select("y", "rawPrediction"))
     return Calibrated(margins, chances)

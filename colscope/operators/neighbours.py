@@ -1,6 +1,6 @@
 """Exact neighbours of vectors without comparing every pair of rows in one place.
 
-Train rows are assigned to the nearest of a fixed number of pivots. A query row visits only the cells
+Train rows are assigned to the nearest of some pivots, whose number grows with the rows. A query row visits only the cells
 that can hold an answer by the triangle inequality. Cells are cut into blocks of bounded size on both
 sides, so one crowded cell spreads over many tasks, and a block returns one small result per query row,
 never its pairs.
@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_PIVOTS = 1024
 ROWS_PER_PIVOT = 2048
 BLOCK_ROWS = 4096
 CELL_LIMIT = 2**22  # doubles held at once while comparing
@@ -38,14 +37,20 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def pivots_for(rows: int) -> int:
+    """A pivot for each `ROWS_PER_PIVOT` rows; of many rows, as many as their square root, so that finding a row's pivot and
+    searching its cell cost alike and both grow with the root of the rows."""
+    return 1 + min(rows // ROWS_PER_PIVOT, math.isqrt(rows))
+
+
 class Cells:
     """The train rows by nearest pivot, with the size and radius of each cell."""
 
     def __init__(self, train: DataFrame, pivots: int | None = None, seed: int = 42):
-        pivots = pivots or min(MAX_PIVOTS, 1 + train.count() // ROWS_PER_PIVOT)
+        pivots = pivots or pivots_for(train.count())
         chosen = train.select("v").orderBy(F.xxhash64(F.lit(seed), F.col("v").cast("string"))).limit(pivots).collect()
         points = np.unique(np.array([r["v"] for r in chosen], dtype="float64"), axis=0) if chosen else np.zeros((0, 1))
-        self.points = train.sparkSession.sparkContext.broadcast(points)  # at most `pivots` vectors
+        self.points = train.sparkSession.sparkContext.broadcast(points)  # `pivots` vectors
         shared = self.points
 
         @F.pandas_udf("cell int, gap double")

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colscope.functions import columns as C
-from colscope.functions.quantiles import IN_MEMORY_ROWS, exact_percentiles
+from colscope.functions.quantiles import exact_percentiles
 from colscope.functions.staging import staged
 
 MIN_VALUES = 4
@@ -20,17 +20,16 @@ FOREST_TREES = 100
 FOREST_SAMPLE = 256
 
 
-def fences(df: DataFrame, names: list[str], in_memory_rows: int = IN_MEMORY_ROWS) -> dict[str, tuple[float, float]]:
+def fences(df: DataFrame, names: list[str]) -> dict[str, tuple[float, float]]:
     """{column: (lower, upper)}: quartiles widened by 1.5 times their distance."""
-    q = exact_percentiles(df, {n: C.number(df, n) for n in names}, [0.25, 0.75], in_memory_rows)
+    q = exact_percentiles(df, {n: C.number(df, n) for n in names}, [0.25, 0.75])
     return {n: (a - 1.5 * (b - a), b + 1.5 * (b - a)) for n, (a, b) in q.items() if a is not None}
 
 
-def outlier_table(df: DataFrame, names: list[str] | None = None, z: float = 3.0,
-                  in_memory_rows: int = IN_MEMORY_ROWS) -> DataFrame:
+def outlier_table(df: DataFrame, names: list[str] | None = None, z: float = 3.0) -> DataFrame:
     """(column, iqr_outliers, zscore_outliers, outlier_pct, lower, upper)."""
     names = names if names is not None else C.numeric_columns(df)
-    bounds = fences(df, names, in_memory_rows)
+    bounds = fences(df, names)
     names = [n for n in names if n in bounds]
     if not names:
         return df.sparkSession.createDataFrame([], "column string, iqr_outliers bigint, zscore_outliers bigint, "
@@ -56,12 +55,11 @@ def outlier_table(df: DataFrame, names: list[str] | None = None, z: float = 3.0,
     )
 
 
-def outlier_examples(df: DataFrame, names: list[str] | None = None, k: int = 5,
-                     in_memory_rows: int = IN_MEMORY_ROWS) -> DataFrame:
+def outlier_examples(df: DataFrame, names: list[str] | None = None, k: int = 5) -> DataFrame:
     """(column, place, value): the k smallest distinct values outside the fences."""
     names = names if names is not None else C.numeric_columns(df)
     parts = None
-    for n, (lower, upper) in fences(df, names, in_memory_rows).items():
+    for n, (lower, upper) in fences(df, names).items():
         x = C.number(df, n)
         part = df.filter((x < lower) | (x > upper)).select(F.lit(n).alias("column"), x.alias("value")).distinct()
         parts = part if parts is None else parts.unionAll(part)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colscope.functions import columns as C
-from colscope.functions.quantiles import IN_MEMORY_ROWS, exact_percentiles
+from colscope.functions.quantiles import exact_percentiles
 
 
 def distribution_shape(skew: Column, kurt: Column) -> Column:
@@ -27,10 +27,10 @@ def modes(counts: DataFrame) -> DataFrame:
     return counts.groupBy("column").agg(best.alias("best")).select("column", F.col("best.value").alias("mode"))
 
 
-def numeric_summary(df: DataFrame, names: list[str] | None = None, in_memory_rows: int = IN_MEMORY_ROWS) -> DataFrame:
+def numeric_summary(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Moments, extremes, mode and quartiles of each column with at least two numbers."""
     names = names if names is not None else C.numeric_columns(df)
-    quartiles = exact_percentiles(df, {n: C.number(df, n) for n in names}, [0.25, 0.5, 0.75], in_memory_rows)
+    quartiles = exact_percentiles(df, {n: C.number(df, n) for n in names}, [0.25, 0.5, 0.75])
     rows = []
     for n in names:
         x = C.number(df, n)

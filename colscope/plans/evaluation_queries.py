@@ -147,9 +147,9 @@ def density_sql(source: str, x: str, points: int, extra: str = "") -> str:
 query("kernel_density", density_sql("events", "value", 200))(
     lambda t: rounded(chartdata.kernel_density(t.events, "value"), 4, density=8))
 query("violin", " union all ".join(
-    density_sql(f"(select * from events where event_type = '{g}')", "value", 50, f"'{g}' as \"group\",")
+    density_sql(f"(select * from events where event_type = '{g}')", "value", 200, f"'{g}' as \"group\",")
     for g in ["click", "error", "purchase", "signup", "view"]))(
-    lambda t: rounded(chartdata.violin(t.events, "value", "event_type", points=50), 4, density=8))
+    lambda t: rounded(chartdata.violin(t.events, "value", "event_type"), 4, density=8))
 
 
 def box_sql(source: str, x: str, label: str, name: str) -> str:

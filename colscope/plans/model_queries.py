@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from colscope.functions import columns as C
@@ -18,8 +18,20 @@ from colscope.plans.registry import query, r, rounded
 
 
 def slots(df, groups, keep):
-    made = features.apply_preprocessor(features.fit_preprocessor(df, groups), df)
-    return made.select(*keep, *features.as_columns(made))
+    pre = features.fit_preprocessor(df, groups)
+    return features.apply_preprocessor(pre, df).select(*keep, *features.as_columns(pre))
+
+
+def many_levels(t):
+    """Sparse vectors of a number and a text column with nearly as many levels as rows, one of them frequent, some null: the
+    filled slot behind the number, as (line, slot, value, size)."""
+    word = F.when(F.col("l_linenumber") > 4, "common").when(F.col("l_linenumber") > 1, F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber", "l_suppkey"))
+    rows = t.lineitem.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"), "l_quantity", word.alias("w"))
+    pre = features.fit_preprocessor(rows, {**NO_GROUPS, "standard": ["l_quantity"], "one_hot": ["w"]})
+    v = F.unwrap_udt("features")
+    made = features.apply_preprocessor(pre, rows)
+    return made.select("line", F.inline(F.arrays_zip(v["indices"].alias("slot"), v["values"].alias("value"))), v["size"].cast("long").alias("size")).filter(
+        "slot > 0").select("line", F.col("slot").cast("long").alias("slot"), "value", "size")
 
 
 NO_GROUPS = {"standard": [], "robust": [], "minmax": [], "one_hot": [], "ordinal": []}
@@ -50,6 +62,11 @@ query("scale_minmax", scale_sql(LABELLED_SQL, ["n_chars", "toxic"], "doc_id", la
 query("encode_one_hot", "select o_orderkey, " + ", ".join(
     f"(o_orderstatus = '{v}')::int::double as o_orderstatus_{v}" for v in "FOP") + " from orders")(
     lambda t: slots(t.orders, {**NO_GROUPS, "one_hot": ["o_orderstatus"]}, ["o_orderkey"]))
+query("encode_many_levels", """with words as (select l_orderkey * 8 + l_linenumber as line, case when l_linenumber > 4 then 'common' when l_linenumber > 1
+        then l_orderkey::varchar || '-' || l_partkey || '-' || l_linenumber || '-' || l_suppkey end as w from lineitem),
+      codes as (select w, row_number() over (order by w) - 1 as code from (select distinct w from words where w is not null))
+      select line, 1 + code as slot, 1.0::double as value, 1 + (select count(*) from codes) as size from words
+      join codes on codes.w = coalesce(words.w, (select w from words where w is not null group by w order by count(*) desc, w limit 1))""")(lambda t: many_levels(t))
 query("encode_ordinal", f"""select doc_id, (dense_rank() over (order by lang) - 1)::double as lang,
       coalesce(quality, (select quality from {LABELLED_SQL} where quality is not null group by 1 order by count(*) desc, 1 limit 1))::double as quality from {LABELLED_SQL}""")(
     lambda t: slots(labelled(t).withColumn("q", F.col("quality")).drop("toxic").withColumn("quality", F.col("q")).drop("q"),
@@ -215,7 +232,7 @@ def numbered_sql(seed: int) -> str:
 
 LINE = {"linear_regression": None, "constant": None}
 FITTED = "regr_slope(y, x) as b, regr_intercept(y, x) as a, avg(y) as c"
-FOLDS_SQL = f"""f as (select id, x, y, (k % 3)::int as fold from {numbered_sql(42)}),
+FOLDS_SQL = f"""f as (select id, x, y, (k % 5)::int as fold from {numbered_sql(42)}),
       m as (select h.fold, {FITTED} from f join (select distinct fold from f) h on f.fold <> h.fold group by 1),
       p as (select 'linear_regression' as model, fold, id, y, a + b * x as pred from f join m using (fold)
         union all select 'constant', fold, id, y, c from f join m using (fold))"""
@@ -240,15 +257,15 @@ def _line_scores(t, scheme):
 
 
 query("cross_validated_predictions", f"with {FOLDS_SQL} select model, fold, id, {r('y', 2)} as y, {r('pred', 2)} as pred from p")(
-    lambda t: rounded(modelling.cross_predictions(_order_line(t), LINE, 3), 2))
+    lambda t: rounded(modelling.cross_predictions(_order_line(t), LINE), 2))
 query("repeated_split_predictions", f"with {REPEATS_SQL} select model, fold, id, {r('y', 2)} as y, {r('pred', 2)} as pred from p")(
     lambda t: rounded(modelling.repeated_predictions(_order_line(t), {"linear_regression": None}), 2))
-query("cross_validated_line_scores", f"with {FOLDS_SQL} {ERRORS}")(lambda t: _line_scores(t, {"k": 3}))
+query("cross_validated_line_scores", f"with {FOLDS_SQL} {ERRORS}")(lambda t: _line_scores(t, {"k": 5}))
 query("train_line_scores", f"with {TRAIN_SQL} {ERRORS}")(lambda t: _line_scores(t, {"method": "test_on_train"}))
-query("cross_validated_scores")(lambda t: _scores(t, {"linear_regression": None, "constant": None}, {"k": 3}).metrics)
+query("cross_validated_scores")(lambda t: _scores(t, {"linear_regression": None, "constant": None}, {"k": 5}).metrics)
 query("repeated_split_scores")(lambda t: _scores(t, {"ridge": None}, {"method": "random_sampling"}).metrics)
-query("train_split_scores")(lambda t: _scores(t, {"decision_tree": {"max_depth": 5}}, {"method": "test_on_train"}).metrics)
-query("learner_comparison")(lambda t: _scores(t, {"linear_regression": None, "decision_tree": {"max_depth": 5}}, {"k": 3}).comparison)
+query("train_split_scores")(lambda t: _scores(t, {"decision_tree": None}, {"method": "test_on_train"}).metrics)
+query("learner_comparison")(lambda t: _scores(t, {"linear_regression": None, "decision_tree": None}, {"k": 5}).comparison)
 query("leaderboard")(lambda t: modelling.leaderboard(
     t.orders, "o_orderstatus", "classification", CLASSES, key="o_orderkey").drop("train_seconds"))
 query("predictions_table")(lambda t: _predicted(t))
@@ -294,6 +311,82 @@ query("density_clusters", f"""with recursive near as (select id, neighbour from
       left join (select id, dense_rank() over (order by root) - 1 as k from found) f on f.id = vec_id""")(
     lambda t: cluster.dbscan(vector_frame(t).drop("y"), 1.16, 4).select("id", "cluster"))
 query("elbow_curve")(lambda t: cluster.elbow(vector_frame(t).drop("y")))
+query("elbow_facts", """select k::int as k, true as below_total, true as falling, true as within_one_percent from range(2, 11) as g(k)""")(lambda t: _elbow_facts(t))
+
+
+def _elbow_facts(t):
+    """For each k: the inertia lies below that of one cluster, falls with k, and is what the assigned rows add up to."""
+    df = vector_frame(t).drop("y")
+    found = cluster.lloyd(df, list(range(2, 11)), 3)
+    rows = df.select("id", vector_to_array("features").alias("v"))
+    total = rows.select(F.inline(F.transform("v", lambda x, i: F.struct(i.alias("i"), x.alias("x"))))).groupBy("i").agg(
+        (F.var_pop("x") * F.count("x")).alias("s")).agg(F.sum("s")).first()[0]
+    out = []
+    for k, (centres, inertia) in found.items():
+        at = F.get(F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centres]), F.col("cluster"))
+        square = F.aggregate(F.zip_with("v", at, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+        again = cluster.assigned(df, centres).select(vector_to_array("features").alias("v"), "cluster").agg(F.sum(square)).first()[0]
+        out.append((k, inertia < total, k == 2 or inertia < found[k - 1][1], abs(again - inertia) <= 0.01 * inertia))
+    return t.spark.createDataFrame(out, "k int, below_total boolean, falling boolean, within_one_percent boolean")
+
+
+query("k_means_facts", """select count(*) as rows, 4::bigint as clusters, true as by_nearest_centre from embeddings""")(lambda t: _k_means_facts(t))
+
+
+def _k_means_facts(t):
+    """All rows are in one of four clusters; nearly all are nearest to the mean of their own, as rounds end before the very last."""
+    made = cluster.k_means(vector_frame(t).drop("y")).select("id", vector_to_array("features").alias("v"), "cluster").cache()
+    means = made.select("cluster", F.posexplode("v").alias("i", "x")).groupBy("cluster", "i").agg(F.avg("x").alias("m")).groupBy("cluster").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("m")).orderBy("cluster").collect()
+    square = lambda m: F.aggregate(F.zip_with("v", F.array(*[F.lit(x) for x in m]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+    nearest = F.array_min(F.array(*[F.struct(square(r["m"]).alias("d"), F.lit(r["cluster"]).alias("cluster")) for r in means]))["cluster"]
+    return made.agg(F.count("*").alias("rows"), F.count_distinct("cluster").alias("clusters"), (F.avg((nearest == F.col("cluster")).cast("double")) > 0.95).alias("by_nearest_centre"))
+
+
+def _fitted(t, name, params=None):
+    p = modelling.prepare(t.orders.withColumn("big", F.col("o_totalprice") > 150_000), "big", "classification",
+                          {"o_totalprice": "numerical", "o_custkey": "numerical", "o_orderpriority": "categorical", "big": "boolean"}, key="o_orderkey")
+    return p, modelling.fit_pipe(p, p.rows, name, params)
+
+
+def learner_facts(t, name, params=None):
+    """A class that one column decides: how many rows were scored, whether chances add up to one, whether most are right, and
+    whether importances add up to one with the deciding column first, where the learner has any."""
+    p, pipe = _fitted(t, name, params)
+    pred = pipe.predict(p.rows)
+    pairs = pipe.importance()
+    trees = hasattr(getattr(pipe.model, "model", None), "featureImportances") or name == "ada_boost"
+    leads = not pairs or pairs[0][0] == "o_totalprice"
+    whole = not trees or abs(sum(v for _, v in pairs) - 1) < 1e-9
+    return pred.agg(F.count("*").alias("rows"), (F.max(F.abs(F.aggregate("prob", F.lit(-1.0), lambda a, b: a + b))) < 1e-9).alias("chances_add_up"),
+                    (F.avg((F.col("pred") == F.col("y")).cast("double")) > 0.9).alias("mostly_right"), F.lit(leads).alias("right_column_leads"), F.lit(whole).alias("importances_add_up"))
+
+
+for _name, _params in (("logistic_regression", None), ("decision_tree", None), ("random_forest", {"n_estimators": 50, "max_depth": 10}), ("gradient_boosting", {"n_estimators": 20}),
+                       ("naive_bayes", None), ("linear_svm", None), ("ada_boost", {"n_estimators": 10}), ("nearest_neighbours", None), ("neural_network", None)):
+    query(f"facts_{_name}", "select count(*) as rows, true as chances_add_up, true as mostly_right, true as right_column_leads, true as importances_add_up from orders")(
+        lambda t, name=_name, params=_params: learner_facts(t, name, params))
+query("tuned_ridge", "select 4 as cells, true as in_order, true as spread_known")(lambda t: _tuned(t))
+
+
+def _tuned(t):
+    """The four cells of the grid, best first."""
+    rows = t.orders.select(*ORDER_CLASSES)
+    found = modelling.tune(rows, "o_totalprice", "regression", "ridge", ORDER_CLASSES, key="o_orderkey").collect()
+    scores = [r.score for r in found]
+    return t.spark.createDataFrame([(len(found), scores == sorted(scores, reverse=True), all(r.std is not None and r.std >= 0 for r in found))],
+                                   "cells int, in_order boolean, spread_known boolean")
+
+
+query("nomogram", f"""select 'o_custkey' as feature, {r("regr_slope(y, x) * sqrt(var_pop(x))", 2)} as coefficient from {ORDER_SQL}""")(lambda t: _nomogram(t))
+
+
+def _nomogram(t):
+    p = _order_line(t)
+    pairs = modelling.fit_pipe(p, p.rows, "linear_regression").nomogram()
+    return rounded(t.spark.createDataFrame([(n, float(v)) for n, v in pairs], "feature string, coefficient double"), 2)
+
+
 query("projection")(lambda t: cluster.projection(vector_frame(t).drop("y")).select("id", F.col("pca").cast("string").alias("pca")))
 
 # --- series --------------------------------------------------------------------------------------------------

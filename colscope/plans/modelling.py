@@ -10,13 +10,14 @@ from __future__ import annotations
 import json
 import random
 import time
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
 from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,18 @@ SEED = 42
 USER_ERRORS = (ValueError, AnalysisException, IllegalArgumentException)
 
 
+def at_once(jobs: Iterable[Callable]) -> list:
+    """Results of independent fits, run at the same time, in order. A fit is many small jobs, which leave the cluster idle."""
+    with ThreadPoolExecutor(learners.AT_ONCE) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]
+
+
+def spread_out(rows: DataFrame) -> DataFrame:
+    """A written table in as many parts at least as there are cores, as fits go over it again and again."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return staged(rows.repartition(cores, "id") if rows.rdd.getNumPartitions() < cores else rows)
+
+
 @dataclass
 class Prepared:
     rows: DataFrame  # the table's columns, `__id`, `__y`
@@ -71,7 +84,7 @@ def prepare(df: DataFrame, target: str, problem: str, classes: dict[str, str], a
     return Prepared(rows, problem, groups, labels, target)
 
 
-def vectors(pre: PipelineModel, rows: DataFrame) -> DataFrame:
+def vectors(pre: features.Preprocessor, rows: DataFrame) -> DataFrame:
     """(id, y, features)."""
     return features.apply_preprocessor(pre, rows).select(F.col("__id").alias("id"), F.col("__y").alias("y"), "features")
 
@@ -80,9 +93,8 @@ def vectors(pre: PipelineModel, rows: DataFrame) -> DataFrame:
 class Pipe:
     """A fitted preprocessor and learner, with the target it was fitted for and its class names in code order."""
 
-    pre: PipelineModel
+    pre: features.Preprocessor
     model: object
-    names: list[str]
     problem: str = ""
     target: str = ""
     labels: list[str] = field(default_factory=list)
@@ -108,19 +120,21 @@ class Pipe:
         return out.withColumn("__id", C.col(key).cast("long")) if key else staged(out.withColumn("__id", F.monotonically_increasing_id()))
 
     def importance(self, top: int = 25) -> list[tuple[str, float]]:
-        pairs = list(zip(self.names, self.model.importances()))
-        return sorted(pairs, key=lambda x: abs(x[1]), reverse=True)[:top]
+        return self._largest(self.model.importances(), top)
+
+    def _largest(self, values: list[float], top: int) -> list[tuple[str, float]]:
+        slots = sorted(range(len(values)), key=lambda i: abs(values[i]), reverse=True)[:top]
+        return list(zip(self.pre.names(slots), [values[i] for i in slots]))
 
     def nomogram(self, top: int = 15) -> list[tuple[str, float]]:
         """Signed coefficients of a linear model, the first row for several classes."""
         rows = self.model.coefficients() if hasattr(self.model, "coefficients") else []
-        pairs = list(zip(self.names, rows[0])) if rows else []
-        return sorted(pairs, key=lambda x: abs(x[1]), reverse=True)[:top]
+        return self._largest(rows[0], top) if rows else []
 
     def save(self, path: str) -> None:
         """Write the preprocessor, the learner of any kind, and what is needed to name its answers."""
         features.save(self.pre, f"{path}/preprocessor")
-        facts = {"names": self.names, "problem": self.problem, "target": self.target, "labels": self.labels}
+        facts = {"problem": self.problem, "target": self.target, "labels": self.labels}
         SparkSession.active().createDataFrame([(json.dumps(facts),)], "facts string").write.mode("overwrite").json(f"{path}/facts")
         learners.save(self.model, f"{path}/learner")
 
@@ -128,13 +142,12 @@ class Pipe:
 def load(spark: SparkSession, path: str) -> Pipe:
     """What `Pipe.save` wrote."""
     facts = json.loads(spark.read.json(f"{path}/facts").first()["facts"])
-    return Pipe(PipelineModel.load(f"{path}/preprocessor"), learners.load(spark, f"{path}/learner"), **facts)
+    return Pipe(features.load(spark, f"{path}/preprocessor"), learners.load(spark, f"{path}/learner"), **facts)
 
 
 def fit_pipe(p: Prepared, train: DataFrame, name: str, params: dict | None = None, imbalance: str = "none") -> Pipe:
     pre = features.fit_preprocessor(train, p.groups)
     frame = vectors(pre, train)
-    names = features.feature_names(frame)
     weight = None
     if imbalance == "smote" and p.problem == "classification":
         frame = oversample(frame).withColumn("id", F.monotonically_increasing_id())
@@ -143,8 +156,8 @@ def fit_pipe(p: Prepared, train: DataFrame, name: str, params: dict | None = Non
         total, k = counts.agg(F.sum("_n")).scalar(), counts.agg(F.count("*")).scalar()
         frame = frame.join(counts.select("y", (total / (k * F.col("_n"))).alias("weight")), "y")
         weight = "weight"
-    frame = staged(frame)
-    return Pipe(pre, learners.fit(p.problem, name, frame, params, p.classes, weight), names, p.problem, p.target, p.labels)
+    frame = spread_out(frame)
+    return Pipe(pre, learners.fit(p.problem, name, frame, params, p.classes, weight), p.problem, p.target, p.labels)
 
 
 # Fixed value: learners that take class weights.
@@ -247,13 +260,13 @@ def train_predictions(p: Prepared, models: dict[str, dict | None]) -> DataFrame:
 
 
 def _scored(p: Prepared, models, parts, imbalance: str = "none") -> DataFrame:
-    out = []
-    for name, params in models.items():
-        for fold, train_rows, test_rows in parts:
-            pred = fit_pipe(p, train_rows, name, params, imbalance).predict(test_rows)
-            out.append(pred.select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "id", "y", "pred",
-                                   *(["prob"] if p.problem == "classification" else [])))
-    return staged(reduce(DataFrame.unionByName, out))
+    def scored(name, params, fold, train_rows, test_rows) -> DataFrame:
+        pred = fit_pipe(p, train_rows, name, params, imbalance).predict(test_rows)
+        return pred.select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "id", "y", "pred",
+                           *(["prob"] if p.problem == "classification" else []))
+
+    made = at_once([partial(scored, name, params, *part) for name, params in models.items() for part in parts])
+    return staged(reduce(DataFrame.unionByName, made))
 
 
 # --- leave one out, in closed form ---------------------------------------------------------------------------
@@ -337,13 +350,15 @@ def leaderboard(df: DataFrame, target: str, problem: str, classes: dict[str, str
     options = {"test_size": 0.2, "stratify": True, "cv_folds": 0, "imbalance": "none", "seed": SEED, **kwargs.pop("options", {})}
     p = prepare(df, target, problem, classes, **kwargs)
     parts = staged(sampling.with_split(p.rows, options["test_size"], "__id", _strata(p, options["stratify"]), options["seed"], "__test"))
-    rows = []
-    for name in names:
+
+    def row(name: str) -> tuple:
         try:
             run = _train(p, parts, name, (params or {}).get(name), options)
-            rows.append((name, True, *[run.metrics[m] for m in shown], run.train_time, None))
+            return (name, True, *[run.metrics[m] for m in shown], run.train_time, None)
         except USER_ERRORS as error:
-            rows.append((name, False, *[None for _ in shown], None, str(error)))
+            return (name, False, *[None for _ in shown], None, str(error))
+
+    rows = at_once([partial(row, name) for name in names])
     schema = "model string, ok boolean, " + ", ".join(f"{m} double" for m in shown) + ", train_seconds double, error string"
     board = df.sparkSession.createDataFrame(rows, schema)
     return board.select("model", "ok", *[C.round_to(m, 4).alias(m) for m in shown], "train_seconds", "error").orderBy(

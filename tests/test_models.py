@@ -327,3 +327,33 @@ def test_queries_call_operators_with_defaults(spark, monkeypatch, name, module,
     with pytest.raises(Called) as call:
         driver.queries()[name](spark, driver.SMOKE_DIR)
     assert call.value.args[0] == given
+
+
+def test_codes_without_the_driver(clf, monkeypatch):
+    """Sparse vectors and the shuffled dictionary give what dense vectors and the broadcast one give; frequent, unknown and
+    null levels included."""
+    groups = {"standard": ["x1"], "robust": [], "minmax": [], "one_hot": ["cat", "k"], "ordinal": ["word"]}
+    rows = clf.withColumn("word", F.when(F.col("k") % 3 > 0, F.when(F.col("k") % 2 == 0, "often").otherwise(F.concat(F.lit("w."), "k"))))
+    odd = rows.unionByName(rows.limit(2).withColumns({"word": F.lit("new"), "cat": F.lit(None).cast("string"), "k": F.lit(-5).cast("long")}))
+    pre = features.fit_preprocessor(rows, groups)
+    values = lambda p: sorted((r.k, r.word, tuple(r.features.toArray().tolist())) for r in features.apply_preprocessor(p, odd).select(
+        "k", F.coalesce("word", F.lit("")).alias("word"), "features").collect())
+    whole = values(pre)
+    monkeypatch.setattr(features, "DENSE", 0)
+    monkeypatch.setattr(features, "FEW_LEVELS", 0)
+    monkeypatch.setattr(features, "HOT", 4)
+    made = features.apply_preprocessor(pre, odd)
+    assert type(made.first().features).__name__ == "SparseVector" and values(pre) == whole
+    assert len(whole[0][2]) == pre.size == 1 + 3 + 200 + 1 and pre.names([0, 1, pre.size - 1]) == ["x1", "cat_a", "word"]
+    words = sorted({r.word for r in rows.collect() if r.word})
+    assert {r[1]: r[2][-1] for r in whole if r[1]} == {**{w: float(i) for i, w in enumerate(words)}, "new": -1.0}
+
+
+def test_positions(spark):
+    from colscope.functions.running import positions
+
+    rows = spark.range(500).select((F.col("id") % 3).alias("g"), F.concat(F.lit("v"), F.col("id") % 50).alias("v"), "id")
+    found = positions(rows, ["g"], ["v", "id"]).collect()
+    for g in range(3):
+        own = sorted((r.v, r.id) for r in found if r.g == g)
+        assert sorted((r.place, r.v, r.id) for r in found if r.g == g) == [(i, *x) for i, x in enumerate(own)]

@@ -3,6 +3,7 @@ import math
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,13 +57,34 @@ def skewed(spark):
         F.floor(F.rand(2) * 40).cast("double").alias("y"), (F.col("id") % 7).cast("double").alias("z"))
 
 
-@pytest.mark.parametrize("limit", [0, 1, 50, 1_000_000])
-def test_percentiles_both_ways(spark, limit):
-    df = skewed(spark)
-    found = quantiles.exact_percentiles(df, {n: F.col(n) for n in "xyz"}, [0.0, 0.25, 0.5, 0.9, 1.0], limit)
-    pdf = df.toPandas()
-    for n in "xyz":
-        assert found[n] == pytest.approx(np.nanpercentile(pdf[n], [0, 25, 50, 90, 100]).tolist(), rel=1e-12)
+@pytest.mark.parametrize("few,sketch", [(1_000, 4_096), (0, 4_096), (0, 8)])
+def test_percentiles(spark, monkeypatch, few, sketch):
+    """Values all looked at, bracketed by a good sketch, and by one so small that brackets miss."""
+    monkeypatch.setattr(quantiles, "FEW", few)
+    monkeypatch.setattr(quantiles, "SKETCH", sketch)
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"x": rng.normal(size=3000), "y": rng.integers(0, 3, 3000).astype(float), "z": np.where(rng.random(3000) < 0.5, np.nan, rng.random(3000) * 1e6),
+                        "one": np.where(np.arange(3000) == 7, 5.0, np.nan), "none": np.full(3000, np.nan), "far": np.where(np.arange(3000) < 2, np.inf, rng.random(3000))})
+    df = spark.createDataFrame(pdf)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 0.99, 1.0]
+    found = quantiles.exact_percentiles(df, {n: F.col(n) for n in pdf}, probs)
+    assert found["none"] == [None] * len(probs)
+    for n in ("x", "y", "z", "one"):
+        assert found[n] == pytest.approx(np.nanpercentile(pdf[n], [100 * q for q in probs]).tolist(), rel=1e-12)
+    assert found["far"][:5] == pytest.approx(np.percentile(pdf["far"], [100 * q for q in probs[:5]]).tolist(), rel=1e-12)
+    assert quantiles.exact_percentiles(df.limit(0), {"x": F.col("x")}, [0.5]) == {"x": [None]}
+
+
+def test_percentiles_take_two_scans(spark, tmp_path, monkeypatch):
+    """Whatever the number of columns, and however many rows share a value."""
+    spark.range(20_000).select(*[F.when(F.rand(i) < 0.5, 7.0).otherwise(F.rand(100 + i)).alias(f"c{i}") for i in range(12)]).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    scans = []
+    agg, made = type(df).agg, quantiles.staged
+    monkeypatch.setattr(type(df), "agg", lambda self, *a: (scans.append(1) if str(tmp_path) in str(self.inputFiles()) else None, agg(self, *a))[1])
+    monkeypatch.setattr(quantiles, "staged", lambda d, **k: (scans.append(1) if str(tmp_path) in str(d.inputFiles()) else None, made(d, **k))[1])
+    found = quantiles.exact_percentiles(df, {c: F.col(c) for c in df.columns}, [0.25, 0.75])
+    assert len(scans) == 2 and all(v[1] == 7.0 and v[0] < 1 for v in found.values())
 
 
 @pytest.mark.parametrize("rows", [0, None])
