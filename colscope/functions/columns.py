@@ -114,24 +114,36 @@ DATE_FORMATS = [
 ]
 # Cheap first look: digits, a separator, something short, a separator, a digit; or a month name and a day.
 DATE_LIKE = r"^(\d{1,4}[-/. ][0-9A-Za-z]{1,3}[-/. ]\d|[A-Za-z]{3,9} \d)"
+LIKELY = f"^[{WHITESPACE}]*{DATE_LIKE[1:]}"
 # Dates that can only have the day first, or only the month.
 DAY_OR_MONTH = (r"^(1[3-9]|2\d|3[01])([/-])(0?[1-9]|1[0-2])\2\d{4}\b", r"^(0?[1-9]|1[0-2])([/-])(1[3-9]|2\d|3[01])\2\d{4}\b")
 ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}.*)?$"
 
 
+def _parsed(s: Column, formats: list[tuple[str, str]], native: bool) -> Column:
+    """Stripped text to timestamp by (shape, format), and by the native reader for ISO dates."""
+    out = F.when(s.rlike(ISO_DATE), s.try_cast("timestamp")) if native else F.when(F.lit(False), F.lit(None).cast("timestamp"))
+    for shape, one in formats:
+        out = out.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(one)))
+    return out
+
+
 def as_timestamp(c: Column, day_first: bool = False) -> Column:
     """Text to timestamp by an explicit list of formats; null where none fits. Where month and day could change places,
-    `day_first` decides for all values alike."""
-    s = F.btrim(c, F.lit(WHITESPACE))
-    out = F.when(s.rlike(ISO_DATE), s.try_cast("timestamp"))
-    for shape, formats in DATE_FORMATS:
-        out = out.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(formats[-1 if day_first else 0])))
-    return F.when(s.rlike(DATE_LIKE), out)
+    `day_first` decides for all values alike. Only text that starts like a date is stripped and looked at further."""
+    formats = [(shape, formats[-1 if day_first else 0]) for shape, formats in DATE_FORMATS]
+    return F.when(c.rlike(LIKELY), _parsed(strip(c), formats, True))
 
 
 def date_like(c: Column) -> Column:
-    """How many values of a text column are dates, in the order of month and day that suits more of them."""
-    return F.greatest(*[F.count_if(as_timestamp(c, order).isNotNull()) for order in (False, True)])
+    """How many values of a text column are dates, in the order of month and day that suits more of them. Only the forms in
+    which these could change places are read twice."""
+    def count(formats: list[tuple[str, str]], native: bool) -> Column:
+        return F.count_if(c.rlike(LIKELY) & _parsed(strip(c), formats, native).isNotNull())
+
+    turned = [(shape, formats) for shape, formats in DATE_FORMATS if len(formats) > 1]
+    return count([(shape, f[0]) for shape, f in DATE_FORMATS if len(f) == 1], True) + F.greatest(
+        *[count([(shape, f[k]) for shape, f in turned], False) for k in (0, 1)])
 
 
 def day_first(df: DataFrame, names: list[str]) -> set[str]:
@@ -238,6 +250,19 @@ def value_counts(df: DataFrame, names: list[str], short: bool = False) -> DataFr
     return counts.select("column", F.coalesce("text", F.col("long").cast("string"), F.col("double").cast("string")).alias("value"), "n")
 
 
+def modes(df: DataFrame, names: list[str]) -> dict[str, object]:
+    """{column: most frequent value, the least of several}, from one scan of all columns; numbers as such, others as text."""
+    keys, slots = {}, {}
+    for name in names:
+        t = type_of(df, name)
+        key = as_text(df, name) if is_nested(t) else col(name)
+        keys[name], slots[name] = F.when(~F.isnan(key), key) if is_float(t) else key, _slot_of(t)
+    counts = _keyed(df, keys, slots).groupBy("column", "long", "double", "text").agg(F.count("*").alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("n"), "long", "double", "text")).alias("best")
+    rows = counts.groupBy("column").agg(best).select("column", "best.*").collect()  # a row a column
+    return {r["column"]: next(v for v in (r["long"], r["double"], r["text"]) if v is not None) for r in rows}
+
+
 def number_counts(df: DataFrame, names: list[str]) -> DataFrame:
     """(column, value, n) with values as doubles."""
     entries = [F.struct(F.lit(n).alias("column"), number(df, n).alias("value")) for n in names]

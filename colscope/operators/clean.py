@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colscope.functions import columns as C
 from colscope.functions.quantiles import exact_percentiles
@@ -46,11 +47,10 @@ def fills(df: DataFrame, strategies: dict[str, str], classes: dict[str, str]) ->
     if medians:
         found = exact_percentiles(df, {n: C.number(df, n) for n in medians}, [0.5])
         out.update({n: ("median", v[0]) for n, v in found.items()})
-    for n in common:
-        counts = df.select(C.col(n).alias("value")).dropna().groupBy("value").agg(F.count("*").alias("n"))
-        best = counts.agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("best")).first()["best"]
-        if best is not None:
-            out[n] = ("mode", best["value"])
+    if common:
+        for n, value in C.modes(df, common).items():
+            flag = isinstance(C.type_of(df, n), T.BooleanType)
+            out[n] = ("mode", value == "true" if flag else value)
     return {n: v for n, v in out.items() if v[1] is not None}
 
 

@@ -11,6 +11,15 @@ from colscope.functions import columns as C
 BOOLEAN_PAIRS = [("true", "false"), ("yes", "no"), ("y", "n"), ("t", "f"), ("male", "female"), ("m", "f")]
 
 
+SHORT = 64
+
+
+def _short_word(c: Column) -> Column:
+    """Stripped and in lower case; of a long text its start and a mark, which sorts as the whole would beside short words."""
+    start = C.strip(F.substring(c, 1, SHORT))
+    return F.when((F.length(c) > SHORT) & (start != ""), F.concat(F.lower(start), F.lit("…"))).otherwise(F.lower(C.strip(c)))
+
+
 def column_facts(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Everything one scan can tell about each column; one row per column."""
     rows = []
@@ -22,7 +31,7 @@ def column_facts(df: DataFrame, names: list[str] | None = None) -> DataFrame:
         c = C.col(name)
         present = c.isNotNull() & ~F.isnan(c) if C.is_float(t) else c.isNotNull()
         x = C.number(df, name)
-        word = F.lower(C.strip(c)) if kind == "string" else None
+        word = _short_word(c) if kind == "string" else None
         if kind == "boolean":
             word = c.cast("string")
         null_d, null_s = F.lit(None).cast("double"), F.lit(None).cast("string")

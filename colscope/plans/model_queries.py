@@ -363,7 +363,7 @@ def learner_facts(t, name, params=None):
 
 
 for _name, _params in (("logistic_regression", None), ("decision_tree", None), ("random_forest", {"n_estimators": 50, "max_depth": 10}), ("gradient_boosting", {"n_estimators": 20}),
-                       ("naive_bayes", None), ("linear_svm", None), ("ada_boost", {"n_estimators": 10}), ("nearest_neighbours", None), ("neural_network", None)):
+                       ("naive_bayes", None), ("linear_svm", {"max_iter": 10}), ("ada_boost", {"n_estimators": 10}), ("nearest_neighbours", None), ("neural_network", None)):
     query(f"facts_{_name}", "select count(*) as rows, true as chances_add_up, true as mostly_right, true as right_column_leads, true as importances_add_up from orders")(
         lambda t, name=_name, params=_params: learner_facts(t, name, params))
 query("tuned_ridge", "select 4 as cells, true as in_order, true as spread_known")(lambda t: _tuned(t))

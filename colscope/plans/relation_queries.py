@@ -294,6 +294,10 @@ query("top_bigrams", top_sql("text", ngrams_sql("documents", "text", 2), 15))(
     lambda t: placed(text.top_terms(text.ngram_counts(t.documents, ["text"], 2), 15)))
 query("top_trigrams", top_sql("text", ngrams_sql("conversations", "text", 3), 15))(
     lambda t: placed(text.top_terms(text.ngram_counts(t.conversations, ["text"], 3), 15)))
+query("top_bigrams_across_rows", top_sql("text", f"""(select value || ' ' || after as value from (
+      select value, lead(value) over (order by doc_id, i) as after from (
+        select doc_id, unnest(w) as value, generate_subscripts(w, 1) as i from (select doc_id, {WORDS.format(c="text")} as w from documents))) where after is not null)""", 15))(
+    lambda t: placed(text.top_terms(text.ngram_counts(t.documents, ["text"], 2, across_rows="doc_id"), 15)))
 query("text_analysis_pages", f"""select * from (
       select 'html' as "column", {r("avg(length(html))", 1)} as avg_length, max(length(html)) as max_length, min(length(html)) as min_length from pages)
       join (select 'html' as "column", count(*) as total_words, count(distinct value) as vocabulary_size from {words_sql("pages", "html")}) using ("column")""")(
