@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colscope.functions import columns as C
-from colscope.functions.staging import shared_folder, staged
+from colscope.functions.running import running_totals
+from colscope.functions.staging import discard, shared_folder, staged
 from colscope.operators.neighbours import k_nearest
 
 SEED = 42
@@ -400,13 +401,35 @@ def _samme(train: DataFrame, params: dict, classes: int, weight: str | None) ->
     return out
 
 
+DRAWS_A_BUCKET = 16
+
+
+def drawn_counts(rows: DataFrame, seed: int) -> DataFrame:
+    """(id, n): how often each row of (id, _w) is drawn in as many draws with replacement as there are rows, in proportion to
+    the weights. Draws are hashes of the seed and their number; each falls into the stretch of running weight of one row, in
+    order of id, so they don't depend on partitioning. Both sides meet in buckets of a few stretches and draws."""
+    placed = staged(running_totals(rows.select("id", "_w"), "id", {"before": "_w"}))
+    count, total = placed.agg(F.count("*"), F.max("before_all")).first()
+    buckets = max(1, count // DRAWS_A_BUCKET)
+    low, high = F.col("before") / total * buckets, (F.col("before") + F.col("_w")) / total * buckets
+    stretches = placed.select("id", low.alias("low"), high.alias("high")).filter("high > low")
+    stretches = stretches.withColumn("bucket", F.explode(F.sequence(F.floor("low"), F.floor("high"))))
+    u = F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11).cast("double") / float(1 << 53) * buckets
+    draws = rows.sparkSession.range(count).select(u.alias("u")).withColumn("bucket", F.floor("u"))
+    hits = draws.join(stretches, "bucket").filter((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
+    return hits.groupBy("id").agg(F.count("*").cast("double").alias("n"))
+
+
 def _adaboost_r2(train: DataFrame, params: dict, classes: int, weight: str | None) -> Ensemble:
-    """Depth-3 trees on reweighted rows; rows with small errors lose weight."""
+    """Depth-3 trees, each on rows drawn with replacement by their weights; rows with small errors lose weight."""
     out = Ensemble("regression", 0)
     rows = staged(train.withColumn("_w", F.lit(1.0)))
     rate = float(params["learning_rate"])
     for i in range(int(params["n_estimators"])):
-        tree = mr.DecisionTreeRegressor(maxDepth=3, weightCol="_w", seed=SEED, **COLUMNS).fit(rows)
+        counts = drawn_counts(rows, SEED + i).withColumnRenamed("id", "_drawn")
+        sample = staged(rows.join(counts, F.col("id") == F.col("_drawn")).select("y", "features", "n"))
+        tree = mr.DecisionTreeRegressor(maxDepth=3, weightCol="n", seed=SEED, **COLUMNS).fit(sample)
+        discard(sample)
         guessed = tree.transform(rows).withColumn("_e", F.abs(F.col("y") - F.col("pred")))
         sums = guessed.agg(F.max("_e").alias("most"), F.sum(F.col("_w") * F.col("_e")).alias("bad"), F.sum("_w").alias("all")).first()
         loss = sums["bad"] / sums["all"] / sums["most"] if sums["most"] else 0.0

@@ -357,3 +357,19 @@ def test_positions(spark):
     for g in range(3):
         own = sorted((r.v, r.id) for r in found if r.g == g)
         assert sorted((r.place, r.v, r.id) for r in found if r.g == g) == [(i, *x) for i, x in enumerate(own)]
+
+
+def test_weighted_draws(spark):
+    """As many draws as rows, in proportion to the weights, the same however the rows are dealt out; and by a reference that
+    walks the running weights in memory."""
+    rows = spark.range(2_000).select("id", F.when(F.col("id") == 7, 500.0).when(F.col("id") % 2 == 0, 0.0).otherwise(1.0).alias("_w"))
+    one = {r.id: r.n for r in learners.drawn_counts(rows, 3).collect()}
+    assert one == {r.id: r.n for r in learners.drawn_counts(rows.repartition(13, "_w", "id"), 3).collect()}
+    assert sum(one.values()) == 2_000 and all(i % 2 for i in one)
+    weights = np.array([500.0 if i == 7 else float(i % 2) for i in range(2_000)])
+    hashes = [r.h for r in spark.range(2_000).select(F.shiftrightunsigned(F.xxhash64("id", F.lit(3)), 11).alias("h")).collect()]
+    ends = np.cumsum(weights)
+    reference = np.bincount(np.searchsorted(ends / ends[-1], np.array(hashes) / 2**53, side="right"), minlength=2_000)
+    assert {i: float(n) for i, n in enumerate(reference) if n} == one
+    assert abs(one[7] / 2_000 - 500 / weights.sum()) < 0.05
+    assert one != {r.id: r.n for r in learners.drawn_counts(rows, 4).collect()}
