@@ -88,13 +88,13 @@ def chi2_upper(x: float, dof: float) -> float:
     return gamma_upper(dof / 2, x / 2)
 
 
-# Above this sample size the reference distribution of the two-sample test is the limiting one.
+# Above this sample size the reference distribution of the two-sample test is the limiting one, unless told otherwise.
 KS_EXACT_ROWS = 10_000
 
 
-def ks_two_sided(d: float, n1: int, n2: int) -> float:
-    """Two-sample Kolmogorov-Smirnov p: exact path counting for small samples, else the limit law."""
-    if max(n1, n2) <= KS_EXACT_ROWS:
+def ks_two_sided(d: float, n1: int, n2: int, exact_rows: int = KS_EXACT_ROWS) -> float:
+    """Two-sample Kolmogorov-Smirnov p: exact path counting up to `exact_rows` a side, else the limit law."""
+    if max(n1, n2) <= exact_rows:
         return _ks_exact(d, n1, n2)
     root = math.sqrt(n1 * n2 / (n1 + n2))
     lam = (root + 0.12 + 0.11 / root) * d
@@ -145,5 +145,5 @@ def chi2_p_value(x, dof):
     return _udf(lambda v, d, _: chi2_upper(v, d))(x, dof, F.lit(0.0))
 
 
-def ks_p_value(d, n1, n2):
-    return _udf(lambda v, a, b: ks_two_sided(v, int(a), int(b)))(d, n1, n2)
+def ks_p_value(d, n1, n2, exact_rows: int = KS_EXACT_ROWS):
+    return _udf(lambda v, a, b: ks_two_sided(v, int(a), int(b), exact_rows))(d, n1, n2)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from colscope.functions import columns as C
 from colscope.functions.running import running_totals
-from colscope.functions.tails import ks_p_value
+from colscope.functions.tails import KS_EXACT_ROWS, ks_p_value
 
 OVERLAP_COLUMNS = 5
 
@@ -45,8 +45,9 @@ def column_sets(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def distribution_shifts(a: DataFrame, b: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov test of each shared number column with three values on both sides."""
+def distribution_shifts(a: DataFrame, b: DataFrame, names: list[str] | None = None, exact_rows: int = KS_EXACT_ROWS) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov test of each shared number column with three values on both sides. p is exact up to
+    `exact_rows` values on either side, beyond it follows the limit law."""
     shared = common_columns(a, b)
     both = [n for n in shared if n in C.numeric_columns(a) and n in C.numeric_columns(b)]
     names = names if names is not None else both
@@ -63,7 +64,7 @@ def distribution_shifts(a: DataFrame, b: DataFrame, names: list[str] | None = No
         return C.tidy(df, [F.struct(F.lit(n).alias("column"), F.avg(C.number(df, n)).alias(f"mean_{side}"),
                                     F.stddev_samp(C.number(df, n)).alias(f"std_{side}")) for n in names])
 
-    p = ks_p_value(F.col("d"), F.col("n_a").cast("double"), F.col("n_b").cast("double"))
+    p = ks_p_value(F.col("d"), F.col("n_a").cast("double"), F.col("n_b").cast("double"), exact_rows)
     return (
         d.join(moments(a, "a"), "column").join(moments(b, "b"), "column").withColumn("p", p)
         .select("column", *[C.round_to(m, 4).alias(m) for m in ("mean_a", "mean_b", "std_a", "std_b")],
