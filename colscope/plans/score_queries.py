@@ -9,6 +9,7 @@ from colscope.operators import clean, correlation, outliers, profile, quality, r
 from colscope.plans.profile_queries import (
     HASH, LABELLED, LABELLED_SQL, LINEITEM, ORDERS, categorical_sql, labelled, moments_sql, outlier_sql, profile_sql)
 from colscope.plans.registry import query, r, rounded
+from colscope.plans.relation_queries import ORDER_SIZES_SQL, PAIRS_SQL, SIZES, order_sizes
 
 DOC_FACTS = [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"),
              ("quality", "int"), ("toxic", "int")]
@@ -135,6 +136,12 @@ query("headline", f"""
     lambda t: score.headline(quality.missing_values(docs(t)), outliers.outlier_table(docs(t), ["n_chars", "doc_id"]),
                              correlation.high_pairs(correlation.pearson(docs(t), ["doc_id", "n_chars", "quality", "toxic"]))))
 
+query("headline_sizes", f"""
+      (select 'outliers' as kind, "column" as item, outlier_pct as amount from ({outlier_sql(ORDER_SIZES_SQL, SIZES)}) order by outlier_pct desc, "column" limit 5)
+      union all (select 'correlation', col_a || '~' || col_b as item, {r("r")} as amount from ({PAIRS_SQL}) where abs(r) > 0.8 order by abs(amount) desc, item limit 5)""")(
+    lambda t: score.headline(quality.missing_values(order_sizes(t)), outliers.outlier_table(order_sizes(t), SIZES),
+                             correlation.high_pairs(correlation.pearson(order_sizes(t), SIZES))))
+
 # --- cleaning ----------------------------------------------------------------------------------------------
 
 # Labelled languages with repeated rows and untidy spelling.
