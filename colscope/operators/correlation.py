@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colscope.functions import columns as C
+from colscope.functions.lookups import looked_up
 from colscope.functions.running import average_ranks, running_totals
 from colscope.functions.staging import staged
 
@@ -41,17 +42,17 @@ def pearson(df: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 
 def with_ranks(df: DataFrame, names: list[str]) -> DataFrame:
-    """Replace each column by its average ranks. Ranks come from the value counts and are joined back."""
+    """Replace each column by its average ranks. Ranks come from the value counts and are looked up, frequent values apart."""
     ranks = staged(average_ranks(C.number_counts(df, names), by=["column"]))
     out = df
     for i, n in enumerate(names):
-        mine = ranks.filter(F.col("column") == n).select(F.col("value").alias(f"_v{i}"), F.col("rank").alias(f"_r{i}"))
-        out = out.join(mine, C.col(n) == F.col(f"_v{i}"))
+        out = looked_up(out, ranks.filter(F.col("column") == n), {"value": C.col(n)}, "rank", f"_r{i}")
     return out.select(*[F.col(f"_r{i}").alias(n) for i, n in enumerate(names)])
 
 
 def spearman(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Columns without nulls are ranked once; a pair with nulls is ranked within its complete rows."""
+    """Columns without nulls are ranked once; the pairs with nulls are ranked within their complete rows, all of them in one
+    table of (pair, side, value)."""
     names = names if names is not None else C.numeric_columns(df)
     x = _numbers(df, names)
     filled = x.agg(F.count("*").alias("rows"), *[F.count(C.col(n)).alias(f"c{i}") for i, n in enumerate(names)]).first()
@@ -59,13 +60,25 @@ def spearman(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     parts = []
     if len(full) >= 2:
         parts.append(_correlate("spearman", with_ranks(x.select(*map(C.col, full)), full), list(combinations(full, 2))))
-    for a, b in combinations(names, 2):
-        if a not in full or b not in full:
-            complete = x.select(C.col(a), C.col(b)).dropna()
-            parts.append(_correlate("spearman", with_ranks(complete, [a, b]), [(a, b)]))
+    rest = [(a, b) for a, b in combinations(names, 2) if a not in full or b not in full]
+    if rest:
+        parts.append(_spearman_with_nulls(x, rest))
     return reduce(DataFrame.unionAll, parts)
 
 
+def _spearman_with_nulls(x: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    entries = [F.struct(F.lit(i).alias("pair"), C.col(a).alias("a"), C.col(b).alias("b")) for i, (a, b) in enumerate(pairs)]
+    rows = staged(x.select(F.inline(F.array(*entries))).dropna())
+    sides = rows.select("pair", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("value")), F.struct(F.lit(1).alias("side"), F.col("b").alias("value")))))
+    counts = sides.groupBy("pair", "side", "value").agg(F.count("*").alias("n"))
+    ranks = staged(average_ranks(counts, by=["pair", "side"]))
+    for side, column in enumerate("ab"):
+        rows = looked_up(rows, ranks.filter(F.col("side") == side), {"pair": F.col("pair"), "value": F.col(column)}, "rank", f"rank_{column}")
+    found = rows.groupBy("pair").agg(F.corr("rank_a", "rank_b").alias("r"))
+    every = x.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, col_a string, col_b string")
+    return every.join(found, "pair", "left").select(F.lit("spearman").alias("method"), "col_a", "col_b", "r")
+
+
 def kendall(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Tau-b of each pair."""
     names = names if names is not None else C.numeric_columns(df)

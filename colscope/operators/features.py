@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colscope.functions import columns as C
+from colscope.functions.lookups import looked_up
 from colscope.functions.quantiles import exact_percentiles
 from colscope.functions.running import positions
 from colscope.functions.staging import staged
 
 FEW_LEVELS = 20_000  # levels of a column, by keys of 65 characters at most, that are broadcast as a whole
-HOT = 1_000
 DENSE = 256  # slots up to which a vector holds its zeros
 
 
@@ -133,21 +133,14 @@ def fit_preprocessor(df: DataFrame, groups: dict[str, list[str]], output: str =
 
 
 def _coded(pre: Preprocessor, df: DataFrame, name: str, out: str) -> DataFrame:
-    """Add the code of a column's level, null for an unknown one. Few levels are broadcast. Of many, those that make up more
-    than one row in `HOT` are, and the rest are joined by shuffle, the rows that have found their code spread over it."""
+    """Add the code of a column's level, null for an unknown one. Few levels are broadcast as a
+    whole, of many the frequent ones."""
     level = F.coalesce(C.col(name).cast("string"), F.lit(pre.modes[name]))
     table = pre.levels.filter(F.col("column") == name).select(C.text_key(F.col("level")).alias("_level"), F.col("code").alias("_code"), "n")
     if pre.sizes[name] <= FEW_LEVELS:
         found = df.withColumn("_key", C.text_key(level)).join(F.broadcast(table.drop("n")), F.col("_key") == F.col("_level"), "left")
         return found.withColumn(out, F.col("_code")).drop("_key", "_level", "_code")
-    total = table.agg(F.sum("n")).first()[0]
-    frequent = F.col("n") > max(1, total // HOT)  # fewer than HOT levels
-    first = df.withColumn("_key", C.text_key(level)).join(F.broadcast(table.filter(frequent).select("_level", "_code")), F.col("_key") == F.col("_level"), "left")
-    first = first.withColumn(out, F.col("_code")).drop("_level", "_code")
-    spread = F.when(F.col(out).isNull(), F.col("_key")).otherwise(F.concat(F.lit("+"), F.xxhash64(*[C.col(c) for c in df.columns]).cast("string")))
-    rest = table.filter(~frequent).select("_level", "_code")
-    second = first.withColumn("_key", spread).join(rest, F.col("_key") == F.col("_level"), "left")
-    return second.withColumn(out, F.coalesce(out, "_code")).drop("_key", "_level", "_code")
+    return looked_up(df, table, {"_level": C.text_key(level)}, "_code", out)
 
 
 def apply_preprocessor(pre: Preprocessor, df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
+from colscope.functions import lookups
 from colscope.operators import cluster, features, forecast, learners, neighbours, rank, sampling, smote
 from colscope.plans import modelling
 
@@ -341,7 +342,7 @@ def test_codes_without_the_driver(clf, monkeypatch):
     whole = values(pre)
     monkeypatch.setattr(features, "DENSE", 0)
     monkeypatch.setattr(features, "FEW_LEVELS", 0)
-    monkeypatch.setattr(features, "HOT", 4)
+    monkeypatch.setattr(lookups, "HOT", 4)
     made = features.apply_preprocessor(pre, odd)
     assert type(made.first().features).__name__ == "SparseVector" and values(pre) == whole
     assert len(whole[0][2]) == pre.size == 1 + 3 + 200 + 1 and pre.names([0, 1, pre.size - 1]) == ["x1", "cat_a", "word"]
@@ -373,3 +374,29 @@ def test_weighted_draws(spark):
     assert {i: float(n) for i, n in enumerate(reference) if n} == one
     assert abs(one[7] / 2_000 - 500 / weights.sum()) < 0.05
     assert one != {r.id: r.n for r in learners.drawn_counts(rows, 4).collect()}
+
+
+@pytest.mark.parametrize("hot", [2, 1_000])
+def test_looked_up(spark, monkeypatch, hot):
+    """Frequent keys by broadcast, the others by shuffle, null and unknown keys without a value."""
+    monkeypatch.setattr(lookups, "HOT", hot)
+    rows = spark.range(1_000).select("id", F.when(F.col("id") % 2 == 0, 5.0).when(F.col("id") % 7 > 0, F.col("id").cast("double")).alias("k"))
+    table = rows.dropna().filter("k <> 9").groupBy(F.col("k").alias("value")).agg(F.count("*").alias("n")).withColumn("found", F.col("value") * 2)
+    out = lookups.looked_up(rows, table, {"value": F.col("k")}, "found", "f")
+    assert out.columns == ["id", "k", "f"]
+    assert all(r.f == (None if r.k in (None, 9.0) else 2 * r.k) for r in out.collect()) and out.count() == 1_000
+
+
+def test_rank_correlation_jobs_do_not_grow_with_columns(spark):
+    """As many jobs for ten columns with nulls as for three."""
+    from colscope.operators import correlation
+
+    rows = spark.range(300).select(*[F.when(F.rand(i) < 0.8, F.floor(F.rand(50 + i) * 9).cast("double")).alias(f"c{i}") for i in range(10)]).cache()
+    tracker, counts = spark.sparkContext.statusTracker(), []
+    for n in (3, 10):
+        spark.sparkContext.setJobGroup(f"ranks {n}", "ranks")
+        found = correlation.spearman(rows, [f"c{i}" for i in range(n)]).collect()
+        counts.append(len(tracker.getJobIdsForGroup(f"ranks {n}")))
+        assert len(found) == n * (n - 1) // 2 and all(r.r is not None for r in found)
+    spark.sparkContext.setJobGroup("", "")
+    assert counts[1] <= counts[0] + 3
