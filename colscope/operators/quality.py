@@ -64,15 +64,9 @@ def duplicate_columns(df: DataFrame) -> DataFrame:
 
 def _spellings(df: DataFrame) -> DataFrame:
     """Distinct (column, key, plain): each spelling's key and the key of its lower-cased, stripped form."""
-    parts = None
-    for name in C.string_columns(df):
-        part = df.select(
-            F.lit(name).alias("column"),
-            C.text_key(C.col(name)).alias("key"),
-            C.text_key(F.lower(C.strip(C.col(name)))).alias("plain"),
-        ).filter("key IS NOT NULL").distinct()
-        parts = part if parts is None else parts.unionAll(part)
-    return parts
+    entries = [F.struct(F.lit(n).alias("column"), C.text_key(C.col(n)).alias("key"), C.text_key(F.lower(C.strip(C.col(n)))).alias("plain"))
+               for n in C.string_columns(df)]
+    return df.select(F.inline(F.array(*entries))).filter("key IS NOT NULL").distinct()
 
 
 def case_inconsistency(df: DataFrame) -> DataFrame:
@@ -83,11 +77,8 @@ def case_inconsistency(df: DataFrame) -> DataFrame:
 
 def case_examples(df: DataFrame, groups: int = 5, spellings: int = 3) -> DataFrame:
     """(column, plain, spelling): a few groups per column, a few spellings per group, in value order."""
-    parts = None
-    for name in C.string_columns(df):
-        part = df.select(F.lit(name).alias("column"), C.col(name).alias("spelling")).dropna().distinct()
-        parts = part if parts is None else parts.unionAll(part)
-    rows = parts.withColumn("plain", F.lower(C.strip(F.col("spelling"))))
+    entries = [F.struct(F.lit(n).alias("column"), C.col(n).cast("string").alias("spelling")) for n in C.string_columns(df)]
+    rows = df.select(F.inline(F.array(*entries))).dropna().distinct().withColumn("plain", F.lower(C.strip(F.col("spelling"))))
     several = rows.groupBy("column", "plain").agg(F.count("*").alias("n")).filter("n > 1")
     first = W.partitionBy("column").orderBy("plain")
     chosen = several.withColumn("i", F.row_number().over(first)).filter(F.col("i") <= groups).select("column", "plain")

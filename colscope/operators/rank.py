@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,9 +83,8 @@ def binned(df: DataFrame, names: list[str], bins: int = BINS) -> DataFrame:
 
 def mutual_information(frame: DataFrame, names: list[str]) -> DataFrame:
     """(feature, score): information in nats shared by each discrete feature and a discrete y."""
-    joint = reduce(DataFrame.unionAll, [
-        frame.groupBy(C.col(n).cast("double").alias("x"), F.col("y").cast("string").alias("y"))
-        .agg(F.count("*").alias("n")).select(F.lit(n).alias("feature"), "x", "y", "n") for n in names])
+    entries = [F.struct(F.lit(n).alias("feature"), C.col(n).cast("double").alias("x"), F.col("y").cast("string").alias("y")) for n in names]
+    joint = frame.select(F.inline(F.array(*entries))).groupBy("feature", "x", "y").agg(F.count("*").alias("n"))
     per_x = joint.groupBy("feature", "x").agg(F.sum("n").alias("nx"))
     per_y = joint.groupBy("feature", "y").agg(F.sum("n").alias("ny"))
     total = joint.groupBy("feature").agg(F.sum("n").alias("total"))
