@@ -69,16 +69,37 @@ def step_length(numbered: DataFrame) -> DataFrame:
     return placed.groupBy("series").agg(((F.max(holds(low)) + F.max(holds(high))) / 2).alias("seconds"))
 
 
+def calendars(numbered: DataFrame) -> DataFrame:
+    """(series, last, seconds, calendar, months): the calendar that all dates of a series follow: `firsts` or `ends` of
+    months that lie `months` apart, `business` days, or `gap`, the median one."""
+    midnight = F.date_trunc("day", "date") == F.col("date")
+    day = F.datediff("date", F.lit("1970-01-01"))
+    facts = numbered.select("series", "t", "date", (12 * F.year("date") + F.month("date")).alias("m"), day.alias("d"),
+                            (midnight & (F.dayofmonth("date") == 1)).alias("first"), (midnight & (F.last_day("date") == F.to_date("date"))).alias("end"),
+                            (midnight & (F.weekday("date") < 5)).alias("work"))
+    steps = with_lags(with_lags(facts, "m", 1), "d", 1)
+    months, days = F.col("m") - F.col("m_1"), F.col("d") - F.col("d_1")
+    next_day = (days == 1) | ((days == 3) & (F.weekday("date") == 0))
+    per = steps.groupBy("series").agg(
+        F.max("date").alias("last"), F.bool_and("first").alias("firsts"), F.bool_and("end").alias("ends"), F.bool_and("work").alias("works"),
+        F.min(months).alias("least"), F.max(months).alias("most"), F.bool_and(F.coalesce(next_day, F.lit(True))).alias("daily"), F.max(days).alias("longest"))
+    even = (F.col("least") == F.col("most")) & (F.col("least") > 0)
+    kind = (F.when(F.col("firsts") & even, "firsts").when(F.col("ends") & even, "ends")
+            .when(F.col("works") & F.col("daily") & (F.col("longest") == 3), "business").otherwise("gap"))
+    return per.join(step_length(numbered), "series").select("series", "last", "seconds", kind.alias("calendar"), F.col("least").alias("months"))
+
+
 def future_dates(numbered: DataFrame, horizon: int = 30) -> DataFrame:
-    """(series, step, date) after the last date, by the median gap; calendar months when every date is a first."""
-    last = numbered.groupBy("series").agg(F.max("date").alias("last"),
-                                          F.bool_and((F.dayofmonth("date") == 1) & (F.hour("date") == 0)).alias("firsts"))
-    rows = last.join(step_length(numbered), "series").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
-    day = F.lit(86400)
-    months = F.add_months("last", F.col("step") * F.round(F.col("seconds") / day / 30.4).cast("int")).cast("timestamp_ntz")
+    """(series, step, date) after the last date, by the calendar of the series."""
+    rows = calendars(numbered).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    later = F.add_months("last", (F.col("step") * F.col("months")).cast("int"))
+    worked = F.weekday("last") + F.col("step")
+    work = F.date_add("last", (7 * F.floor(worked / 5) + worked % 5 - F.weekday("last")).cast("int"))
     plain = F.timestamp_micros(F.unix_micros(F.col("last").cast("timestamp")) + (F.col("step") * F.col("seconds") * 1e6).cast("long"))
-    monthly = F.col("firsts") & (F.col("seconds") >= 28 * 86400)
-    return rows.select("series", "step", F.when(monthly, months).otherwise(plain.cast("timestamp_ntz")).alias("date"))
+    kind = F.col("calendar")
+    date = (F.when(kind == "firsts", later.cast("timestamp_ntz")).when(kind == "ends", F.last_day(later).cast("timestamp_ntz"))
+            .when(kind == "business", work.cast("timestamp_ntz")).otherwise(plain.cast("timestamp_ntz")))
+    return rows.select("series", "step", date.alias("date"))
 
 
 def _least_squares(rows: DataFrame, y: str, xs: list[str], intercept: bool) -> DataFrame:

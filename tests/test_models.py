@@ -400,3 +400,17 @@ def test_rank_correlation_jobs_do_not_grow_with_columns(spark):
         assert len(found) == n * (n - 1) // 2 and all(r.r is not None for r in found)
     spark.sparkContext.setJobGroup("", "")
     assert counts[1] <= counts[0] + 3
+
+
+@pytest.mark.parametrize("freq,calendar", [("MS", "firsts"), ("ME", "ends"), ("QS", "firsts"), ("QE", "ends"), ("YS", "firsts"), ("B", "business"), ("D", "gap"), ("h", "gap"), ("2D", "gap"),
+                                           ("W-SUN", "gap")])
+def test_future_dates_follow_the_calendar(spark, freq, calendar):
+    """What a library that infers frequencies gives."""
+    import pandas as pd
+
+    dates = pd.date_range("2023-01-02", periods=14, freq=freq)
+    rows = spark.createDataFrame([(d.to_pydatetime(), float(i)) for i, d in enumerate(dates)], "d timestamp_ntz, v double")
+    numbered = forecast.numbered_points(forecast.series_points(rows, "d", "v"))
+    assert forecast.calendars(numbered).first().calendar == calendar
+    found = [r.date for r in forecast.future_dates(numbered, 9).orderBy("step").collect()]
+    assert found == [d.to_pydatetime() for d in pd.date_range(dates[-1], periods=10, freq=freq)[1:]]
