@@ -13,9 +13,8 @@ Anchors are taken in portions of bounded size that are broadcast, one scan of th
 A component x counts as floor(256 * x). A vector shorter than another counts as if it had zeros at its end. Rows with a null
 label, a null vector, or a null or non-finite component take no part. Scores are exact: in float32 or float64 where no sum
 can pass their whole numbers, else in Python integers; a score beyond a long is held to its range, and a positive with such a
-score finds no negatives. Ties go by id (null last), and by
-label for rows that share an id and score. Rows that repeat an id are rows of their own, as anchors too. Without anchors
-or rows the result is empty. Other columns are not read.
+score finds no negatives. Ties go by id (null last), and by label for rows that share an id and score. Rows that repeat an id
+are rows of their own, as anchors too. Without anchors or rows the result is empty. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ spaced addresses, addresses with letters beyond ASCII, IPv6, cards in dotted gro
 the base patterns match but their checks refuse). Each candidate becomes numbers about its form and its surroundings, and
 boosted trees, trained here, score it. Scores of labelled candidates that the trees haven't seen give a rising curve of
 precision for each kind, and from it the threshold above which a candidate is redacted. Base spans always stay. An added
-span that overlaps a base span, or one that starts further left (of those with one start the longer, then the better scored), is left out.
+span that overlaps a base span, or an added one that starts further left (of those with one start the longer, then the
+better scored), is left out.
 
 Labels come from two places: sentences written by hand, with random digits, and at most `SAMPLE` candidates of the corpus
 whose label is known by rule (base spans are right; matches that fail the base checks, and candidates that cut or stretch a
@@ -143,6 +144,7 @@ def _located(text: Column, hits: Column, g: Generator) -> Column:
     pattern matched it). Places come from the lengths of the matches and of what lies between them."""
     def candidates(gaps: Column) -> Column:
         both = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda gap, hit: F.length(gap) + F.length(hit))
+
         def one(end: Column, n: Column) -> Column:
             value = F.get(hits, n)
             return F.struct(F.lit(KINDS.index(g.kind)).alias("kind"), (end - F.length(value)).alias("start"), end.alias("end"),
@@ -363,21 +365,20 @@ def fitted(candidates: DataFrame, sample: int = SAMPLE, precision: float = PRECI
 
 def _chosen(candidates: Column, model: Model) -> Column:
     """Base spans, and added ones that overlap neither a base span nor an added one further left, by start."""
-    Spans = Column  # noqa: N806
 
     def placed(c: Column) -> Column:
         score = model.margin(c["features"])
         return let(score, lambda m: F.struct(c["start"].alias("start"), (-c["end"]).alias("back"), (-m).alias("worse"), c["kind"].alias("kind"),
                                              c["base"].alias("base"), (c["base"] | model.redacts(c, m)).alias("taken")))
 
-    def clear_of_base(s: Spans) -> Column:
+    def clear_of_base(s: Column) -> Column:
         ends = running(F.transform(s, lambda c: F.when(c["base"], -c["back"]).otherwise(0)), lambda a, b: F.greatest(a, b), 0)
         starts = F.reverse(running(F.reverse(F.transform(s, lambda c: F.when(c["base"], c["start"]).otherwise(2 ** 31 - 1))),
                                    lambda a, b: F.least(a, b), 2 ** 31 - 1))
         return let(ends, lambda e: let(starts, lambda b: F.filter(s, lambda c, n: c["base"] | (
             (F.get(e, n) <= c["start"]) & (F.get(b, n) >= -c["back"])))))
 
-    def leftmost(s: Spans) -> Column:
+    def leftmost(s: Column) -> Column:
         ends = earlier(running(F.transform(s, lambda c: F.when(c["base"], 0).otherwise(-c["back"])), lambda a, b: F.greatest(a, b), 0), 0)
         return let(ends, lambda e: F.filter(s, lambda c, n: c["base"] | (F.get(e, n) <= c["start"])))
 
