@@ -414,3 +414,13 @@ def test_future_dates_follow_the_calendar(spark, freq, calendar):
     assert forecast.calendars(numbered).first().calendar == calendar
     found = [r.date for r in forecast.future_dates(numbered, 9).orderBy("step").collect()]
     assert found == [d.to_pydatetime() for d in pd.date_range(dates[-1], periods=10, freq=freq)[1:]]
+
+
+def test_importances_of_rounds_without_a_split_add_up():
+    from types import SimpleNamespace
+
+    from pyspark.ml.linalg import Vectors
+
+    rounds = [SimpleNamespace(featureImportances=Vectors.dense(v)) for v in ([0.0, 1.0], [0.0, 0.0], [1.0, 0.0])]
+    assert learners.Ensemble("classification", 2, rounds, [3.0, 2.0, 1.0]).importances() == [0.25, 0.75]
+    assert learners.Ensemble("classification", 2, rounds[1:2], [2.0]).importances() == [0.0, 0.0]
