@@ -424,3 +424,29 @@ def test_importances_of_rounds_without_a_split_add_up():
     rounds = [SimpleNamespace(featureImportances=Vectors.dense(v)) for v in ([0.0, 1.0], [0.0, 0.0], [1.0, 0.0])]
     assert learners.Ensemble("classification", 2, rounds, [3.0, 2.0, 1.0]).importances() == [0.25, 0.75]
     assert learners.Ensemble("classification", 2, rounds[1:2], [2.0]).importances() == [0.0, 0.0]
+
+
+def test_neighbours_visit_few_cells_and_copy_few_rows(spark, monkeypatch):
+    """In a plane a row's five nearest lie in few other cells; where cells spare nothing, rows are copied for few blocks."""
+    monkeypatch.setattr(neighbours, "ROWS_PER_PIVOT", 20)
+    rng = np.random.default_rng(8)
+    x = frame(spark, rng.random((2_000, 2)))
+    cells = neighbours.Cells(x)
+    near = {r.id: r.distance for r in neighbours.k_nearest(x, x, 5, True).filter("place = 5").collect()}
+    asked = cells.placed(x).join(spark.createDataFrame(list(near.items()), "id long, bound double"), "id")
+    others = asked.select(F.size(cells.candidates(wanted=6)("v", "cell", "bound")).alias("n"))
+    assert len(cells.size) > 40 and others.agg(F.avg("n")).first()[0] < 6
+    held, seeking = neighbours._wide(x, 2_000, x.select(F.col("id").alias("qid"), F.col("v").alias("qv")), 2_000, 2, 16)
+    assert max(held.count(), seeking.count()) <= 2_000 * 6
+
+
+def test_distance_sums_with_copies(spark):
+    """Sums by brute force, with copies of a row in its own label and in others, far from the origin."""
+    rng = np.random.default_rng(9)
+    points = np.vstack([np.round(rng.random((60, 3)), 1), np.full((40, 3), 0.5)]) + 1_000
+    label = np.arange(100) % 3
+    x = frame(spark, points).withColumn("label", F.col("id") % 3)
+    got = {(r.id, r.label): r.total for r in neighbours.distance_sums(x, x).collect()}
+    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
+    assert len(got) == 300
+    assert all(got[i, c] == pytest.approx(d[i, label == c].sum(), rel=1e-9) for i in range(100) for c in range(3))
