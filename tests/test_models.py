@@ -450,3 +450,24 @@ def test_distance_sums_with_copies(spark):
     d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
     assert len(got) == 300
     assert all(got[i, c] == pytest.approx(d[i, label == c].sum(), rel=1e-9) for i in range(100) for c in range(3))
+
+
+def test_folds_and_vectors_once_for_all_learners(reg, monkeypatch):
+    """Learners and cells of a grid share the folds, and the preprocessor of each."""
+    calls = {"with_folds": 0, "fit_preprocessor": 0}
+
+    def counted(module, name):
+        real = getattr(module, name)
+
+        def run(*args, **kwargs):
+            calls[name] += 1
+            return real(*args, **kwargs)
+
+        monkeypatch.setattr(module, name, run)
+
+    counted(modelling.sampling, "with_folds")
+    counted(modelling.features, "fit_preprocessor")
+    made = modelling.test_and_score(reg, "target", "regression", {"constant": None, "linear_regression": None}, REG, {"k": 3}, refit=False, key="k")
+    assert calls == {"with_folds": 1, "fit_preprocessor": 3} and made.metrics.count() == 2
+    assert modelling.tune(reg, "target", "regression", "ridge", REG, cv=3, key="k").count() == 4
+    assert calls == {"with_folds": 2, "fit_preprocessor": 6}
