@@ -471,3 +471,12 @@ def test_folds_and_vectors_once_for_all_learners(reg, monkeypatch):
     assert calls == {"with_folds": 1, "fit_preprocessor": 3} and made.metrics.count() == 2
     assert modelling.tune(reg, "target", "regression", "ridge", REG, cv=3, key="k").count() == 4
     assert calls == {"with_folds": 2, "fit_preprocessor": 6}
+
+
+def test_parts_are_bounded(spark, monkeypatch):
+    """What a task of a fit holds doesn't grow with the table."""
+    monkeypatch.setattr(modelling, "PART_DOUBLES", 1_000)
+    rows = spark.range(4_000).select("id", F.lit(0.0).alias("y"), array_to_vector(F.array(F.col("id").cast("double"), F.lit(1.0))).alias("features"))
+    spread = modelling.spread_out(rows)
+    most = max(spread.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect())
+    assert spread.count() == 4_000 and most * 4 <= 2_000
