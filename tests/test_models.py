@@ -480,3 +480,33 @@ def test_parts_are_bounded(spark, monkeypatch):
     spread = modelling.spread_out(rows)
     most = max(spread.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect())
     assert spread.count() == 4_000 and most * 4 <= 2_000
+
+
+@pytest.mark.parametrize("problem", ["regression", "classification"])
+def test_a_tree_on_weighted_distinct_rows_is_the_tree_on_all(spark, monkeypatch, problem):
+    y = F.col("a") * 3 + F.col("b") * F.col("b") + F.col("id") % 3 if problem == "regression" else ((F.col("a") + F.col("b") + F.col("id") % 2) > 5).cast("double")
+    rows = spark.range(3_000).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"))
+    rows = rows.select("id", y.alias("y"), array_to_vector(F.array("a", "b")).alias("features"))
+    few, _ = learners.alike(rows, 3_000, None, problem)
+    assert few.count() <= 70 and few.agg(F.sum("_n")).first()[0] == 3_000
+    grouped = learners.fit(problem, "decision_tree", rows, classes=2)
+    monkeypatch.setattr(learners, "ALIKE", 10_000)
+    whole = learners.fit(problem, "decision_tree", rows, classes=2)
+    assert whole.model.numNodes == grouped.model.numNodes
+    assert grouped.importances() == pytest.approx(whole.importances())
+    both = grouped.predict(rows).select("id", F.col("pred").alias("g")).join(whole.predict(rows).select("id", "pred"), "id")
+    assert both.filter(F.abs(F.col("g") - F.col("pred")) > 1e-9).isEmpty()
+
+
+@pytest.mark.parametrize("problem", ["regression", "classification"])
+def test_forest_in_portions(spark, monkeypatch, tmp_path, problem):
+    rows = spark.range(400).select("id", F.when(F.col("id") % 20 > 9, 1.0).otherwise(0.0).alias("y"),
+                                   array_to_vector(F.array((F.col("id") % 20).cast("double"), (F.col("id") % 3).cast("double"))).alias("features"))
+    monkeypatch.setattr(learners, "DRAWN", 400 * 3)
+    model = learners.fit(problem, "random_forest", rows, {"n_estimators": 7, "max_depth": 4}, 2)
+    assert model.weights == [3.0, 2.0, 2.0] and [m.getNumTrees for m in model.models] == [3, 2, 2]
+    assert sum(model.importances()) == pytest.approx(1) and model.importances()[0] > 0.9
+    learners.save(model, str(tmp_path / "m"))
+    for m in (model, learners.load(spark, str(tmp_path / "m"))):
+        out = m.predict(rows)
+        assert out.filter(F.abs(F.col("pred") - F.col("y")) > 0.5).isEmpty() and ("prob" in out.columns) == (problem == "classification")
