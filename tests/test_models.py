@@ -2,11 +2,13 @@ import inspect
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from colscope.functions import lookups
+from colscope.functions.staging import staged
 from colscope.operators import cluster, features, forecast, learners, neighbours, rank, sampling, smote
 from colscope.plans import modelling
 
@@ -510,3 +512,31 @@ def test_forest_in_portions(spark, monkeypatch, tmp_path, problem):
     for m in (model, learners.load(spark, str(tmp_path / "m"))):
         out = m.predict(rows)
         assert out.filter(F.abs(F.col("pred") - F.col("y")) > 0.5).isEmpty() and ("prob" in out.columns) == (problem == "classification")
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_network_by_passes_over_blocks(spark, monkeypatch, few):
+    """Weights are laid out as Spark's, the gradient is that of the cost, and the fit is no worse than by Spark's own trainer."""
+    rows = spark.range(1, 801).select("id", (F.xxhash64("id") % 100 / 50.0).alias("a"), (F.xxhash64("id", F.lit(1)) % 100 / 50.0).alias("b"))
+    train = staged(rows.withColumn("y", F.when(F.col("a") * F.col("b") > 0, 1.0).when(F.col("a") > 1, 2.0).otherwise(0.0)).select(
+        "id", "y", array_to_vector(F.array("a", "b")).alias("features")).repartition(3, "id"))
+    layers = [2, 7, 5, 3]
+    plain = MultilayerPerceptronClassifier(layers=layers, maxIter=40, seed=learners.SEED, **learners.COLUMNS).fit(train)
+    blocks = learners.packed(train, 64)
+    assert blocks.count() >= 800 // 64 and blocks.agg(F.sum(F.length("y"))).first()[0] == 800 * 8
+    w = plain.weights.toArray()
+    cost, slope = learners.network_cost(blocks, layers, w, few)
+    chance = plain.transform(train).select(F.avg(-F.log(F.get(vector_to_array("probability"), F.col("y").cast("int")))).alias("c"))
+    assert cost == pytest.approx(chance.first()[0], rel=1e-4)
+    for i in (0, 9, 25, len(w) - 1):
+        step = np.zeros(len(w))
+        step[i] = 1e-2
+        ahead, back = (learners.network_cost(blocks, layers, w + s, few)[0] for s in (step, -step))
+        assert (ahead - back) / 2e-2 == pytest.approx(slope[i], abs=2e-4)
+    passes = []
+    one = learners.network_cost
+    monkeypatch.setattr(learners, "network_cost", lambda blocks, layers, w, f: passes.append(1) or one(blocks, layers, w, few))
+    made = learners.fit("classification", "neural_network", train, {"hidden_layer_sizes": "7,5", "max_iter": 40}, 3)
+    assert 10 < len(passes) < 80
+    assert one(blocks, layers, made.model.weights.toArray())[0] < 1.2 * cost + 0.02
+    assert made.predict(train).filter("pred is not null").count() == 800
