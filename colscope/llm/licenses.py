@@ -200,8 +200,8 @@ PHRASES = (
     Signature("epl-2", "(?:www )?eclipse org legal epl (?:2 0|v20)", "eclipse org legal", 0), Signature("epl-1", "(?:www )?eclipse org legal epl v10", "eclipse org legal", 0),
     # sentences that deny a license: they suppress what they span, and have no label
     Signature(NONE, "(?:not|never|no longer|isn t|aren t) (?:licen[cs]ed|released|distributed|available|published|covered) (?:under|by) (?:[^ ]+ ){1,8}?licen[cs]e(?: v?(?:ersion )?[0-9](?: [0-9])?)?",
-              " under ", 0),
-    Signature(NONE, "(?:not|never|no longer) (?:licen[cs]ed|covered|governed) by (?:[^ ]+ ){1,8}?licen[cs]e", " by ", 0),
+              "licen", 0),
+    Signature(NONE, "(?:not|never|no longer) (?:licen[cs]ed|covered|governed) by (?:[^ ]+ ){1,8}?licen[cs]e", "licen", 0),
     Signature(NONE, "(?:not |in)compatible with (?:[^ ]+ ){1,8}?licen[cs]e(?: v?(?:ersion )?[0-9](?: [0-9])?)?", "compatible with", 0),
 )
 
@@ -268,7 +268,7 @@ def scanned(docs: DataFrame, rules: list[Signature] | None = None, id: str = "do
             F.lit(r.priority).alias("priority")))
     table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*v).alias("rules")) for k, v in families.items()])
     hit = F.filter(table, lambda f: F.contains(F.col("norm"), f["keyword"]))
-    able = F.flatten(F.transform(hit, lambda f: f["rules"]))
+    able = F.filter(F.flatten(F.transform(hit, lambda f: f["rules"])), lambda s: F.regexp_like(F.col("norm"), s["pattern"]))  # most don't match
     found = F.sort_array(F.flatten(F.transform(able, lambda s: _matches(F.col("norm"), s))))
     none = F.array().cast("array<struct<start:bigint,minus_end:bigint,priority:int,id:int,label:string>>")
     rows = norm.select("doc_id", F.inline(F.array(F.struct(

@@ -163,6 +163,9 @@ def test_license_keywords(spark):
     lost = [t for n, (r, t) in enumerate(zip(rules, texts, strict=True))
             if (1, t.count(" ") - 1, r.label, r.priority) not in {tuple(d) for d in found[n].detections}]
     assert lost == []
+    texts = ["It is not distributed by the GPL license", "never published by us, but by the BSD license"]  # denied without the word under
+    found = by_id(licenses.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [licenses.NONE in {d.label for d in found[n].detections} for n in range(2)] == [True, True] and found[0].labels == ""
     texts = ["Released under the MIT.", "distributed under the terms of the MIT, see the file", "It is subject to MIT no attribution", "mit Freunden"]
     found = by_id(licenses.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
     assert [found[n].labels for n in range(4)] == ["mit", "mit", "mit-0", ""]
