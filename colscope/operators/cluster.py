@@ -23,6 +23,8 @@ SEED = 42
 
 
 ROUNDS = 300
+SUMMED = 2**21  # numbers of all tasks' sums that are added up on the driver
+SLICE = 512  # rows whose distances to all centres are held at a time
 SHIFT = 1e-4  # of the mean variance, below which centres stand still
 
 
@@ -42,13 +44,17 @@ def _drawn(frame: DataFrame, runs: list[int], centres: dict[int, np.ndarray], se
     centres): the least of -log(u) / weight, where u comes from the row's hash, wins in each task and then overall."""
     step = {r: len(centres[r]) for r in runs}
 
+    stacked = np.vstack([centres[r] for r in runs]) if all(step[r] for r in runs) else None
+    edges = np.cumsum([0, *(step[r] for r in runs)])
+
     def least(batches):
         best: dict[int, tuple[float, list[float]]] = {}
         for batch in batches:
             x, h = _rows_of(batch, "v"), batch.column("h").to_numpy().view("uint64")
-            for r in runs:
+            square = None if stacked is None else _squares(x, stacked)
+            for r, i, j in zip(runs, edges, edges[1:]):
                 u = _mixed(h, seed + r * 1_000 + step[r])
-                weight = _squares(x, centres[r]).min(axis=1) if step[r] else np.ones(len(x))
+                weight = np.ones(len(x)) if square is None else square[:, i:j].min(axis=1)
                 with np.errstate(divide="ignore"):
                     race = np.where(weight > 0, -np.log(u) / weight, np.inf)
                 at = int(race.argmin())
@@ -70,33 +76,54 @@ def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
     return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype("float64") / 2**53 + 2**-54
 
 
-def _moved(frame: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+def _sums(x: np.ndarray, stacked: np.ndarray, edges: np.ndarray) -> list[np.ndarray]:
+    """For runs whose centres lie one after the other between the edges: each run's summed squared distance, the size and the sum of
+    vectors of each cluster. Two products for all runs, a slice of rows after the other."""
+    cost, size, total = np.zeros(len(edges) - 1), np.zeros(len(stacked)), np.zeros(stacked.shape)
+    twice, length = -2 * stacked.T, (stacked * stacked).sum(axis=1)
+    for at in range(0, len(x), SLICE):
+        rows = x[at : at + SLICE]
+        d = rows @ twice
+        d += length  # less the row's own square, which no choice depends on
+        own, each = (rows * rows).sum(axis=1), np.arange(len(rows))
+        member = np.zeros(d.shape)
+        for r, (i, j) in enumerate(zip(edges, edges[1:])):
+            near = i + d[:, i:j].argmin(axis=1)
+            member[each, near] = 1.0
+            cost[r] += np.maximum(d[each, near] + own, 0).sum()
+        size += member.sum(axis=0)
+        total += member.T @ rows
+    return [cost, size, total]
+
+
+def _moved(frame: DataFrame, centres: dict[int, np.ndarray], few: bool = False) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
     """For each run the size and the sum of vectors of each cluster, and the summed squared distance: one scan for all runs, and
-    a row a run and task."""
+    a row a run and task, which are added up by a shuffle unless they are `few`."""
+    runs, edges = list(centres), np.cumsum([0, *(len(c) for c in centres.values())])
+    stacked = np.vstack(list(centres.values()))
+
     def sums(batches):
-        total: dict[int, list] = {}
+        total = None
         for batch in batches:
-            x = _rows_of(batch, "v")
-            for r, c in centres.items():
-                d = _squares(x, c)
-                near = d.argmin(axis=1)
-                member = np.zeros((len(x), len(c)))
-                member[np.arange(len(x)), near] = 1.0
-                part = [member.sum(axis=0), member.T @ x, d[np.arange(len(x)), near].sum()]
-                total[r] = part if r not in total else [a + b for a, b in zip(total[r], part)]
-        if total:
-            yield pa.RecordBatch.from_pydict({"run": list(total), "values": [[float(t[2]), *t[0].tolist(), *t[1].ravel().tolist()] for t in total.values()]})
-
-    parts = frame.mapInArrow(sums, "run long, values array<double>").select("run", F.posexplode("values").alias("at", "value"))
-    table = parts.groupBy("run", "at").agg(F.sum("value").alias("value")).toArrow()  # a number a run, cluster and dimension
-    run, at, value = (table[n].to_numpy() for n in ("run", "at", "value"))
-    out = {}
-    for r, c in centres.items():
-        own = run == r
-        values = value[own][np.argsort(at[own])]
-        if len(values):
-            out[r] = values[1 : 1 + len(c)], values[1 + len(c) :].reshape(len(c), -1), float(values[0])
-    return out
+            part = _sums(_rows_of(batch, "v"), stacked, edges)
+            total = part if total is None else [a + b for a, b in zip(total, part)]
+        if total is not None:
+            cost, size, sum_of = total
+            yield pa.RecordBatch.from_pydict({"run": runs, "values": [
+                [float(c), *size[i:j].tolist(), *sum_of[i:j].ravel().tolist()] for c, i, j in zip(cost, edges, edges[1:])]})
+
+    parts = frame.mapInArrow(sums, "run long, values array<double>")
+    if few:
+        found: dict[int, np.ndarray] = {}
+        for batch in parts.toArrow().to_batches():
+            for r, v in zip(batch.column("run").to_pylist(), batch.column("values")):
+                found[r] = found[r] + v.values.to_numpy() if r in found else v.values.to_numpy()
+    else:
+        table = parts.select("run", F.posexplode("values").alias("at", "value")).groupBy("run", "at").agg(
+            F.sum("value").alias("value")).toArrow()  # a number a run, cluster and dimension
+        run, at, value = (table[n].to_numpy() for n in ("run", "at", "value"))
+        found = {r: value[run == r][np.argsort(at[run == r])] for r in centres if (run == r).any()}
+    return {r: (v[1 : 1 + len(centres[r])], v[1 + len(centres[r]) :].reshape(len(centres[r]), -1), float(v[0])) for r, v in found.items()}
 
 
 def lloyd(df: DataFrame, ks: list[int], restarts: int = 10, rounds: int = ROUNDS, seed: int = SEED) -> dict[int, tuple[np.ndarray, float]]:
@@ -111,9 +138,9 @@ def lloyd(df: DataFrame, ks: list[int], restarts: int = 10, rounds: int = ROUNDS
     spread = frame.select(F.inline(F.transform("v", lambda x, i: F.struct(i.alias("i"), x.alias("x"))))).groupBy("i").agg(
         F.var_pop("x").alias("s")).agg(F.avg("s")).first()[0] or 0.0
     done: dict[int, tuple[np.ndarray, float]] = {}
-    moving = dict(centres)
+    moving, tasks = dict(centres), frame.rdd.getNumPartitions()
     for turn in range(rounds + 1):
-        found = _moved(frame, moving)
+        found = _moved(frame, moving, tasks * sum(c.size for c in moving.values()) <= SUMMED)
         still = {}
         for n, (size, total, cost) in found.items():
             new = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], moving[n])  # an empty cluster stays where it is

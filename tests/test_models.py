@@ -540,3 +540,30 @@ def test_network_by_passes_over_blocks(spark, monkeypatch, few):
     assert 10 < len(passes) < 80
     assert one(blocks, layers, made.model.weights.toArray())[0] < 1.2 * cost + 0.02
     assert made.predict(train).filter("pred is not null").count() == 800
+
+
+def test_sums_of_all_runs_at_once():
+    """Runs of k-means share the products of matrices; each gets what it would get by itself."""
+    rng = np.random.default_rng(3)
+    x, runs = rng.normal(size=(2 * cluster.SLICE + 7, 5)), [rng.normal(size=(k, 5)) for k in (2, 3, 3, 6)]
+    edges = np.cumsum([0, *map(len, runs)])
+    cost, size, total = cluster._sums(x, np.vstack(runs), edges)
+    for r, centres in enumerate(runs):
+        square = ((x[:, None] - centres) ** 2).sum(axis=2)
+        near = square.argmin(axis=1)
+        assert cost[r] == pytest.approx(square.min(axis=1).sum())
+        for k in range(len(centres)):
+            assert size[edges[r] + k] == (near == k).sum()
+            assert total[edges[r] + k] == pytest.approx(x[near == k].sum(axis=0))
+
+
+def test_sums_of_few_and_many_tasks(spark):
+    """Sums of the tasks are the same whether the driver or a shuffle adds them up."""
+    frame = spark.range(0, 300, 1, 5).select(F.array(*[(F.xxhash64("id", F.lit(i)) % 100 / 9.0) for i in range(3)]).alias("v"))
+    centres = {0: np.eye(3)[:2], 4: np.eye(3) * 2}
+    few, many = (cluster._moved(frame, centres, f) for f in (True, False))
+    assert few.keys() == many.keys() == centres.keys()
+    for r in centres:
+        assert few[r][0].sum() == 300 and len(few[r][1]) == len(centres[r])
+        for a, b in zip(few[r], many[r]):
+            assert np.allclose(a, b)
