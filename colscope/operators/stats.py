@@ -58,6 +58,14 @@ def numeric_summary(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     )
 
 
+def skewness(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(column, skewness) of each column with at least two numbers: what advice needs of the numeric summary, without its
+    percentiles and modes."""
+    names = names if names is not None else C.numeric_columns(df)
+    rows = [F.struct(F.lit(n).alias("column"), F.count(C.number(df, n)).alias("count"), F.skewness(C.number(df, n)).alias("skewness")) for n in names]
+    return C.tidy(df, rows).filter("count >= 2").select("column", C.round_to("skewness", 4).alias("skewness"))
+
+
 def top_values(counts: DataFrame, k: int) -> DataFrame:
     """The k most frequent values of each column, by count and then by value, with their place."""
     order = W.partitionBy("column").orderBy(F.desc("n"), "value")

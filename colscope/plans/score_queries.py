@@ -103,7 +103,7 @@ def _advice(df, with_outliers=False):
     p = profile.profile_columns(df)
     names = [n for n in C.numeric_columns(df)]
     extra = outliers.outlier_table(df, names) if with_outliers else None
-    return p, score.preprocessing(p, stats.numeric_summary(df, names), extra)
+    return p, score.preprocessing(p, stats.skewness(df, names), extra)
 
 
 query("preprocessing_advice", preprocessing_sql(DOCS_SQL, DOC_FACTS))(lambda t: _advice(docs(t))[1])
@@ -123,7 +123,7 @@ def suggestions_sql(source: str, schema) -> str:
 
 
 def _suggestions(df):
-    return score.feature_suggestions(profile.profile_columns(df), stats.numeric_summary(df))
+    return score.feature_suggestions(profile.profile_columns(df), stats.skewness(df))
 
 
 query("feature_suggestions", suggestions_sql("documents", DOC_FACTS[:5]))(lambda t: _suggestions(t.documents))

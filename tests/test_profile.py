@@ -202,3 +202,16 @@ def test_partitioning_changes_nothing(spark, partitions):
     mixed = df.repartition(partitions).orderBy(F.xxhash64("id"))
     for op in (profile.profile_columns, stats.numeric_summary, quality.missing_values, outliers.outlier_table):
         assert sorted(map(str, op(df).collect())) == sorted(map(str, op(mixed).collect()))
+
+
+def test_advice_needs_no_modes(spark, monkeypatch):
+    """Suggestions and advice take the skewness alone, the same as that of the numeric summary."""
+    from colscope.operators import stats
+    from colscope.plans import score_queries
+
+    df = spark.createDataFrame([(float(i), 1.0 if i else 500.0, None, "x") for i in range(30)], "a double, age double, none double, s string")
+    whole = {tuple(r) for r in stats.numeric_summary(df).select("column", "skewness").collect()}
+    assert {tuple(r) for r in stats.skewness(df).collect()} == whole and len(whole) == 2
+    monkeypatch.setattr(stats, "numeric_summary", None)
+    assert {(r.column, r.rule_name) for r in score_queries._suggestions(df).collect()} >= {("age", "log_transform")}
+    assert {r.column: r.imputation for r in score_queries._advice(df)[1].collect()}["age"] == "median"
