@@ -567,3 +567,38 @@ def test_sums_of_few_and_many_tasks(spark):
         assert few[r][0].sum() == 300 and len(few[r][1]) == len(centres[r])
         for a, b in zip(few[r], many[r]):
             assert np.allclose(a, b)
+
+
+@pytest.mark.parametrize("problem", ["classification", "regression"])
+def test_boosting_learns_from_one_row_for_equal_ones(spark, problem):
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 12, 2000), rng.integers(0, 20, 2000) / 4
+    y = (a + 3 * b + rng.normal(size=2000) * 2).round(1) if problem == "regression" else rng.integers(0, 2, 2000) | (a > 8)
+    rows = spark.createDataFrame([(i, float(y[i]), [float(a[i]), float(b[i])]) for i in range(2000)], "id long, y double, v array<double>")
+    train = staged(rows.select("id", "y", array_to_vector("v").alias("features")))
+    params = {"n_estimators": 6, "learning_rate": 0.1, "max_depth": 4}
+    learned, weight, bounds = learners.cells(train, 2000, None, problem)
+    assert learned.count() <= 2 * 12 * 20 and learned.agg(F.sum(weight)).first()[0] == 2000
+    assert bounds == [[i + 0.5 for i in range(11)], [i / 4 + 0.125 for i in range(19)]]
+    model = learners.fit(problem, "boosted_trees", train, params, 2)
+    plain = learners.estimator(problem, "boosted_trees", params, 2000, 2, 2, 1.0).fit(train)
+    got = {r.id: r.pred for r in model.predict(train).collect()}
+    want = {r.id: r.pred for r in plain.transform(train).collect()}
+    assert max(abs(got[i] - want[i]) for i in want) < 1e-9
+    assert np.allclose(model.importances(), plain.featureImportances.toArray())
+
+
+def test_boosting_tells_quantiles_and_rare_values_apart(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=3000)
+    rows = [(i, float(x[i] > 0.5), [float(x[i]), 1.0 if i < 3 else 0.0, 7.0]) for i in range(3000)]
+    train = staged(spark.createDataFrame(rows, "id long, y double, v array<double>").select("id", "y", array_to_vector("v").alias("features")))
+    bounds = learners.interval_bounds(train)
+    assert len(bounds[0]) == learners.BINS - 1 and bounds[0] == sorted(bounds[0]) and bounds[1:] == [[0.5], []]
+    model = learners.fit("classification", "boosted_leaves", train, {"n_estimators": 3}, 2)
+    learners.save(model, str(tmp_path / "m"))
+    again = learners.load(spark, str(tmp_path / "m"))
+    assert again.bounds == bounds
+    pred = lambda m: [r.pred for r in m.predict(train).orderBy("id").collect()]
+    assert pred(model) == pred(again) and np.mean(np.array(pred(model)) == (x > 0.5)) > 0.97
+    assert set(model.predict(train).columns) == {"id", "y", "features", "pred", "prob"}
