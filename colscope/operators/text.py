@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from colscope.functions import columns as C
 from colscope.functions.running import running_totals
+from colscope.functions.staging import staged
 
 # A word, and the words left out.
 WORD = r"(?U)\b[a-z]{3,}\b"
@@ -75,27 +76,42 @@ def ngram_counts(df: DataFrame, names: list[str], n: int, across_rows: str | Non
     """
     parts = []
     for name in names:
-        w = df.select(words(C.col(name)).alias("w"), *([C.col(across_rows).alias("k")] if across_rows else []))
-        grams = w.select(F.explode(_grams(F.col("w"), n)).alias("value"))
-        if across_rows:
-            grams = grams.unionAll(_border_grams(w, n))
-        parts.append(grams.groupBy("value").agg(F.count("*").alias("n")).select(F.lit(name).alias("column"), "value", "n"))
+        if across_rows and n > 1:
+            counts = _counts_across(df.select(words(C.col(name)).alias("w"), C.col(across_rows).alias("k")), n)
+        else:
+            grams = df.select(words(C.col(name)).alias("w")).select(F.explode(_grams(F.col("w"), n)).alias("value"))
+            counts = grams.groupBy("value").agg(F.count("*").alias("n"))
+        parts.append(counts.select(F.lit(name).alias("column"), "value", "n"))
     return reduce(DataFrame.unionAll, parts)
 
 
-def _border_grams(w: DataFrame, n: int) -> DataFrame:
-    """Runs of n words that begin in one row and end in a later one.
+def _counts_across(w: DataFrame, n: int) -> DataFrame:
+    """(value, n): runs within rows and over their borders. Texts are gone over once: beside its runs, which are counted where they
+    arise, a row gives one entry without value, with the words at its two ends, all that runs over borders need."""
+    m = n - 1
+    edge = F.when(F.size("w") <= 2 * m, F.col("w")).otherwise(F.concat(F.slice("w", 1, m), F.slice("w", -m, m)))
+    ends = F.struct("k", F.size("w").alias("size"), edge.alias("edge"))
+    none = F.lit(None).cast("string")
+    entries = w.select(ends.alias("ends"), F.explode(F.concat(_grams(F.col("w"), n), F.array(none))).alias("value"))
+    counted = staged(entries.groupBy("value", F.when(F.col("value").isNull(), F.col("ends")).alias("ends")).agg(F.count("*").alias("n")))
+    rows = counted.filter("value IS NULL").select("ends.*", F.explode(F.sequence(F.lit(1), "n"))).drop("col")
+    within = counted.filter("value IS NOT NULL").select("value", "n")
+    return within.unionAll(_border_grams(rows, n).withColumn("n", F.lit(1))).groupBy("value").agg(F.sum("n").alias("n"))
+
+
+def _border_grams(rows: DataFrame, n: int) -> DataFrame:
+    """Runs of n words that begin in one row and end in a later one, of rows (k, size, edge).
 
     A run that begins at a word reaches at most n - 1 words on, so only the last n - 1 words of a row
     begin such runs, and only words numbered up to n - 1 later complete them: words are numbered over
-    all rows by running totals of the row lengths, and joined by number.
+    all rows by running totals of the row lengths, and joined by number. `edge` has the first and the
+    last n - 1 words of a row, or all where there are no more.
     """
-    sized = w.withColumn("size", F.size("w")).filter("size > 0")
+    sized = rows.filter("size > 0")
     per_key = sized.groupBy("k").agg(F.sum("size").alias("total"))
     starts = running_totals(per_key, "k", {"start": "total"}).select("k", "start")
-    placed = sized.join(starts, "k")
-    ends = placed.select("start", "size", F.posexplode("w").alias("i", "word")).filter(
-        (F.col("i") < n - 1) | (F.col("i") >= F.col("size") - (n - 1)))
+    ends = sized.join(starts, "k").select("start", "size", F.size("edge").alias("held"), F.posexplode("edge").alias("p", "word"))
+    ends = ends.withColumn("i", F.when(F.col("p") < n - 1, F.col("p")).otherwise(F.col("size") - F.col("held") + F.col("p")))
     numbered = ends.select((F.col("start") + F.col("i")).alias("at"), (F.col("size") - F.col("i")).alias("left"), "word")
     firsts = numbered.filter(F.col("left") < n)
     reach = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("step")

@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,6 +169,22 @@ def test_ngrams_across_rows(spark):
         assert {r.value: r.n for r in text.ngram_counts(df, ["t"], n, across_rows="k").collect()} == expected
 
 
+def test_ngrams_across_rows_read_texts_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def given(k):
+        read.add(1)
+        return None if k % 7 == 3 else " ".join(f"word{'abcdefgh'[(k + i) % 8] * 2}" for i in range(k % 9))
+
+    df = spark.range(60).select(F.col("id").alias("k"), F.udf(given, "string")("id").alias("t"))
+    flat = [w for k in range(60) if k % 7 != 3 for w in [f"word{'abcdefgh'[(k + i) % 8] * 2}" for i in range(k % 9)]]
+    for n in (1, 2, 4):
+        read.value = 0
+        expected = Counter(" ".join(flat[i : i + n]) for i in range(len(flat) - n + 1))
+        assert {r.value: r.n for r in text.ngram_counts(df, ["t"], n, across_rows="k").collect()} == expected
+        assert read.value == 60
+
+
 def test_cleaning_choices(spark):
     df = spark.createDataFrame(
         [("A", 1.0, 1), (" a", None, 2), ("A", 1.0, 1), ("b", 5.0, 3)] + [("b", None, i) for i in range(4, 30)], "c string, x double, k int")
