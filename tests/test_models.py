@@ -1,6 +1,7 @@
 import inspect
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -602,3 +603,28 @@ def test_boosting_tells_quantiles_and_rare_values_apart(spark, tmp_path):
     pred = lambda m: [r.pred for r in m.predict(train).orderBy("id").collect()]
     assert pred(model) == pred(again) and np.mean(np.array(pred(model)) == (x > 0.5)) > 0.97
     assert set(model.predict(train).columns) == {"id", "y", "features", "pred", "prob"}
+
+
+def test_network_blocks_are_narrow_and_come_in_few(spark, monkeypatch):
+    """A pass reads single precision in batches of few blocks, whatever the session says; its sums are those of plain formulas."""
+    monkeypatch.setattr(learners, "BATCH_BLOCKS", 4)
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(300, 3)), rng.integers(0, 2, 300)
+    rows = spark.createDataFrame([(float(b), a.tolist()) for a, b in zip(x, y)], "y double, v array<double>").coalesce(1)
+    blocks = learners.packed(rows.select("y", array_to_vector("v").alias("features")), 10)
+    assert blocks.agg(F.sum(F.length("x"))).first()[0] == 300 * 3 * 4
+
+    def sizes(batches):
+        yield from (pa.RecordBatch.from_pydict({"n": [batch.num_rows]}) for batch in batches)
+
+    assert max(r.n for r in blocks.mapInArrow(sizes, "n long").collect()) <= 4
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != "4"
+    w = rng.normal(size=3 * 5 + 5 + 5 * 2 + 2)
+    hidden = 1 / (1 + np.exp(-(x @ w[:15].reshape(3, 5) + w[15:20])))
+    z = hidden @ w[20:30].reshape(5, 2) + w[30:]
+    chance = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    off = chance - np.eye(2)[y]
+    back = off @ w[20:30].reshape(5, 2).T * hidden * (1 - hidden)
+    want = np.concatenate([(x.T @ back).ravel(), back.sum(axis=0), (hidden.T @ off).ravel(), off.sum(axis=0)]) / 300
+    cost, slope = learners.network_cost(blocks, [3, 5, 2], w, True)
+    assert cost == pytest.approx(-np.log(chance[np.arange(300), y]).mean(), rel=1e-5) and np.allclose(slope, want, atol=1e-5)
