@@ -628,3 +628,42 @@ def test_network_blocks_are_narrow_and_come_in_few(spark, monkeypatch):
     want = np.concatenate([(x.T @ back).ravel(), back.sum(axis=0), (hidden.T @ off).ravel(), off.sum(axis=0)]) / 300
     cost, slope = learners.network_cost(blocks, [3, 5, 2], w, True)
     assert cost == pytest.approx(-np.log(chance[np.arange(300), y]).mean(), rel=1e-5) and np.allclose(slope, want, atol=1e-5)
+
+
+@pytest.mark.parametrize("problem", ["regression", "classification"])
+def test_forest_learns_from_sums_of_draws(spark, monkeypatch, tmp_path, problem):
+    """Every tree draws from all rows by Poisson's law, and the forest is like Spark's own."""
+    rng = np.random.default_rng(9)
+    a, b = rng.integers(0, 8, 6000), rng.integers(0, 6, 6000) / 2
+    y = a + 2.0 * b + rng.normal(size=6000) if problem == "regression" else np.where(np.arange(6000) < 2, 2, (a + 2 * b + rng.normal(size=6000) > 7).astype(int))
+    made = spark.createDataFrame([(i, float(y[i]), [float(a[i]), float(b[i])]) for i in range(6000)], "id long, y double, v array<double>")
+    train = staged(made.select("id", "y", array_to_vector("v").alias("features")).repartition(3, "id"))
+    monkeypatch.setattr(learners, "CHUNK_ROWS", 500)
+    bounds = learners.interval_bounds(train)
+    drawn = learners.drawn_cells(train, bounds, problem, range(5, 45)).toPandas()
+    assert set(drawn.tree) == set(range(5, 45)) and drawn.groupby("tree").n.sum().std() > 20
+    size = drawn.groupby([drawn.v.map(tuple), "tree"]).n.sum().unstack(fill_value=0)
+    true = np.array([((a == v[0]) & (b * 2 == v[1])).sum() for v in size.index])
+    assert np.allclose(size.mean(axis=1), true, rtol=0.15) and 0.8 < (size.var(axis=1) / true).mean() < 1.2
+    if problem == "regression":
+        means = drawn.assign(s=drawn.n * drawn.y).groupby(drawn.v.map(tuple))[["s", "n"]].sum()
+        assert np.allclose(means.s / means.n, [y[(a == v[0]) & (b * 2 == v[1])].mean() for v in means.index], atol=0.1)
+    monkeypatch.setattr(learners, "DRAWN_CELLS", 0)
+    monkeypatch.setattr(learners, "DRAWN_SUMS", 1_000)  # several portions of trees
+    model = learners.fit(problem, "random_forest", train, {"n_estimators": 24}, 3)
+    monkeypatch.setattr(learners, "DRAWN_CELLS", 10**9)
+    plain = learners.fit(problem, "random_forest", train, {"n_estimators": 24}, 3)
+    assert len(model.models) == 24 and model.bounds == bounds
+    assert np.allclose(model.importances(), plain.importances(), atol=0.08) and sum(model.importances()) == pytest.approx(1)
+    learners.save(model, str(tmp_path / "m"))
+    value = "pred" if problem == "regression" else "p"
+    chance = [] if problem == "regression" else [F.get("prob", F.lit(1)).alias("p")]
+    got, again, want = (m.predict(train).select("id", "pred", *chance).orderBy("id").toPandas() for m in (model, learners.load(spark, str(tmp_path / "m")), plain))
+    assert got.equals(again) and np.sqrt(((got[value] - want[value]) ** 2).mean()) < (0.25 if problem == "regression" else 0.06)
+    assert set(model.predict(train).columns) >= {"id", "y", "features", "pred"}
+
+
+def test_forest_of_many_combinations_learns_from_rows(spark, monkeypatch):
+    monkeypatch.setattr(learners, "DRAWN_CELLS", 0)
+    rows = spark.range(400).select("id", (F.col("id") % 2).cast("double").alias("y"), array_to_vector(F.array((F.col("id") % 20).cast("double"), F.rand(1))).alias("features"))
+    assert isinstance(learners.fit("classification", "random_forest", staged(rows), {"n_estimators": 3, "max_depth": 4}, 2), learners.Fitted)
