@@ -667,3 +667,36 @@ def test_forest_of_many_combinations_learns_from_rows(spark, monkeypatch):
     monkeypatch.setattr(learners, "DRAWN_CELLS", 0)
     rows = spark.range(400).select("id", (F.col("id") % 2).cast("double").alias("y"), array_to_vector(F.array((F.col("id") % 20).cast("double"), F.rand(1))).alias("features"))
     assert isinstance(learners.fit("classification", "random_forest", staged(rows), {"n_estimators": 3, "max_depth": 4}, 2), learners.Fitted)
+
+
+def test_reweighted_stumps_learn_from_intervals(spark, monkeypatch, tmp_path):
+    """Where there are no more values than intervals, stumps on combinations are those on all rows."""
+    rng = np.random.default_rng(11)
+    a, b = rng.integers(0, 9, 2000), rng.integers(0, 7, 2000) / 2
+    y = np.clip(a // 3 + (b > 2) - rng.integers(0, 2, 2000), 0, 2)
+    made = spark.createDataFrame([(i, float(y[i]), [float(a[i]), float(b[i])]) for i in range(2000)], "id long, y double, v array<double>")
+    train = staged(made.select("id", "y", array_to_vector("v").alias("features")))
+    learned = []
+    one = learners.cells
+    monkeypatch.setattr(learners, "cells", lambda *args: learned.append(one(*args)) or learned[-1])
+    plain = learners.fit("classification", "ada_boost", train, {"n_estimators": 5}, 3)
+    monkeypatch.setattr(learners, "MANY_ROWS", 1_000)
+    model = learners.fit("classification", "ada_boost", train, {"n_estimators": 5}, 3)
+    assert len(learned) == 1 and learned[0][0].count() <= 9 * 7 * 3
+    assert np.allclose(model.weights, plain.weights) and np.allclose(model.importances(), plain.importances())
+    learners.save(model, str(tmp_path / "m"))
+    of = lambda m: m.predict(train).select("id", "pred", F.get("prob", F.lit(1)).alias("p")).orderBy("id").toPandas()
+    assert np.allclose(of(model), of(plain)) and of(learners.load(spark, str(tmp_path / "m"))).equals(of(model))
+
+
+@pytest.mark.parametrize("problem", ["regression", "classification"])
+def test_forest_scores_each_combination_once(spark, monkeypatch, problem):
+    """The plan of a prediction doesn't hold one tree inside another, and says what the trees one after the other say."""
+    rows = spark.range(3_000).select("id", (F.col("id") % 7 > 3).cast("double").alias("y"), array_to_vector(F.array((F.col("id") % 7).cast("double"), F.lit(1.0))).alias("features"))
+    monkeypatch.setattr(learners, "DRAWN_CELLS", 0)
+    model = learners.fit(problem, "random_forest", staged(rows), {"n_estimators": 6}, 2)
+    made, values = model.predict(rows), ["pred"] if problem == "regression" else ["pred", "prob"]
+    assert "_p0" not in str(made._jdf.queryExecution().analyzed())
+    got = made.select("id", *values).orderBy("id").collect()
+    want = model._scored(learners._by_interval(rows, model.bounds)).select("id", *values).orderBy("id").collect()
+    assert len(got) == 3_000 and all(np.allclose(np.hstack(list(g)), np.hstack(list(w))) for g, w in zip(got, want))
