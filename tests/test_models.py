@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
-from colscope.functions import lookups
+from colscope.functions import lookups, staging
 from colscope.functions.staging import staged
 from colscope.operators import cluster, features, forecast, learners, neighbours, rank, sampling, smote
 from colscope.plans import modelling
@@ -700,3 +700,18 @@ def test_forest_scores_each_combination_once(spark, monkeypatch, problem):
     got = made.select("id", *values).orderBy("id").collect()
     want = model._scored(learners._by_interval(rows, model.bounds)).select("id", *values).orderBy("id").collect()
     assert len(got) == 3_000 and all(np.allclose(np.hstack(list(g)), np.hstack(list(w))) for g, w in zip(got, want))
+
+
+def test_vectors_are_written_only_for_many_passes(spark, reg, monkeypatch):
+    """One pass doesn't need them written; what is written is read file by file without a shuffle, and goes with the last fit."""
+    written, one = [], modelling.spread_out
+    monkeypatch.setattr(modelling, "spread_out", lambda *args: written.append(one(*args)) or written[-1])
+    p = modelling.prepare(reg, "target", "regression", REG, key="k")
+    modelling.cross_predictions(p, {"linear_regression": None, "ridge": None, "constant": None}, 3)
+    assert not written
+    before = staging.tables()
+    modelling.cross_predictions(p, {"gradient_boosting": {"n_estimators": 1}, "random_forest": SMALL}, 3)
+    assert len(written) == 3 and "Exchange" not in written[0]._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(modelling, "PART_DOUBLES", 100)
+    assert modelling.spread_out(spark.range(0, 400, 1, 8).select("id", F.lit(1.0).alias("y"), array_to_vector(F.array(F.lit(0.0))).alias("features"))).rdd.getNumPartitions() == 16
+    assert all(id(frame) not in staging._written for frame in written[:3]) and before > 0
